@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup
+from . import bpe, ctph, langid, linededup, media, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_media_columns": media.op3,
         "op4_language_id": langid.op4,
         "op5_byte_bpe": bpe.op5,
         "op7_line_dedup": linededup.op7,
+        "op8_document_fingerprints": ctph.op8,
+        "op10_toxicity": toxicity.op10,
     }
 
 
