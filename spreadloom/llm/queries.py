@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, langid, linededup, media, toxicity
+from . import bpe, ctph, langid, linededup, media, minhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": minhash.op1,
+        "op2_warc": warc.op2,
         "op3_media_columns": media.op3,
         "op4_language_id": langid.op4,
         "op5_byte_bpe": bpe.op5,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.SQL}
+    return {"op1_minhash_near_dedup": minhash.SQL, "op2_warc": warc.SQL, "op7_line_dedup": linededup.SQL}

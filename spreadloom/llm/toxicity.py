@@ -10,7 +10,7 @@ evidence is the sum over its distinct cells, and a threshold on it, chosen there
 The fit takes a bounded sample of the labelled rows: SAMPLE_TOXIC and SAMPLE_ORDINARY of them by the hash of the id,
 whole texts, SAMPLE_BYTES characters a class at most. Every word of every text is scored.
 
-Cases: a null or empty text has score EMPTY (or what its evidence of 0 gives); with no labelled rows, or of one class
+Cases: a null or empty text has the score of no evidence; with no labelled rows, or of one class
 only, every score is that class's share; equal texts get equal scores; long texts are read in blocks. Labels, lang,
 source and doc_id play no part in a score. Rows of labels that are repeated count once; labels of null are left out.
 """
@@ -133,8 +133,9 @@ def train(rows: list[tuple[str, int]]) -> dict:
     texts = dict(rows)
     share = sum(texts.values()) / len(texts) if texts else 0.0
     parts = {(y, k): [words(t.lower().encode()) for i, (t, z) in enumerate(x for x in texts.items() if x[1] == y) if i % 2 == k] for y in (0, 1) for k in (0, 1)}
-    toxic = parts[1, 0] or parts[1, 1]
-    ordinary = parts[0, 0] or parts[0, 1]
+    # a small set trains and calibrates with all rows
+    few = len(parts[1, 1]) < 50 or len(parts[0, 1]) < 50
+    toxic, ordinary = (parts[y, 0] + parts[y, 1] if few else parts[y, 0] for y in (1, 0))
     if not toxic or not ordinary:
         return {"ordinary": b"", "toxic": b"", "weights": {}, "share": share}
     lines = [b" ".join(x[i : i + 20]) for x in ordinary for i in range(0, len(x), 20)]
@@ -144,8 +145,6 @@ def train(rows: list[tuple[str, int]]) -> dict:
         plain = b" ".join(lines)[-ORDINARY_BYTES:]
     body = b"".join(toxic_runs(toxic, ordinary))[-TOXIC_BYTES:]
     model = Distance(plain, body)
-    # a small set is calibrated on all rows
-    few = len(parts[1, 1]) < 50 or len(parts[0, 1]) < 50
     sets = {y: [{model.cell(w) for w in set(x)} - {None} for k in ((0, 1) if few else (1,)) for x in parts[y, k]] for y in (0, 1)}
     counts = {y: Counter(c for x in sets[y] for c in x) for y in (0, 1)}
     weights = {}
