@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, langid, linededup, media, minhash, toxicity, warc
+from . import bpe, ctph, langid, linededup, media, minhash, ngram_lm, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5,
         "op7_line_dedup": linededup.op7,
         "op8_document_fingerprints": ctph.op8,
+        "op9_lm_scoring": ngram_lm.op9,
         "op10_toxicity": toxicity.op10,
     }
 
