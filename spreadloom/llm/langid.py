@@ -92,48 +92,64 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANG) -> tuple[list[str], np.n
     return langs, np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32)
 
 
+def score_column(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text: equal priors, and one n-gram order's worth of evidence.
+
+    table: log probabilities, BUCKETS x languages. Rows of the sparse matrix are gathered until a block is full.
+    """
+    pred, sure = ["und"] * len(texts), [0.0] * len(texts)
+    cols, data, ends, rows = [], [], [0], []
+    for i in range(len(texts)):
+        text = texts[i].as_py()
+        if text and names and has_letter(text):
+            if len(text) < 4000:
+                at = np.concatenate(list(grams(text)))
+                n = np.ones(len(at), np.float32)
+            else:
+                total = counts(text)
+                at = np.flatnonzero(total)
+                n = total[at].astype(np.float32)
+            rows.append(i)
+            cols.append(at)
+            data.append(n)
+            ends.append(ends[-1] + len(at))
+        if rows and (ends[-1] > 1 << 18 or i == len(texts) - 1):
+            product = table[np.concatenate(cols)] * np.concatenate(data)[:, None]
+            sums = np.add.reduceat(product, np.array(ends[:-1]), axis=0).astype(np.float64) / ORDERS
+            best = sums.argmax(1)
+            p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+            for j, r in enumerate(rows):
+                pred[r], sure[r] = names[best[j]], float(p[j])
+            cols, data, ends, rows = [], [], [0], []
+    return pred, sure
+
+
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score: the posterior of equal priors, of one n-gram order's worth of evidence."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(logs.T))
+    """doc_id, lang_pred and score of docs(doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
     names = list(langs)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def score(batches):
-        table = shared.value
         for batch in batches:
-            pred, sure = [], []
-            cols, data, ends, rows = [], [], [0], []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                pred.append("und")
-                sure.append(0.0)
-                if text and names and has_letter(text):
-                    # the row of the sparse matrix: buckets and their counts
-                    if len(text) < 4000:
-                        at = np.concatenate(list(grams(text)))
-                        n = np.ones(len(at), np.float32)
-                    else:
-                        total = counts(text)
-                        at = np.flatnonzero(total)
-                        n = total[at].astype(np.float32)
-                    rows.append(i)
-                    cols.append(at)
-                    data.append(n)
-                    ends.append(ends[-1] + len(at))
-                if rows and (ends[-1] > 1 << 18 or i == batch.num_rows - 1):
-                    product = table[np.concatenate(cols)] * np.concatenate(data)[:, None]
-                    sums = np.add.reduceat(product, np.array(ends[:-1]), axis=0).astype(np.float64) / ORDERS
-                    best = sums.argmax(1)
-                    p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                    for j, r in enumerate(rows):
-                        pred[r], sure[r] = names[best[j]], float(p[j])
-                    cols, data, ends, rows = [], [], [0], []
-            yield batch_of(schema, batch.column(0), pred, sure)
+            yield batch_of(schema, batch.column(0), *score_column(batch.column(1), names, shared.value))
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, langs: list[str], logs: np.ndarray, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
+    names, at = list(langs), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            _, sure = score_column(batch.column(at), names, shared.value)
+            yield batch.filter(pa.array([x > 0 and x >= least for x in sure], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     fold = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(4))

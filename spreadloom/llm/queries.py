@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, langid, linededup, media, minhash, ngram_lm, toxicity, warc
+from . import bpe, ctph, langid, linededup, media, minhash, mixing, ngram_lm, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_media_columns": media.op3,
         "op4_language_id": langid.op4,
         "op5_byte_bpe": bpe.op5,
+        "op6_mixing": mixing.op6,
         "op7_line_dedup": linededup.op7,
         "op8_document_fingerprints": ctph.op8,
         "op9_lm_scoring": ngram_lm.op9,
