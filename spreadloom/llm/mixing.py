@@ -69,18 +69,17 @@ def posteriors(docs: DataFrame, domains: list[str], priors: dict[str, float], ta
     """docs' doc_id and row key, n_tokens, and p: the array of posteriors. One row a distinct (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), _words(F.col("text")).alias("__words"))
     if not domains:
-        return rows.select("doc_id", "key", F.size("__words").cast("long").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"), F.lit(1).cast("long").alias("rows"))
+        return rows.select("doc_id", "key", F.size("__words").cast("long").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"))
     keyed = rows.select("doc_id", "key", F.size("__words").alias("size"), F.explode_outer(F.array_distinct("__words")).alias("__word"))
     looked = keyed.withColumn("bucket", F.pmod(F.xxhash64("__word"), F.lit(BUCKETS)).cast("int")).join(F.broadcast(table), "bucket", "left")
-    # the bucket of a word that isn't there may not count; repeated rows of one key double every sum alike, hence rows
     there = F.col("__word").isNotNull()
     sums = [F.sum(F.when(there, F.get("logs", F.lit(i))).otherwise(0.0)).alias(f"s{i}") for i in range(len(domains))]
-    got = looked.groupBy("doc_id", "key").agg(F.max("size").cast("long").alias("n_tokens"), F.count("*").alias("__n"), F.count_if(there).alias("__words"), *sums)
+    got = looked.groupBy("doc_id", "key").agg(F.max("size").cast("long").alias("n_tokens"), *sums)
     value = [F.col(f"s{i}") + priors[d] for i, d in enumerate(domains)]
     top = F.greatest(*value) if len(value) > 1 else value[0]
     parts = [F.exp(v - top) for v in value]
     total = sum(parts[1:], parts[0])
-    return got.select("doc_id", "key", "n_tokens", F.array(*[x / total for x in parts]).alias("p"), F.lit(1).cast("long").alias("rows"))
+    return got.select("doc_id", "key", "n_tokens", F.array(*[x / total for x in parts]).alias("p"))
 
 
 def fit_rates(scored: DataFrame, targets: list[float], most: float | None, headroom: float = 0.0) -> tuple[Column, list[dict]]:
@@ -113,7 +112,8 @@ def fit_rates(scored: DataFrame, targets: list[float], most: float | None, headr
     for k in range(ITERATIONS):
         miss = [(now[i] - goal[i]) / total for i in range(d)]
         trace.append({"iteration": k, "totals": now, "error": max(abs(m) * total / max(goal[i], 1.0) for i, m in enumerate(miss))})
-        if trace[-1]["error"] < TOLERANCE or (k > 3 and trace[-4]["error"] - trace[-1]["error"] < TOLERANCE / 10):
+        # at the targets, or, where a bound keeps them out of reach, when no domain's total moves any more
+        if trace[-1]["error"] < TOLERANCE or k and max(abs(a - b) for a, b in zip(now, trace[-2]["totals"], strict=True)) < TOLERANCE * total:
             break
         move = sum((p[i] * (step * miss[i] / weight[i]) for i in range(1, d)), p[0] * (step * miss[0] / weight[0]))
         rate = F.greatest(rate - move, F.lit(0.0))
