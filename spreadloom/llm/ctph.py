@@ -4,7 +4,7 @@ A rolling hash of the last WINDOW bytes ends a chunk where it equals blocksize -
 depend on the content near them only. Each chunk gives one character of a signature; a fingerprint is
 `blocksize:signature:signature at twice the block size`. Two fingerprints are compared at equal block sizes, by the
 edit distance of insertions and deletions, as 1 - distance / (sum of lengths); signatures without a common run of
-RUN characters count as unlike.
+RUN characters (a third of the shorter one, where that is less) count as unlike.
 
 Cases: a null or empty text is `3::`, like to another such text with 1 and to anything else with 0; a text of any
 length is read whole, its last chunk covering whatever follows the last character there is room for (as the format
@@ -97,7 +97,7 @@ def _common(a: str, b: str) -> int:
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    run = min(RUN, len(a), len(b))
+    run = min(RUN, max(2, min(len(a), len(b)) // 3), len(a), len(b))
     if run == 0 or {a[i : i + run] for i in range(len(a) - run + 1)}.isdisjoint(b[i : i + run] for i in range(len(b) - run + 1)):
         return 0.0
     # insertions and deletions only: the distance is the sum of lengths less twice the common subsequence
@@ -130,38 +130,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, extra, doc_id, text) dealt so that each bucket holds a range of ids and one extra row: the next one.
 
     The driver gets the bounds of ids and the largest id of each bucket, no texts. Only one exchange moves texts.
+    Bucket 0 holds the largest ids, and null ids have a bucket of their own after all others.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # ascending cuts; bucket 0 holds the largest ids and null ids are last of all
-    found = F.expr(f"{len(cuts)} - (" + _rank_sql(cuts) + ")") if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(found).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    heads = dict(rows.groupBy("bucket").agg(F.max("doc_id")).collect())
-    order = sorted(heads)
-    # the first row of a bucket also ends the bucket before it; that of the first ends the last
-    owner = {order[i]: order[i - 1] for i in range(len(order))}
-    # rows of the head id go to both; a bucket of null ids only has no head id
-    pairs = [F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(heads[b]).cast("long")), F.lit(o)) for b, o in owner.items()]
-    also = F.coalesce(*pairs, F.lit(None)) if pairs else F.lit(None).cast("int")
-    here = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
-    rows = rows.withColumn("to", F.explode(F.when(also.isNull(), F.array(here)).otherwise(F.array(here, F.struct(also.alias("bucket"), F.lit(1).alias("extra"))))))
-    rows = rows.select("to.bucket", "to.extra", "doc_id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    cuts = np.unique(np.array(cuts, np.int64))
 
+    def bucket_of(ids: pa.Array) -> np.ndarray:
+        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, place)
 
-def _rank_sql(cuts: list[int]) -> str:
-    """SQL for the number of cuts below or at doc_id, as a binary decision, so that it takes log n comparisons."""
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(doc_id < {cuts[mid]}L, {build(lo, mid)}, {build(mid + 1, hi)})"
+    def largest(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            bucket = bucket_of(ids)
+            for b in np.unique(bucket):
+                own = ids.filter(pa.array(bucket == b)).drop_null()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([max(own.to_pylist(), default=None)], pa.int64())], ["bucket", "head"])
 
-    return build(0, len(cuts))
+    heads = dict(docs.select("doc_id").mapInArrow(largest, "bucket int, head long").groupBy("bucket").agg(F.max("head")).collect())
+    # the first row of a bucket also ends the bucket before it; that of the first ends the last
+    order = sorted(heads)
+    owner = {order[i]: order[i - 1] for i in range(len(order))}
+    schema = pa.schema([("bucket", pa.int32()), ("extra", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())])
+
+    def deal(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).fill_null("")
+            bucket = bucket_of(ids)
+            yield batch_of(schema, bucket, np.zeros(len(bucket), np.int32), ids, texts)
+            first = np.array([heads[b] == i for b, i in zip(bucket.tolist(), ids.to_pylist(), strict=True)], bool)
+            if first.any():
+                keep = pa.array(first)
+                yield batch_of(schema, [owner[b] for b in bucket[first].tolist()], np.ones(int(first.sum()), np.int32), ids.filter(keep), texts.filter(keep))
+
+    rows = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, extra int, doc_id long, text string")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
 
 
 FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
