@@ -84,7 +84,7 @@ def evolve(rows: DataFrame, names: list[str], outputs: int = 15, population: int
             break
 
         def pick(scores=scores, own=own):
-            return own[max(rng.sample(range(len(own)), 20), key=lambda i: scores[i])]
+            return own[max(rng.sample(range(len(own)), min(20, len(own))), key=lambda i: scores[i])]
 
         new = []
         while len(new) < population:
