@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that the numpy code handles at a time; longer texts are cut at white space.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,23 @@ def materialised(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> Iterator[None]:
+    """While it lasts, caps the Arrow batches to and from Python, so that wide rows take little memory outside the heap."""
+    before = {}
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        before[key] = spark.conf.get(key)
+        now = before[key].lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint where the counted rows are within the bound; otherwise the planner shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batch_of, checked_broadcast, materialised, mix64, random64, salted_join
+from .common import WordHasher, batch_of, bounded_batches, checked_broadcast, materialised, mix64, random64, salted_join
 
 HASHES, BITS, ROWS, BANDS = 256, 4, 6, 42
 MARGIN = 0.15
@@ -249,6 +249,11 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text)."""
+    with bounded_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     base = materialised(signatures(docs, width), "signatures")
     full = base.where("n_shingles > 0")
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
