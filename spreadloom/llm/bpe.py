@@ -177,11 +177,13 @@ class ByteBPE:
     # ---- texts
 
     def _learn(self, pieces: set[str]) -> None:
-        """Puts the ids of new pieces into the store."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
+        """Makes sure that the store has the ids of these pieces; a full store starts anew with them."""
+        missing = pieces.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_PIECES:
             self.cache.clear()
+            missing = pieces
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
+        for piece in missing:
             raw = piece.encode()
             if (whole := self.rank.get(raw)) is not None:
                 self.cache[piece] = whole.to_bytes(4, "little")
@@ -214,17 +216,12 @@ class ByteBPE:
             if end == at + 1:
                 parts = []
                 for block in self._blocks(texts[at]):
-                    self._learn(set(block).difference(self.cache))
+                    self._learn(set(block))
                     parts.append(b"".join(map(self.cache.__getitem__, block)))
                 yield b"".join(parts)
             else:
                 split = [[p for block in self._blocks(t) for p in block] for t in texts[at:end]]
-                wanted = set().union(*split)
-                missing = wanted.difference(self.cache)
-                if len(self.cache) + len(missing) > CACHE_PIECES:
-                    self.cache.clear()
-                    missing = wanted
-                self._learn(missing)
+                self._learn(set().union(*split))
                 for pieces in split:
                     yield b"".join(map(self.cache.__getitem__, pieces))
             at = end

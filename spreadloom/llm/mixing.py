@@ -55,7 +55,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tu
     if not domains:
         return [], {}, spark.createDataFrame([], "bucket int, logs array<double>")
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-    own = docs.join(checked_broadcast(drawn, min(n, sample), 4 * SAMPLE), "doc_id")
+    own = docs.select("doc_id", "text").join(checked_broadcast(drawn, min(n, sample), 4 * SAMPLE), "doc_id")
     counts = _buckets(own.withColumn("__words", _words(F.col("text"))), ["domain"]).groupBy("domain", "bucket").count()
     counts = materialised(counts, "classifier")
     totals = dict(counts.groupBy("domain").agg(F.sum("count")).collect())

@@ -379,11 +379,13 @@ class Trie:
 
 
 def quantised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes of values, and the mean of each code's values; codes hold about equally many."""
+    """8-bit codes of values, and the mean of each code's values; codes hold about equally many distinct values."""
     if not len(logs):
         return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, 257)[1:-1]))
-    codes = np.searchsorted(edges, logs).astype(np.uint8)
+    levels = np.unique(np.round(logs, 4))
+    at = np.unique(np.linspace(0, len(levels), 257).astype(np.int64)[1:-1])
+    at = at[(at > 0) & (at < len(levels))]
+    codes = np.searchsorted((levels[at - 1] + levels[at]) / 2, logs).astype(np.uint8)
     n = np.maximum(1, np.bincount(codes, minlength=256))
     return codes, np.bincount(codes, logs, 256) / n
 
