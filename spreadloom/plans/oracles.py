@@ -320,6 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "panel_unpivot": sql(f"SELECT target, date_id, feature, {r('value')} AS value FROM lg", core, LONG),
         "panel_pivot": sql("SELECT date_id, " + ", ".join(f"{r(f'max(CASE WHEN asset = {a!r} THEN price END)', 5)} AS {a}" for a in SEGMENTS) + " FROM filled GROUP BY date_id"),
         "wide_fill": sql("SELECT date_id, " + ", ".join(f"{r(f'max(CASE WHEN asset = {a!r} THEN price END)', 5)} AS {a}" for a in SEGMENTS) + " FROM filled GROUP BY date_id"),
+        "lag_label_pivot": sql("SELECT date_id, " + ", ".join(f"{r(f'sum(label) FILTER (WHERE lag = {k})')} AS lag_{k}" for k in (1, 2, 3, 4)) + " FROM lab JOIN specs USING (target) GROUP BY date_id"),
         "train_mask": sql(f"SELECT DISTINCT date_id, date_id <= {TRAIN_END} AS is_train FROM tgt"),
         "train_test_split": sql(f"SELECT target, date_id <= {TRAIN_END} AS is_train, count(*) AS n, min(date_id) AS first, max(date_id) AS last FROM tgt GROUP BY 1, 2"),
         "feature_label_join": sql(f"SELECT target, date_id, {r('ret_1')} AS ret_1, {r('label')} AS label FROM fac JOIN lab USING (target, date_id) WHERE label IS NOT NULL AND date_id % 3 = 0", core),

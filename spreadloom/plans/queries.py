@@ -220,6 +220,7 @@ def queries() -> dict[str, Query]:
         "panel_unpivot": lambda s, d: _round(_long(s, d), ["target", "date_id", "feature"]),
         "panel_pivot": lambda s, d: clean.to_wide(dt.filled_prices(s, d), list(dt.SEGMENTS)).select("date_id", *[rounded(F.col(a), 5).alias(a) for a in dt.SEGMENTS]),
         "wide_fill": lambda s, d: _round(clean.fill_wide(clean.to_wide(dt.prices(s, d), list(dt.SEGMENTS))), ["date_id"], 5),
+        "lag_label_pivot": lambda s, d: dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target").groupBy("date_id").pivot("lag", [1, 2, 3, 4]).agg(rounded(F.sum("label")).alias("x")).toDF("date_id", "lag_1", "lag_2", "lag_3", "lag_4"),
         "train_mask": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where(F.col("date_id") <= dt.TRAIN_END)),
         "train_test_split": lambda s, d: px(s, d).withColumn("is_train", F.col("date_id") <= dt.TRAIN_END).groupBy("target", "is_train").agg(F.count("*").alias("n"), F.min("date_id").alias("first"), F.max("date_id").alias("last")),
         "feature_label_join": lambda s, d: _round(_core(s, d).join(dt.labels(s, d).where("label IS NOT NULL AND date_id % 3 = 0"), KEYS).select(*KEYS, "ret_1", "label"), KEYS),
@@ -264,6 +265,7 @@ def queries() -> dict[str, Query]:
         "grid_sample": lambda s, d: models.sampled_grid(s, 50, 2025),
         "pca_loadings": lambda s, d: _round(decomp.pca_loadings(px(s, d), dt.TRAIN_END), ["target", "component"]),
         "pca_norms": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).groupBy("component").agg(rounded(F.sum(F.col("loading") ** 2)).alias("norm"), F.count("*").alias("n")),
+        "pca_features": lambda s, d: decomp.with_loadings(_core(s, d).where("date_id > 2000"), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
         "gbt_train_predict": _gbt,
         "stream_daily_panel": lambda s, d: _round(_stream_prices(s, d), ["date_id", "asset"]),
         "stream_history_features": lambda s, d: _round(_events_features(_stream_prices(s, d)), KEYS),

@@ -34,7 +34,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date_id, asset, price) of every date and asset, NULL where there is no order: dates x a handful of assets."""
     seen = observed(spark, sf_dir)
     dates, assets = seen.select("date_id").distinct(), seen.select("asset").distinct()
-    return dates.crossJoin(F.broadcast(assets)).join(seen, ["date_id", "asset"], "left")
+    return dates.crossJoin(assets).join(seen, ["date_id", "asset"], "left")
 
 
 def specs(spark: SparkSession) -> DataFrame:
