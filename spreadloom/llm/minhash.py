@@ -4,10 +4,11 @@
    BANDS band keys of ROWS whole minima each, and a fingerprint of the set. Texts of equal sets share one class.
 2. Candidates: classes that share a band key. In each bucket, every class is paired with the bucket's least one, so a
    bucket of n classes makes n - 1 pairs. Signatures drop pairs whose collision-corrected similarity, from counts of
-   equal BITS-bit slots, is below the threshold less MARGIN; the rest is confirmed on the full sets.
+   equal BITS-bit slots, is below the threshold less MARGIN; odd sketches of the full sets drop pairs that provably
+   differ in too many shingles; the rest is confirmed on the full sets.
 3. Components of the confirmed links. Buckets that still hold several components are gone through again: each class is
    paired with its likeliest partner in another component, until that links nothing new; then all remaining pairs
-   across components that pass the signature test are confirmed. Pairs inside a component need no test.
+   across components that pass both tests are confirmed. Pairs inside a component need no test.
 
 A bucket is never collected: members stream in order of their component, and only those of buckets with several
 components are compared, block by block. At similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**42,
@@ -34,6 +35,10 @@ HASHES, BITS, ROWS, BANDS = 256, 4, 6, 42
 MARGIN = 0.15
 #: Ids that are broadcast at most; signatures that are compared at a time.
 MAX_BROADCAST, BLOCK = 2_000_000, 512
+#: Edges from which a node's least neighbour is broadcast.
+HOT = 10_000
+#: Bits of an odd sketch.
+ODD = 2048
 
 _A = (random64(1, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random64(2, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -73,6 +78,18 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return h
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """ODD bits: whether an odd number of a set's members fall on each. Two sets differ in one member a differing bit, or more."""
+    return np.packbits((np.bincount((shingles & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(bool)).tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """False where the differing bits of odd sketches prove that a pair isn't similar enough; no chance is involved."""
+    least = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    both = size_a + size_b
+    return 100 * (both - least) >= percent * (both + least)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from packed signatures (uint64 words in the last axis): equal slots, less those equal by chance."""
     x = a ^ b
@@ -107,18 +124,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int) -> DataFrame:
-    """(rep, shingles) of the documents in ids(rep): sorted 64-bit hashes as bytes."""
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    """(rep, shingles, odd) of the documents in ids(rep): sorted 64-bit hashes as bytes, and the odd sketch."""
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary()), ("odd", pa.binary())])
 
     def work(batches):
         hasher = WordHasher()
         for batch in batches:
             for first, words, bounds in hasher.texts(batch.column(1)):
-                sets = [shingle_set(words[bounds[k] : bounds[k + 1]], width).tobytes() for k in range(len(bounds) - 1)]
-                yield batch_of(schema, batch.column(0).slice(first, len(sets)), sets)
+                sets = [shingle_set(words[bounds[k] : bounds[k + 1]], width) for k in range(len(bounds) - 1)]
+                yield batch_of(schema, batch.column(0).slice(first, len(sets)), [x.tobytes() for x in sets], [odd_sketch(x) for x in sets])
 
     own = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(ids, n_ids, MAX_BROADCAST), "rep", "left_semi")
-    return own.mapInArrow(work, "rep long, shingles binary")
+    return own.mapInArrow(work, "rep long, shingles binary, odd binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,22 +159,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow the similarity."""
+def likely(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes, signatures and odd sketches allow the similarity. own: (rep, n_shingles, sig, odd)"""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = percent / 100 - MARGIN
 
     def work(batches):
         for batch in batches:
-            a, b, x, y = batch.columns
-            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, HASHES * BITS // 64) for c in (x, y))
-            keep = pa.array(estimate(p, q) >= least)
+            a, b, x, y, nx, ny, ox, oy = batch.columns
+            p, q, o, r = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (x, y, ox, oy))
+            keep = pa.array((estimate(p, q) >= least) & may_link(o, r, nx.to_numpy(), ny.to_numpy(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], schema=schema)
 
-    first = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("nx"))
-    second = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("ny"))
+    first = own.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"))
+    second = own.select(F.col("rep").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("ny"), F.col("odd").alias("oy"))
     both = pairs.join(first, "a").join(second, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "x", "y", "nx", "ny", "ox", "oy").mapInArrow(work, "a long, b long")
+
+
+def _with_least(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows(u, v) with m, the least neighbour of u by edges(u, v).
+
+    Nodes of more than HOT edges are few (a HOT-th of the edges at most): theirs are broadcast, so that a node's rows
+    needn't meet in one task.
+    """
+    least = materialised(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hot = least.where(F.col("n") > HOT).select("u", "m")
+    n = hot.count()
+    cold = least.where(F.col("n") <= HOT).select("u", "m")
+    if not n:
+        return rows.join(cold, "u")
+    hot = checked_broadcast(hot, n, MAX_BROADCAST)
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -170,13 +203,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node link to the least node around it
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), both).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below a node, and the node, link to the least of them
         large = materialised(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialised(small, "edges")
+        small = materialised(_with_least(large, large), "edges")
+        own = small.select("u", F.col("m").alias("v"))
+        edges = materialised(own.union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
@@ -185,15 +217,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket, from rows (bk, component, rep, sig, n_shingles).
+    """Pairs (a, b) of different components in a bucket, from rows (bk, component, rep, sig, n_shingles, odd).
 
-    best: for each class, its likeliest partner only; else all that pass the signature test. Members of a bucket come
+    best: for each class, its likeliest partner only; else all that pass the tests of signatures and odd sketches. Members of a bucket come
     as a stream in order of component; they are kept as packed signatures and compared block by block.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    least, width = percent / 100 - MARGIN, HASHES * BITS // 64
+    least = percent / 100 - MARGIN
 
-    def pairs(comp, rep, sig, size):
+    def pairs(comp, rep, sig, size, odd):
         for at in range(0, len(rep), BLOCK):
             s = slice(at, at + BLOCK)
             top, partner = np.full(len(rep[s]), -1.0), np.zeros(len(rep[s]), np.int64)
@@ -206,6 +238,8 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
                 score = estimate(sig[s][i], sig[t][j])
                 ok = score >= least
                 i, j, score = i[ok], j[ok], score[ok]
+                ok = may_link(odd[s][i], odd[t][j], size[s][i], size[t][j], percent)
+                i, j, score = i[ok], j[ok], score[ok]
                 if not best:
                     yield from zip(rep[s][i].tolist(), rep[t][j].tolist(), strict=True)
                     continue
@@ -224,8 +258,8 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
         def flush():
             comp, rep, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
-            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, width)
-            yield from ((min(p), max(p)) for p in pairs(comp, rep, sig, size) if p[0] != p[1])
+            sig, odd = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64).reshape(len(rows), -1) for k in (2, 4))
+            yield from ((min(p), max(p)) for p in pairs(comp, rep, sig, size, odd) if p[0] != p[1])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -243,7 +277,7 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
             yield batch_of(schema, *zip(*out, strict=True))
 
     spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select("bk", "component", "rep", "sig", "n_shingles").repartition(spread, "bk").sortWithinPartitions("bk", "component", "rep")
+    ordered = members.select("bk", "component", "rep", "sig", "n_shingles", "odd").repartition(spread, "bk").sortWithinPartitions("bk", "component", "rep")
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -267,11 +301,10 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     buckets = materialised(salted_join(keys, hubs, ["bk"]), "buckets")
     ids = materialised(buckets.select("rep").distinct(), "ids")
     n_ids = ids.count()
-    own = materialised(sigs.select("rep", "n_shingles", "sig").join(checked_broadcast(ids, n_ids, MAX_BROADCAST), "rep", "left_semi"), "packed")
+    sets = materialised(shingle_sets(docs, ids, n_ids, width), "sets")
+    own = materialised(sigs.select("rep", "n_shingles", "sig").join(sets.select("rep", "odd"), "rep"), "packed")
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialised(likely(stars, own, percent), "pairs")
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialised(shingle_sets(docs, ids, n_ids, width), "sets")
     links = materialised(confirmed(pairs, sets, percent), "links")
     while True:
         found = components(links)
