@@ -211,7 +211,7 @@ COINT = """ci AS (SELECT t.target, t.date_id, a.lp AS y, coalesce(b.lp, idx.idx)
 
 LONG = "lg AS (" + " UNION ALL ".join(f"SELECT target, date_id, '{n}' AS feature, {n} AS value FROM fac" for n in CORE) + ")"
 GAPPY = "gp AS (SELECT target, date_id, feature, CASE WHEN date_id % 7 <> 0 THEN value END AS value FROM lg)"
-PRED = f"pr AS (SELECT *, avg(label) OVER ({O} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS pred FROM lab)"
+PRED = f"pr AS (SELECT target, date_id, round(label, 9) + 0.0 AS label, round(avg(label) OVER ({O} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 9) + 0.0 AS pred FROM lab)"
 IC = """rk AS (SELECT date_id, row_number() OVER (PARTITION BY date_id ORDER BY pred, target) AS x, row_number() OVER (PARTITION BY date_id ORDER BY label, target) AS y
   FROM pr WHERE pred IS NOT NULL AND label IS NOT NULL),
 ic AS (SELECT date_id, corr(x, y) AS ic, count(*) AS n FROM rk GROUP BY date_id HAVING count(*) >= 3)"""

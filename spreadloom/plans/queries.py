@@ -38,9 +38,9 @@ def _core(s: SparkSession, d: str) -> DataFrame:
 
 
 def _predictions(s: SparkSession, d: str) -> DataFrame:
-    """A stand-in forecast: the mean of the last five labels, one day late."""
-    lab = dt.labels(s, d)
-    return lab.withColumn("pred", F.avg("label").over(ordered().rowsBetween(-5, -1)))
+    """A stand-in forecast: the mean of the last five labels, one day late. Rounded, so that ranks don't follow noise."""
+    lab = dt.labels(s, d).withColumn("pred", F.avg("label").over(ordered().rowsBetween(-5, -1)))
+    return _round(lab, KEYS, 9)
 
 
 def _factor(names: list[str]) -> Query:
