@@ -249,7 +249,7 @@ def queries() -> dict[str, Query]:
         "daily_ic": lambda s, d: _round(metrics.daily_ic(_predictions(s, d)), ["date_id", "n"]),
         "ic_summary": lambda s, d: _round(metrics.ic_summary(metrics.daily_ic(_predictions(s, d))), ["n_dates"]),
         "rmse": lambda s, d: _round(metrics.rmse(_predictions(s, d), ["target"]), ["target"], 8),
-        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select("target", "date_id", "pred").unionByName(_predictions(s, d).select("target", "date_id", (F.col("pred") * 3).alias("pred")))), KEYS),
+        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select("target", "date_id", "pred").unionByName(_predictions(s, d).select("target", "date_id", (F.col("pred") * 3.14159265).alias("pred")))), KEYS),
         "eda_summary": lambda s, d: _round(eda.feature_summary(_long(s, d)), ["feature", "n"]),
         "panel_shape": lambda s, d: eda.panel_shape(_long(s, d)),
         "grid_product": lambda s, d: models.grid(s),
