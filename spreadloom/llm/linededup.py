@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, salted_join
+from .common import SPACES, ascii_lower, materialised, salted_join
 
 #: Shortest key, in code points, and least number of documents, for which lines are dropped.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -34,6 +34,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     lines = keyed.select("__id", "__h", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", _key(F.col("line"))).where(F.char_length("key") >= min_chars)
     lines = lines.select("__id", "__h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(min_docs), "key").alias("k2"))
+    # read twice, below: the texts are split and hashed once
+    lines = materialised(lines, "lines")
     often = lines.groupBy("k1", "k2").agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("largest")).where(F.col("n") >= min_docs).drop("n")
     drops = salted_join(lines, often, ["k1", "k2"]).where(~F.col("__id").eqNullSafe(F.col("largest")))
     drops = drops.groupBy("__id", "__h").agg(F.collect_set("pos").alias("drop"))
