@@ -13,8 +13,8 @@ A lookup is relative to its context: select the bucket's zero, compare low bits.
 p(w | c) = (count - D) / count(c) + D * n(c) / count(c) * p(w), where n(c) is the difference of two pointers and
 p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)); an unknown context gives p(w). Level 1 has exact counts.
 
-Files are written to the shared folder and memory-mapped by the tasks; from a store without local paths they are fetched
-to a file that is unlinked once mapped. Written under another name and moved, so a task can run again.
+Files are written to the shared folder and memory-mapped by the tasks; from a store without local paths they are read
+into an anonymous map. They are written under another name and moved, so a task can run again.
 
 Cases: a null or empty text is the end token alone; no training texts: p is 1 for every token; ids up to 2**32 words;
 long texts are hashed and scored in blocks of tokens; equal texts have equal scores; a null doc_id isn't held out and
@@ -24,9 +24,8 @@ isn't trained on; rows that repeat count as often as they stand. Extra columns a
 from __future__ import annotations
 
 import json
-import os
+import mmap
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -203,11 +202,12 @@ def _mapped(path: str) -> np.ndarray:
     store, inner = _store(path)
     if type(store).__name__ == "LocalFileSystem":
         return np.memmap(inner, np.uint8, "r")
-    with store.open_input_file(inner) as src, tempfile.NamedTemporaryFile(delete=False) as to:
+    with store.open_input_file(inner) as src:
+        got = np.frombuffer(mmap.mmap(-1, src.size()), np.uint8)
+        at = 0
         while part := src.read(1 << 22):
-            to.write(part)
-    got = np.memmap(to.name, np.uint8, "r")
-    os.unlink(to.name)
+            got[at : at + len(part)] = np.frombuffer(part, np.uint8)
+            at += len(part)
     return got
 
 
