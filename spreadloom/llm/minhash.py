@@ -10,14 +10,15 @@
    paired with its likeliest partner in another component, until that links nothing new; then all remaining pairs
    across components that pass both tests are confirmed. Pairs inside a component need no test.
 
-A bucket is never collected: members stream in order of their component, and only those of buckets with several
-components are compared, block by block. At similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**42,
+Buckets with several components are compared in groups of bounded size: blocks of members against blocks of those
+outside the bucket's largest component. At similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**42,
 3e-6; it fails the signature test with probability 3e-7 or so.
 
 Cases: a null text, or one without words, has an empty set and links with nothing; with fewer words than a shingle, the
-whole sequence is the one shingle; rows of one doc_id count as one document each but share a component where their
-sets are equal; a null doc_id keeps null as its component unless its set is that of a document with an id; long texts
-are hashed in blocks; ties don't occur, as the least id is unique. Extra columns are not read.
+whole sequence is the one shingle; each row gets the component of its own set, also where rows share a doc_id; the
+links of several sets whose least id is the same are taken together; a null doc_id keeps null as its component unless
+its set is that of a document with an id; long texts are hashed in blocks; ties don't occur, as the least id is unique.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ HASHES, BITS, ROWS, BANDS = 256, 4, 6, 42
 MARGIN = 0.15
 #: Ids that are broadcast at most; signatures that are compared at a time.
 MAX_BROADCAST, BLOCK = 2_000_000, 512
-#: Edges from which a node's least neighbour is broadcast.
-HOT = 10_000
+#: Members of a bucket that are compared in one group, about.
+MEMBERS = 4096
+#: Edges from which a node's least neighbour is broadcast; fewer are sorted in one task with ease.
+HOT = 1_000_000
 #: Bits of an odd sketch.
 ODD = 2048
 
@@ -177,20 +180,19 @@ def likely(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y", "nx", "ny", "ox", "oy").mapInArrow(work, "a long, b long")
 
 
-def _with_least(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows(u, v) with m, the least neighbour of u by edges(u, v).
+def _with_least(rows: DataFrame, edges: DataFrame, n_edges: int) -> DataFrame:
+    """rows(u, v) with m, the least neighbour of u by edges(u, v), of which there are n_edges.
 
     Nodes of more than HOT edges are few (a HOT-th of the edges at most): theirs are broadcast, so that a node's rows
     needn't meet in one task.
     """
-    least = materialised(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if n_edges <= HOT:
+        return rows.join(least.drop("n"), "u")
+    least = materialised(least, "least")
     hot = least.where(F.col("n") > HOT).select("u", "m")
-    n = hot.count()
-    cold = least.where(F.col("n") <= HOT).select("u", "m")
-    if not n:
-        return rows.join(cold, "u")
-    hot = checked_broadcast(hot, n, MAX_BROADCAST)
-    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(cold, "u"))
+    hot = checked_broadcast(hot, hot.count(), MAX_BROADCAST)
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(least.where(F.col("n") <= HOT).select("u", "m"), "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,85 +201,100 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a join on the least neighbour, until the edges are stars.
     """
     edges = materialised(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    n, state = edges.count(), None
+    while n:
         # large star: neighbours above a node link to the least node around it
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both.where("v > u"), both).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), both, n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below a node, and the node, link to the least of them
         large = materialised(large, "edges")
-        small = materialised(_with_least(large, large), "edges")
-        own = small.select("u", F.col("m").alias("v"))
-        edges = materialised(own.union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        small = _with_least(large, large, n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = materialised(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        if now == state:
             break
-        state = now
+        n, state = now[0], now
     return edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
 
 
+def blocks(labelled: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows (bk, i, j, minor, component, rep, n_shingles, sig, odd) of the buckets that hold several components.
+
+    labelled: (bk, rep, component). A pair across components has a member outside the bucket's largest one: a minor.
+    The members of a bucket are dealt to blocks i, its minors to blocks j, of MEMBERS or so each; group (i, j) holds
+    both, so no group is larger than two blocks, however large the bucket.
+    """
+    parts = labelled.groupBy("bk", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bk").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("bk", F.col("top.component").alias("major"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("ni"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("nj"))
+    members = salted_join(labelled, mixed, ["bk"]).withColumn("h", F.xxhash64("rep"))
+    at, to = F.pmod("h", "ni").cast("int"), F.pmod(F.shiftright("h", 20), F.col("nj")).cast("int")
+    every = members.select("bk", at.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(False).alias("minor"), "component", "rep")
+    minors = members.where(F.col("component") != F.col("major")).select("bk", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), to.alias("j"), F.lit(True).alias("minor"), "component", "rep")
+    return every.union(minors).join(own, "rep")
+
+
 def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket, from rows (bk, component, rep, sig, n_shingles, odd).
+    """Pairs (a, b) of different components in the groups of blocks().
 
-    best: for each class, its likeliest partner only; else all that pass the tests of signatures and odd sketches. Members of a bucket come
-    as a stream in order of component; they are kept as packed signatures and compared block by block.
+    best: for each minor, its likeliest partner of a group only; else all that pass the tests of signatures and odd
+    sketches. A group streams in, is kept as packed signatures and compared BLOCK by BLOCK.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = percent / 100 - MARGIN
 
-    def pairs(comp, rep, sig, size, odd):
-        for at in range(0, len(rep), BLOCK):
-            s = slice(at, at + BLOCK)
-            top, partner = np.full(len(rep[s]), -1.0), np.zeros(len(rep[s]), np.int64)
-            for to in range(0, len(rep) if best else at + BLOCK, BLOCK):
-                t = slice(to, to + BLOCK)
-                if comp[s][0] == comp[s][-1] == comp[t][0] == comp[t][-1]:
-                    continue
-                fits = (comp[s][:, None] != comp[t]) & (100 * np.minimum(size[s][:, None], size[t]) >= percent * np.maximum(size[s][:, None], size[t]))
+    def pairs(x, y):
+        for at in range(0, len(x["rep"]), BLOCK):
+            p = {k: v[at : at + BLOCK] for k, v in x.items()}
+            top, partner = np.full(len(p["rep"]), -1.0), np.zeros(len(p["rep"]), np.int64)
+            for to in range(0, len(y["rep"]), BLOCK):
+                q = {k: v[to : to + BLOCK] for k, v in y.items()}
+                fits = (p["comp"][:, None] != q["comp"]) & (100 * np.minimum(p["size"][:, None], q["size"]) >= percent * np.maximum(p["size"][:, None], q["size"]))
                 i, j = np.nonzero(fits)
-                score = estimate(sig[s][i], sig[t][j])
+                score = estimate(p["sig"][i], q["sig"][j])
                 ok = score >= least
                 i, j, score = i[ok], j[ok], score[ok]
-                ok = may_link(odd[s][i], odd[t][j], size[s][i], size[t][j], percent)
+                ok = may_link(p["odd"][i], q["odd"][j], p["size"][i], q["size"][j], percent)
                 i, j, score = i[ok], j[ok], score[ok]
-                if not best:
-                    yield from zip(rep[s][i].tolist(), rep[t][j].tolist(), strict=True)
-                    continue
-                order = np.argsort(score, kind="stable")
-                better = np.full(len(top), -1.0)
-                choice = np.zeros(len(top), np.int64)
-                better[i[order]] = score[order]
-                choice[i[order]] = rep[t][j[order]]
-                more = better > top
-                top[more], partner[more] = better[more], choice[more]
+                if best:
+                    order = np.argsort(score, kind="stable")
+                    better, choice = np.full(len(top), -1.0), np.zeros(len(top), np.int64)
+                    better[i[order]] = score[order]
+                    choice[i[order]] = q["rep"][j[order]]
+                    more = better > top
+                    top[more], partner[more] = better[more], choice[more]
+                else:
+                    yield from zip(p["rep"][i].tolist(), q["rep"][j].tolist(), strict=True)
             if best:
-                yield from zip(rep[s][top >= 0].tolist(), partner[top >= 0].tolist(), strict=True)
+                yield from zip(p["rep"][top >= 0].tolist(), partner[top >= 0].tolist(), strict=True)
+
+    def packed(rows):
+        ints = {k: np.array([r[c] for r in rows], np.int64) for k, c in (("comp", 1), ("rep", 2), ("size", 3))}
+        return ints | {k: np.frombuffer(b"".join(r[c] for r in rows), np.uint64).reshape(len(rows), -1) for k, c in (("sig", 4), ("odd", 5))}
 
     def work(batches):
         key, rows, out = None, [], []
 
         def flush():
-            comp, rep, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
-            sig, odd = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64).reshape(len(rows), -1) for k in (2, 4))
-            yield from ((min(p), max(p)) for p in pairs(comp, rep, sig, size, odd) if p[0] != p[1])
+            minors, every = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+            if minors and every:
+                out.extend({(min(p), max(p)) for p in pairs(packed(minors), packed(every)) if p[0] != p[1]})
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != key:
-                    if len(rows) > 1:
-                        out.extend(set(flush()))
-                    key, rows = row[0], []
-                rows.append(row[1:])
+                if row[:3] != key:
+                    flush()
+                    key, rows = row[:3], []
+                rows.append(row[3:])
             if len(out) > 10_000:
                 yield batch_of(schema, *zip(*out, strict=True))
-                out = []
-        if len(rows) > 1:
-            out.extend(set(flush()))
+                out.clear()
+        flush()
         if out:
             yield batch_of(schema, *zip(*out, strict=True))
 
     spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select("bk", "component", "rep", "sig", "n_shingles", "odd").repartition(spread, "bk").sortWithinPartitions("bk", "component", "rep")
+    ordered = members.select("bk", "i", "j", "minor", "component", "rep", "n_shingles", "sig", "odd").repartition(spread, "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -294,7 +311,6 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = materialised(classes, "classes")
     # of the rows of a class, that of its least id; rows repeated under one id count once
     sigs = full.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    # a doc_id with several texts may stand for several classes; such a class is told apart by its set
     sigs = sigs.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands")
     keys = sigs.select("rep", F.explode("bands").alias("bk"))
     hubs = keys.groupBy("bk").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
@@ -306,21 +322,20 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialised(likely(stars, own, percent), "pairs")
     links = materialised(confirmed(pairs, sets, percent), "links")
+    found = components(links)
     while True:
-        found = components(links)
         for best in (True, False):
             labelled = buckets.select("bk", "rep").join(found, "rep", "left").select("bk", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = labelled.groupBy("bk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bk")
-            members = salted_join(labelled, mixed, ["bk"]).join(own, "rep")
-            new = materialised(across(members, percent, best), "pairs")
+            new = materialised(across(blocks(labelled, own), percent, best), "pairs")
             more = materialised(confirmed(new, sets, percent), "links")
             if more.head(1):
-                links = materialised(links.union(more).distinct(), "links")
+                # the stars that there are stand for the links that made them
+                found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more))
                 break
-        if not more.head(1) or not best:
+        else:
+            break
+        if not best:
             break
-    if not best and more.head(1):
-        found = components(links)
     linked = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = salted_join(base.select("doc_id", "n_shingles", "s1", "s2"), linked, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
