@@ -323,3 +323,20 @@ def test_rejects_what_has_no_language(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("rows", [0, 9])
+def test_stages_take_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, repeated rows, clashing columns and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rep long, component string, copies int, key string, score double"
+    good = "the and of that with in is to for be " * 3
+    data = [(1, good, "en", "s", 1, 1, "c", 1, "k", 0.5), (1, good, "en", "s", 1, 1, "c", 1, "k", 0.5), (None, None, None, None, None, None, None, None, None, None), (None, good, None, "s", 1, None, None, None, None, None), (2, "", "en", None, None, 3, "", 0, "", 0.0), (3, good + "x", None, "s", 7, 1, "c", 2, "k", 1.0), (4, "der die und das ist nicht mit", "de", "s", 1, 1, "c", 1, "k", 0.5), (5, "\n\n", "de", "s", 1, 1, "c", 1, "k", 0.5), (6, None, "de", "s", 1, 1, "c", 1, "k", 0.5)][:rows]
+    docs = spark.createDataFrame(data, schema)
+    spark.createDataFrame([(1, 1, 0), (4, None, 1), (None, 1, 1)][:rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialised(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == docs.columns or name == "byte_bpe"
+        assert out.count() <= rows
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert 3 not in kept
+    assert len(kept) == (0 if not rows else 6)
