@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadloom.llm import bpe, langid, linededup, minhash, mixing
-from spreadloom.llm.common import checked_broadcast, materialised
+from spreadloom.llm.common import cap_batches, checked_broadcast, materialised
 
 #: Least score of a language for a document to stay.
 MIN_LANGUAGE_SCORE = 0.5
@@ -18,6 +18,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or without a likely language. Learns from docs whose lang isn't null."""
+    cap_batches(spark)  # workers of all stages live side by side
     langs, logs = langid.fit(docs.select("doc_id", "text", "lang"))
     return langid.keep_known(docs, langs, logs, MIN_LANGUAGE_SCORE)
 
@@ -43,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids as little-endian unsigned 32-bit integers, and the digest of the decoded bytes."""
+    cap_batches(spark)
     out = bpe.encode_texts(docs)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -47,9 +47,11 @@ def materialised(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> Iterator[None]:
-    """While it lasts, caps the Arrow batches to and from Python, so that wide rows take little memory outside the heap."""
+def cap_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> dict[str, str]:
+    """Caps the session's Arrow batches to and from Python, so that wide rows take little memory outside the heap.
+
+    Returns the settings that held before.
+    """
     before = {}
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
@@ -57,6 +59,13 @@ def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -
         now = before[key].lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+    return before
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """cap_batches while it lasts; for operators that run their Python stages themselves."""
+    before = cap_batches(spark)
     try:
         yield
     finally:
