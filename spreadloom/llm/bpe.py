@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of
 
 #: Pieces whose ids a worker keeps; beyond it the store starts anew.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
 #: Longest piece in the forest; longer ones have a tree of their own.
 FOREST_BYTES = 64
 #: Texts of more characters are split as a stream.
