@@ -113,7 +113,7 @@ def _events_features(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("asset").alias("target"), "date_id", "price", F.avg("price").over(last_rows(5, "asset")).alias("mean_5"), F.stddev_samp("change").over(last_rows(10, "asset")).alias("vol_10"))
 
 
-def stream_latest(s: SparkSession, d: str) -> DataFrame:
+def _streamed(s: SparkSession, prices: DataFrame, tail: int) -> DataFrame:
     """The stream's answers: each day's prediction is the mean of the last five days, from the tail of the history."""
     class Mean(daily.Server):
         def features(self, history):
@@ -124,13 +124,24 @@ def stream_latest(s: SparkSession, d: str) -> DataFrame:
 
     folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spreadloom-stream-")
     work = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    daily.write_days(_first_days(s, d, 6), f"{work}/days")
-    out = daily.serve(s, f"{work}/days", work, Mean(), tail=12)
+    prices = prices.persist()  # else each day's file reads the source again
+    daily.write_days(prices, f"{work}/days")
+    prices.unpersist()
+    out = daily.serve(s, f"{work}/days", work, Mean(), tail=tail)
     out = s.createDataFrame(out.toPandas(), "target string, date_id int, pred double") if out.count() else out
     shutil.rmtree(work.removeprefix("file://"), ignore_errors=True)
     return _round(out, KEYS)
 
 
+def stream_latest(s: SparkSession, d: str) -> DataFrame:
+    """The first six days only, as the SQL has it; stream_latest_whole streams all."""
+    return _streamed(s, _first_days(s, d, 6), 12)
+
+
+def stream_latest_whole(s: SparkSession, d: str) -> DataFrame:
+    return _streamed(s, _stream_prices(s, d), daily.TAIL)
+
+
 def _first_days(s: SparkSession, d: str, n: int) -> DataFrame:
     rows = _stream_prices(s, d)
     low = rows.agg(F.min("date_id").alias("low"))
@@ -270,6 +281,7 @@ def queries() -> dict[str, Query]:
         "stream_daily_panel": lambda s, d: _round(_stream_prices(s, d), ["date_id", "asset"]),
         "stream_history_features": lambda s, d: _round(_events_features(_stream_prices(s, d)), KEYS),
         "stream_latest": stream_latest,
+        "stream_latest_whole": stream_latest_whole,
     }
     return q
 

@@ -1,7 +1,10 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from spreadloom.functions.windows import last_rows
+from spreadloom.plans import queries
 from spreadloom.streaming import daily
 
 
@@ -59,3 +62,17 @@ def test_constant_server(spark, prices):
     s = daily.ConstantServer()
     got = s.predict(daily.latest(s.features(prices))).orderBy("target").collect()
     assert [r.pred for r in got] == [0.0, 0.001]
+
+
+def test_all_days_of_events_are_streamed(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1, 12)
+    rows = [(start + datetime.timedelta(days=d), a, float(d * d + 10 * k)) for d in range(14) for k, a in enumerate("xy") if (d + k) % 5]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    expected = {}
+    for a in "xy":
+        own = [(t, v) for t, b, v in rows if b == a]
+        for i, (t, _) in enumerate(own):
+            last = [v for _, v in own[max(0, i - 4) : i + 1]]
+            expected[a, (t.date() - datetime.date(1970, 1, 1)).days] = round(sum(last) / len(last), 6)
+    got = {(r.target, r.date_id): r.pred for r in queries.queries()["stream_latest_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected)
