@@ -37,6 +37,10 @@ def _core(s: SparkSession, d: str) -> DataFrame:
     return factors.factor_features(dt.targets(s, d), ["ret_1", "vol_20", "sharpe_20", "momentum_20"])
 
 
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return dt.labels(s, d).where("label IS NOT NULL")
+
+
 def _predictions(s: SparkSession, d: str) -> DataFrame:
     """A stand-in forecast: the mean of the last five labels, one day late. Rounded, so that ranks don't follow noise."""
     lab = dt.labels(s, d).withColumn("pred", F.avg("label").over(ordered().rowsBetween(-5, -1)))
@@ -239,6 +243,12 @@ def queries() -> dict[str, Query]:
         "full_join_blocks": lambda s, d: _round(_core(s, d).select(*KEYS, "ret_1").where("date_id % 2 = 0").join(_core(s, d).select(*KEYS, "vol_20").where("date_id % 3 = 0"), KEYS, "full"), KEYS),
         "shared_dates": lambda s, d: metrics.shared_dates(px(s, d).where("date_id % 2 = 0"), dt.labels(s, d).where("date_id % 3 = 0")),
         "intersect_keys": lambda s, d: px(s, d).where("date_id % 2 = 0").select(*KEYS).intersect(dt.labels(s, d).where("date_id % 3 = 0").select(*KEYS)),
+        # the same over whole tables: the sides differ by train range and missing labels; those above keep the dates of their SQL
+        "feature_label_join_whole": lambda s, d: _round(_core(s, d).join(_labelled(s, d), KEYS).select(*KEYS, "ret_1", "label"), KEYS),
+        "mask_left_join_whole": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where(F.col("date_id") <= dt.TRAIN_END)).groupBy("is_train").agg(F.count("*").alias("n")),
+        "full_join_blocks_whole": lambda s, d: _round(_core(s, d).select(*KEYS, "ret_1").where(F.col("date_id") <= dt.TRAIN_END).join(_core(s, d).select(*KEYS, "vol_20").join(_labelled(s, d), KEYS, "left_semi"), KEYS, "full"), KEYS),
+        "shared_dates_whole": lambda s, d: metrics.shared_dates(px(s, d), _labelled(s, d)),
+        "intersect_keys_whole": lambda s, d: px(s, d).select(*KEYS).intersect(_labelled(s, d).select(*KEYS)),
         "aligned_columns": lambda s, d: _round(screen.aligned(_core(s, d), ["ret_1", "absent"]), KEYS),
         "latest_row": lambda s, d: _round(daily.latest(_core(s, d)), KEYS),
         "panel_preview": lambda s, d: _round(eda.preview(_core(s, d), ["target_0", "target_7"], ["ret_1", "vol_20"], 50), ["date_id"]),
@@ -276,7 +286,7 @@ def queries() -> dict[str, Query]:
         "grid_sample": lambda s, d: models.sampled_grid(s, 50, 2025),
         "pca_loadings": lambda s, d: _round(decomp.pca_loadings(px(s, d), dt.TRAIN_END), ["target", "component"]),
         "pca_norms": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).groupBy("component").agg(rounded(F.sum(F.col("loading") ** 2)).alias("norm"), F.count("*").alias("n")),
-        "pca_features": lambda s, d: decomp.with_loadings(_core(s, d).where("date_id > 2000"), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
+        "pca_features": lambda s, d: decomp.with_loadings(_core(s, d), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
         "gbt_train_predict": _gbt,
         "stream_daily_panel": lambda s, d: _round(_stream_prices(s, d), ["date_id", "asset"]),
         "stream_history_features": lambda s, d: _round(_events_features(_stream_prices(s, d)), KEYS),
