@@ -152,17 +152,26 @@ def _first_days(s: SparkSession, d: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(low), F.col("date_id") < F.col("low") + n).drop("low")
 
 
+def _factors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    return factors.factor_features(dt.targets(s, d)), list(factors.factor_columns())
+
+
 def _gbt(s: SparkSession, d: str) -> DataFrame:
-    config = models.TrainConfig(rounds=5, max_depth=3)
-    names = ["ret_1", "vol_20", "sharpe_20", "momentum_20"]
-    rows = models.training_rows(_core(s, d), dt.labels(s, d), names, config).cache()
+    config = models.TrainConfig()
+    rows, names = _factors(s, d)
+    rows = models.training_rows(rows, dt.labels(s, d), names, config).cache()
     return models.predict(models.fit(rows, names, config), rows, names)
 
 
 def _gp(s: SparkSession, d: str) -> DataFrame:
-    names = ["ret_1", "vol_20", "sharpe_20", "momentum_20"]
-    rows = _core(s, d).join(dt.labels(s, d), KEYS)
-    return symbolic.evaluated(rows, symbolic.evolve(rows, names, outputs=5, population=40, generations=2))
+    rows, names = _factors(s, d)
+    rows = rows.join(dt.labels(s, d), KEYS)
+    return symbolic.evaluated(rows, symbolic.evolve(rows, names))
+
+
+def _windows(features: DataFrame, columns: list[str], length: int) -> DataFrame:
+    out = labels.sequences(features, columns, length)
+    return out.select(*KEYS, F.size("sequence").alias("n"), rounded(F.aggregate("sequence", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double")), 4).alias("sum_first"), rounded(F.get(F.get("sequence", F.lit(0)), F.lit(1)).cast("double"), 5).alias("oldest"))
 
 
 def queries() -> dict[str, Query]:
@@ -257,7 +266,8 @@ def queries() -> dict[str, Query]:
         "label_shift_by_lag": lambda s, d: labels.shifted(dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target"), F.col("lag")).select(*KEYS, rounded(F.col("label")).alias("label")),
         "label_mask": lambda s, d: labels.labels_and_mask(dt.labels(s, d)).select(*KEYS, rounded(F.col("label")).alias("label"), "mask"),
         "valid_counts": lambda s, d: labels.valid_positions(dt.labels(s, d), 192, dt.TRAIN_END, 10),
-        "sequence_windows": lambda s, d: labels.sequences(_core(s, d), ["ret_1", "vol_20"], 16).select(*KEYS, F.size("sequence").alias("n"), rounded(F.aggregate("sequence", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double")), 4).alias("sum_first"), rounded(F.get(F.get("sequence", F.lit(0)), F.lit(1)).cast("double"), 5).alias("oldest")),
+        "sequence_windows": lambda s, d: _windows(_core(s, d), ["ret_1", "vol_20"], 16),
+        "sequence_windows_whole": lambda s, d: _windows(_factors(s, d)[0], list(factors.factor_columns()), labels.SEQUENCE),
         "batch_numbers": lambda s, d: labels.batches(px(s, d).select(*KEYS), seed=2024),
         "recency_weights_exp": _weights("recency_exp", 3.0, 0.5, 10.0),
         "recency_weights_linear": _weights("recency_linear", 2.0, None, None),
