@@ -12,7 +12,7 @@ chain enters each range; the last pass walks from there and reads only records t
 
 Cases: a null html is an empty payload; a null url is empty, and CR or LF in a url are percent-encoded; a null page_id
 reads back as null, and is a response unless an equal payload has an id; rows that repeat the largest page_id are all
-responses; payloads of any length are digested in blocks; a broken or cut record ends its file's chain; empty tables
+responses; headers of any length are read to their blank line; payloads of any length are digested in blocks; a broken or cut record ends its file's chain; empty tables
 and empty archives give no records. Extra columns are not stored. Digests are SHA-1 in lower-case hex.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, checked_broadcast, materialised, new_folder, salted_join
 
 MIN_REVISIT = 1000
-#: Bytes of an archive that one task scans; longest header; records in one archive; repeated payloads to broadcast.
+#: Bytes of an archive that one task scans; bytes first read of a header; records in one archive; repeated payloads to broadcast.
 SPLIT, MAX_HEADER, MAX_RECORDS, MAX_BROADCAST = 4 << 20, 1 << 16, 100_000, 200_000
 
 MAGIC = b"WARC/1.1\r\n"
@@ -82,7 +82,7 @@ def parse(header: bytes) -> tuple[int, int] | None:
     """(length of the header with its blank line, Content-Length) of what starts with a header, or None."""
     if not header.startswith(MAGIC):
         return None
-    end = header.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = header.find(b"\r\n\r\n")
     m = _LENGTH.search(header, 0, end + 2) if end >= 0 else None
     return (end + 4, int(m[1])) if m else None
 
@@ -91,13 +91,24 @@ def candidates(file, size: int, start: int, end: int) -> tuple[np.ndarray, np.nd
     """Offsets in [start, end) where a header stands, and those of their successors; what runs past the file is none."""
     data = file.read_at(min(end + MAX_HEADER, size) - start, start)
     found, after = [], []
-    at = data.find(MAGIC)
-    while 0 <= at < end - start:
-        got = parse(data[at : at + MAX_HEADER])
-        if got and (succ := start + at + sum(got) + 4) <= size:
+    top = end - start + len(MAGIC) - 1
+    at, blank, m = data.find(MAGIC, 0, top), -1, None
+    while at >= 0:
+        if blank < at:  # the next blank line ends the header of every place before it
+            blank = data.find(b"\r\n\r\n", at)
+            while blank < 0 and (more := min(len(data), size - start - len(data))) > 0:
+                seen = len(data)
+                data += file.read_at(more, start + seen)
+                blank = data.find(b"\r\n\r\n", max(at, seen - 3))
+            if blank < 0:
+                break
+            m = _LENGTH.search(data, at, blank + 2)
+        elif m and m.start() < at:
+            m = _LENGTH.search(data, at, blank + 2)
+        if m and (succ := start + blank + 8 + int(m[1])) <= size:
             found.append(start + at)
             after.append(succ)
-        at = data.find(MAGIC, at + 1)
+        at = data.find(MAGIC, at + 1, top)
     return np.array(found, np.int64), np.array(after, np.int64)
 
 
@@ -181,6 +192,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 with _open(path) as file:
                     while node < end:
                         head = file.read_at(min(MAX_HEADER, size - node), node)
+                        while head.startswith(MAGIC) and b"\r\n\r\n" not in head and (more := min(len(head), size - node - len(head))) > 0:
+                            head += file.read_at(more, node + len(head))
                         got = parse(head)
                         if not got or (succ := node + sum(got) + 4) > size:
                             break

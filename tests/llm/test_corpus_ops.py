@@ -151,6 +151,15 @@ def test_archives(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_pages(rows)
 
 
+@pytest.mark.parametrize("split", [3000, 4 << 20])
+def test_long_urls(spark, monkeypatch, split):
+    monkeypatch.setattr(warc, "SPLIT", split)
+    rows = [(i, "http://h/" + "u" * (200_000 if i % 4 == 1 else 66_000 if i % 4 == 3 else 9), f"page {i} " + "WARC/1.1\r\n" * (i % 3)) for i in range(12)]
+    folder = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1))
+    got = warc.read_archives(spark, folder).drop("path", "offset").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_pages(rows)
+
+
 def test_broken_archive(spark, tmp_path):
     rec = lambda i, body: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
     (tmp_path / "a.warc").write_bytes(rec(1, b"h\r\n\r\nbody") + rec(2, b"") + b"garbage" + rec(3, b"x"))
