@@ -8,7 +8,7 @@ labelled texts that trained no dictionary, each cell gets the log odds of occurr
 evidence is the sum over its distinct cells, and a threshold on it, chosen there too, becomes score 0.5.
 
 The fit takes a bounded sample of the labelled rows: SAMPLE_TOXIC and SAMPLE_ORDINARY of them by the hash of the id,
-whole texts, SAMPLE_BYTES characters a class at most. Every word of every text is scored.
+whole texts, SAMPLE_BYTES characters a class at most; a text that doesn't fit is passed over. Every word of every text is scored.
 
 Cases: a null or empty text has the score of no evidence; with no labelled rows, or of one class
 only, every score is that class's share; equal texts get equal scores; long texts are read in blocks. Labels, lang,
@@ -174,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     found = docs.join(checked_broadcast(drawn, sum(min(sizes.get(y, 0), m) for y, m in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))), 20_000), "doc_id").where(F.col("text").isNotNull())
     rows, used = [], Counter()
     for text, y in found.select("text", "toxic").orderBy(F.xxhash64(F.lit(10), "doc_id"), "text").toLocalIterator():
-        used[y] += len(text)
-        if used[y] <= SAMPLE_BYTES:
+        if used[y] + len(text) <= SAMPLE_BYTES:
+            used[y] += len(text)
             rows.append((text, y))
     return train(rows)
 

@@ -272,3 +272,14 @@ def test_blocks_of_words_change_nothing(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 11)
     assert d.cells_of(text) == whole
     assert re.search("filth", text)
+
+
+def test_a_long_labelled_text_is_passed_over(spark, monkeypatch):
+    from spreadloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100)
+    monkeypatch.setattr(toxicity, "train", lambda rows: sorted(rows))
+    for long in range(6):
+        texts = [(i, "x" * 101 if i == long else f"text {i}") for i in range(6)]
+        docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, 0) for i in range(6)], "doc_id long, toxic int")
+        assert toxicity.fit(docs, labels) == sorted((t, 0) for i, t in texts if i != long)
