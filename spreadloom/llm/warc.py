@@ -140,8 +140,6 @@ def verified_entries(spark: SparkSession, folder: str) -> DataFrame:
     splits = splits_of(spark, folder)
     files = splits.where("start = 0").select("path", "size", F.lit(0).cast("long").alias("node"))
     longest = splits.agg(F.max("size")).first()[0] or 0
-    if longest <= SPLIT:
-        return files
     edge = pa.schema([("path", pa.string()), ("size", pa.int64()), ("node", pa.int64()), ("to", pa.int64())])
 
     def scan(batches):

@@ -160,6 +160,22 @@ def test_long_urls(spark, monkeypatch, split):
     assert sorted((tuple(r) for r in got), key=str) == brute_pages(rows)
 
 
+def test_small_archives_have_candidates(spark, monkeypatch, tmp_path):
+    plain = warc.candidates
+
+    def marked(file, size, start, end):
+        found, after = plain(file, size, start, end)
+        (tmp_path / f"{size}-{start}").write_text(str(len(found)))
+        return found, after
+
+    monkeypatch.setattr(warc, "candidates", marked)
+    rows = [(i, "u", f"page {i}") for i in range(7)]
+    folder = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1))
+    got = warc.read_archives(spark, folder).drop("path", "offset").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_pages(rows)
+    assert [x.read_text() for x in tmp_path.iterdir()] == ["7"]
+
+
 def test_broken_archive(spark, tmp_path):
     rec = lambda i, body: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
     (tmp_path / "a.warc").write_bytes(rec(1, b"h\r\n\r\nbody") + rec(2, b"") + b"garbage" + rec(3, b"x"))
