@@ -1,17 +1,20 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
 
 A window is one lower-cased word, repeated ECHO times so that a frame is never stored raw: its compressed length is
-then the cost of the word under a dictionary. The ordinary dictionary is trained on ordinary text; the toxic one is
-the runs of characters that occur in many toxic and hardly any ordinary texts, commonest last, as a raw dictionary.
-The pair (length under the toxic dictionary, gain over the ordinary one) of a word of some length makes a cell. On
-labelled texts that trained no dictionary, each cell gets the log odds of occurring in a toxic text; a text's
-evidence is the sum over its distinct cells, and a threshold on it, chosen there too, becomes score 0.5.
+then the cost of the word under a dictionary. Both dictionaries are trained by zstandard, on one half of the labelled
+texts: the ordinary one on runs of 20 words, the toxic one on the words of toxic texts that hold a run of GRAM
+characters which many toxic and hardly any ordinary texts have (on whole toxic texts the trainer keeps what is common
+in all text, and nothing tells the classes apart). Their contents are then used as raw dictionaries. The pair (length
+under the toxic dictionary, gain over the ordinary one) of a word of some length makes a cell. On the other half of
+the labelled texts, which trained no dictionary, each cell gets the log odds of occurring in a toxic text; a text's
+evidence is the sum over its distinct cells, and a threshold on it, chosen there too, becomes score 0.5. The halves
+are used so at every size.
 
 The fit takes a bounded sample of the labelled rows: SAMPLE_TOXIC and SAMPLE_ORDINARY of them by the hash of the id,
 whole texts, SAMPLE_BYTES characters a class at most; a text that doesn't fit is passed over. Every word of every text is scored.
 
-Cases: a null or empty text has the score of no evidence; with no labelled rows, or of one class
-only, every score is that class's share; equal texts get equal scores; long texts are read in blocks. Labels, lang,
+Cases: a null or empty text has the score of no evidence; where a class has no text in either half, every score is the
+toxic share; where the samples are too few to train on, they are the dictionary themselves; equal texts get equal scores; long texts are read in blocks. Labels, lang,
 source and doc_id play no part in a score. Rows of labels that are repeated count once; labels of null are left out.
 """
 
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checked_broadcast, crc32_of_id
+from .common import batch_of, checked_broadcast, crc32_of_id, materialised
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2000, 6000, 24_000_000
 LEVEL, MIN_MATCH, ECHO, GRAM = 9, 3, 3, 5
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
+#: Segment and run lengths of the toxic dictionary's training: long segments hold several words.
+SEGMENT, RUN = 200, 6
 #: A run counts as toxic from this share of the toxic texts on, this many texts, and this ratio to ordinary texts.
 LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.004, 3, 12
 #: Words whose cell a worker keeps; beyond it the store starts anew.
@@ -52,8 +57,8 @@ def _grams(own: list[bytes]) -> set[bytes]:
     return out
 
 
-def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Runs of characters that mark toxic texts, rarest first."""
+def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Each toxic text's words that hold a run of characters which marks toxic texts."""
     a, b = Counter(), Counter()
     for x in toxic:
         a.update(_grams(x))
@@ -61,17 +66,17 @@ def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[by
         b.update(_grams(x))
     na, nb = len(toxic), len(ordinary)
     good = {k for k, v in a.items() if v >= max(LEAST_TEXTS, LEAST_SHARE * na) and v / na > LEAST_RATIO * (b[k] + 1) / (nb + 1)}
-    runs: Counter = Counter()
-    for x in toxic:
-        for w in set(x):
-            p = b" " + w + b" "
-            marks = bytearray(len(p))
-            for i in range(len(p) - GRAM + 1):
-                if p[i : i + GRAM] in good:
-                    marks[i : i + GRAM] = b"\1" * GRAM
-            for m in re.finditer(rb"\x01+", bytes(marks)):
-                runs[p[m.start() : m.end()]] += 1
-    return [x for x, _ in sorted(runs.items(), key=lambda kv: (kv[1], kv[0]))]
+    return [b" " + w + b" " for x in toxic for w in sorted(set(x)) if not good.isdisjoint(_grams([w]))]
+
+
+def trained(samples: list[bytes], size: int, **settings) -> bytes:
+    """A dictionary's bytes; the samples themselves where they are too few to train on."""
+    import zstandard as Z
+
+    try:
+        return Z.train_dictionary(size, samples, **settings).as_bytes()
+    except (Z.ZstdError, ValueError):
+        return b" ".join(samples)[-size:]
 
 
 class Distance:
@@ -127,25 +132,19 @@ class Distance:
 
 
 def train(rows: list[tuple[str, int]]) -> dict:
-    """The arguments of Distance, from (text, toxic) rows; repeated texts count once."""
-    import zstandard as Z
+    """The arguments of Distance, from (text, toxic) rows; repeated texts count once.
 
+    Every other text of a class trains the dictionaries, the rest calibrates the cells and the threshold.
+    """
     texts = dict(rows)
     share = sum(texts.values()) / len(texts) if texts else 0.0
-    parts = {(y, k): [words(t.lower().encode()) for i, (t, z) in enumerate(x for x in texts.items() if x[1] == y) if i % 2 == k] for y in (0, 1) for k in (0, 1)}
-    # a small set trains and calibrates with all rows
-    few = len(parts[1, 1]) < 50 or len(parts[0, 1]) < 50
-    toxic, ordinary = (parts[y, 0] + parts[y, 1] if few else parts[y, 0] for y in (1, 0))
-    if not toxic or not ordinary:
+    parts = {(y, k): [words(t.lower().encode()) for t in [t for t, z in texts.items() if z == y][k::2]] for y in (0, 1) for k in (0, 1)}
+    if not all(parts.values()):
         return {"ordinary": b"", "toxic": b"", "weights": {}, "share": share}
-    lines = [b" ".join(x[i : i + 20]) for x in ordinary for i in range(0, len(x), 20)]
-    try:
-        plain = Z.train_dictionary(ORDINARY_BYTES, lines).as_bytes()
-    except Z.ZstdError:  # too little text to train on: the text itself
-        plain = b" ".join(lines)[-ORDINARY_BYTES:]
-    body = b"".join(toxic_runs(toxic, ordinary))[-TOXIC_BYTES:]
+    plain = trained([b" ".join(x[i : i + 20]) for x in parts[0, 0] for i in range(0, len(x), 20)], ORDINARY_BYTES)
+    body = trained(toxic_samples(parts[1, 0], parts[0, 0]), TOXIC_BYTES, k=SEGMENT, d=RUN)
     model = Distance(plain, body)
-    sets = {y: [{model.cell(w) for w in set(x)} - {None} for k in ((0, 1) if few else (1,)) for x in parts[y, k]] for y in (0, 1)}
+    sets = {y: [{model.cell(w) for w in set(x)} - {None} for x in parts[y, 1]] for y in (0, 1)}
     counts = {y: Counter(c for x in sets[y] for c in x) for y in (0, 1)}
     weights = {}
     for c, n in counts[1].items():
@@ -153,13 +152,12 @@ def train(rows: list[tuple[str, int]]) -> dict:
         if w > 1 and n >= 2:
             weights[c] = w
     value = {y: np.array([math.fsum(weights.get(c, 0.0) for c in x) for x in sets[y]]) for y in (0, 1)}
-    # the threshold that errs least, in the middle of the gap below it
-    levels = np.unique(np.concatenate([value[0], value[1]]))
+    # the threshold that errs least, in the middle of the gap below it; a text without evidence stays below
+    levels = np.unique(np.concatenate([value[0], value[1], [0.0, 1.0]]))[1:]
     errors = [(value[1] < t).sum() + (value[0] >= t).sum() for t in levels]
     at = int(np.argmin(errors))
-    below = levels[at - 1] if at else levels[at] - 1
-    threshold = float((levels[at] + below) / 2)
-    return {"ordinary": plain, "toxic": body, "weights": weights, "threshold": threshold, "scale": max(0.5, abs(threshold) / 4), "share": share}
+    threshold = float((levels[at] + (levels[at - 1] if at else 0.0)) / 2)
+    return {"ordinary": plain, "toxic": body, "weights": weights, "threshold": threshold, "scale": max(0.5, threshold / 4), "share": share}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -171,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     sizes = dict(own.groupBy("toxic").count().collect())
     share = F.coalesce(*[F.when(F.col("toxic") == y, F.lit(min(1.0, most / sizes[y]))) for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)) if sizes.get(y)], F.lit(0.0))
     drawn = own.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    found = docs.join(checked_broadcast(drawn, sum(min(sizes.get(y, 0), m) for y, m in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))), 20_000), "doc_id").where(F.col("text").isNotNull())
+    drawn = materialised(drawn, "labelled")
+    found = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_BYTES).join(checked_broadcast(drawn, drawn.count(), 2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)), "doc_id")
     rows, used = [], Counter()
     for text, y in found.select("text", "toxic").orderBy(F.xxhash64(F.lit(10), "doc_id"), "text").toLocalIterator():
         if used[y] + len(text) <= SAMPLE_BYTES:

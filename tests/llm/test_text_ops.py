@@ -283,3 +283,41 @@ def test_a_long_labelled_text_is_passed_over(spark, monkeypatch):
         texts = [(i, "x" * 101 if i == long else f"text {i}") for i in range(6)]
         docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, 0) for i in range(6)], "doc_id long, toxic int")
         assert toxicity.fit(docs, labels) == sorted((t, 0) for i, t in texts if i != long)
+
+
+def brute_evidence(model, text):
+    """Lengths straight from the library, a compressor a call."""
+    import zstandard as Z
+
+    def length(content, raw):
+        d = Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)
+        p = Z.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), min_match=3, write_checksum=0, write_content_size=0, write_dict_id=0)
+        return len(Z.ZstdCompressor(compression_params=p, dict_data=d).compress(raw))
+
+    cells = set()
+    for w in {x for x in re.split(r"[\x00-\x20]+", (text or "").lower()) if x}:
+        raw = (f" {w}" * 3 + " ").encode()
+        a, b = length(model["ordinary"], raw), length(model["toxic"], raw)
+        if a >= b:
+            cells.add((min(len(w.encode()), 16), min(6, a - b), min(b, 24)))
+    return sum(model["weights"].get(c, 0.0) for c in cells)
+
+
+def test_scores_against_lengths_from_the_library():
+    rng = np.random.default_rng(6)
+    plain, bad = [f"w{a}ord{b}" for a in "abcdef" for b in "ghijkl"], ["vermin", "loathsome", "filth", "crétins"]
+    rows = [(" ".join([*rng.choice(plain, 30), *(rng.choice(bad, 2) if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(150)]
+    model = toxicity.train(rows)
+    for text in [*(t for t, _ in rows[:20]), "", None, "Vermin", "FILTH " * 50, "unseen\nwords\tonly"]:
+        expected = 1 / (1 + np.exp(-(brute_evidence(model, text) - model["threshold"]) / model["scale"]))
+        assert toxicity.Distance(**model).score(text) == pytest.approx(expected, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [4, 40, 400])
+def test_calibration_texts_train_no_dictionary(monkeypatch, n):
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda samples, size, **_: seen.extend(samples) or b"x" * 20)
+    toxicity.train([(f"only{i}word " + ("vermin" if i % 2 else "rose"), i % 2) for i in range(n)])
+    trained = {int(x) for s in seen for x in re.findall(rb"only(\d+)word", s)}
+    assert trained <= {i for i in range(n) if i // 2 % 2 == 0}
+    assert any(b"rose" in s for s in seen)
