@@ -13,13 +13,16 @@
 
 Cases: a null or empty text has no tokens and its posteriors are the priors; rate 1 has one copy; no labelled rows or
 one domain: all posteriors are 1 and rates scale alike; a target of a domain that no label has is left out and the
-others are scaled up; rows that repeat are weighed each; a repeated label row counts once (the largest domain). A tie
-can't occur. Extra columns are carried along under any name. An empty table gives an empty result.
+others are scaled up; a row that repeats (doc_id and text) is one row of the result with the evidence of one and `rows`
+saying how many there are, which the fit weighs by, and `mixed` gives each of them its copies; a repeated label row
+counts once (the largest domain). A fit that ITERATIONS end before it is within TOLERANCE or stands still gives a
+warning; `residual` says how far the totals are from their targets. A tie can't occur. Extra columns are carried along under any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from .common import ascii_lower, checked_broadcast, materialised
 
 BUCKETS, SAMPLE = 1 << 15, 20_000
 ITERATIONS, TOLERANCE = 60, 1e-4
+#: Cells of the classifier's table, buckets times domains, that are broadcast at most.
+MAX_CELLS = 1 << 22
 #: Domains of the labels table and the share of tokens that each shall have.
 TARGETS = {"good": 0.92, "junk": 0.06, "toxic": 0.02}
 
@@ -55,7 +60,8 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tu
     if not domains:
         return [], {}, spark.createDataFrame([], "bucket int, logs array<double>")
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-    own = docs.select("doc_id", "text").join(checked_broadcast(drawn, min(n, sample), 4 * SAMPLE), "doc_id")
+    drawn = materialised(drawn, "labelled")
+    own = docs.select("doc_id", "text").join(checked_broadcast(drawn, drawn.count(), 4 * SAMPLE), "doc_id")
     counts = _buckets(own.withColumn("__words", _words(F.col("text"))), ["domain"]).groupBy("domain", "bucket").count()
     counts = materialised(counts, "classifier")
     totals = dict(counts.groupBy("domain").agg(F.sum("count")).collect())
@@ -66,30 +72,32 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tu
 
 
 def posteriors(docs: DataFrame, domains: list[str], priors: dict[str, float], table: DataFrame) -> DataFrame:
-    """docs' doc_id and row key, n_tokens, and p: the array of posteriors. One row a distinct (doc_id, text)."""
+    """docs' doc_id and row key, rows, n_tokens, and p: the array of posteriors. One row a distinct (doc_id, text)."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), _words(F.col("text")).alias("__words"))
     if not domains:
-        return rows.select("doc_id", "key", F.size("__words").cast("long").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"))
-    keyed = rows.select("doc_id", "key", F.size("__words").alias("size"), F.explode_outer(F.array_distinct("__words")).alias("__word"))
-    looked = keyed.withColumn("bucket", F.pmod(F.xxhash64("__word"), F.lit(BUCKETS)).cast("int")).join(F.broadcast(table), "bucket", "left")
+        return rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.max(F.size("__words")).cast("long").alias("n_tokens"), F.array(F.lit(1.0)).alias("p"))
+    keyed = rows.select("doc_id", "key", F.size("__words").alias("size"), F.posexplode_outer(F.array_distinct("__words")).alias("__pos", "__word"))
+    looked = keyed.withColumn("bucket", F.pmod(F.xxhash64("__word"), F.lit(BUCKETS)).cast("int")).join(checked_broadcast(table, BUCKETS * len(domains), MAX_CELLS), "bucket", "left")
     there = F.col("__word").isNotNull()
     sums = [F.sum(F.when(there, F.get("logs", F.lit(i))).otherwise(0.0)).alias(f"s{i}") for i in range(len(domains))]
-    got = looked.groupBy("doc_id", "key").agg(F.max("size").cast("long").alias("n_tokens"), *sums)
+    # each row has one first word, or none; a repeated row's evidence is that of one
+    got = looked.groupBy("doc_id", "key").agg(F.count_if(F.coalesce("__pos", F.lit(0)) == 0).alias("rows"), F.max("size").cast("long").alias("n_tokens"), *sums)
+    got = got.select("doc_id", "key", "rows", "n_tokens", *[(F.col(f"s{i}") / F.col("rows")).alias(f"s{i}") for i in range(len(domains))])
     value = [F.col(f"s{i}") + priors[d] for i, d in enumerate(domains)]
     top = F.greatest(*value) if len(value) > 1 else value[0]
     parts = [F.exp(v - top) for v in value]
     total = sum(parts[1:], parts[0])
-    return got.select("doc_id", "key", "n_tokens", F.array(*[x / total for x in parts]).alias("p"))
+    return got.select("doc_id", "key", "rows", "n_tokens", F.array(*[x / total for x in parts]).alias("p"))
 
 
 def fit_rates(scored: DataFrame, targets: list[float], most: float | None, headroom: float = 0.0) -> tuple[Column, list[dict]]:
-    """The rate as an expression of p, and the iterations. scored: n_tokens, p. targets: shares in order of p.
+    """The rate as an expression of p, and the iterations. scored: rows, n_tokens, p. targets: shares in order of p.
 
     The tokens wanted are as many as keep the domain of the largest target at rate 1 + headroom.
     """
     d = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(d)]
-    t = F.col("n_tokens").cast("double")
+    t = F.col("n_tokens").cast("double") * F.col("rows")
     first = scored.agg(F.sum(t), *[F.sum(t * x) for x in p], *[F.sum(t * p[i] * p[j]) for i in range(d) for j in range(i, d)]).first()
     total = first[0] or 0.0
     rate: Column = F.lit(1.0)
@@ -120,11 +128,13 @@ def fit_rates(scored: DataFrame, targets: list[float], most: float | None, headr
         if most is not None:
             rate = F.least(rate, F.lit(float(most)))
         now = [x or 0.0 for x in scored.agg(*[F.sum(rate * t * x) for x in p]).first()]
+    else:
+        warnings.warn(f"rates not settled after {ITERATIONS} iterations, error {trace[-1]['error']:.3g}", stacklevel=2)
     return rate, trace
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float | None = None, headroom: float = 0.0) -> DataFrame:
-    """doc_id, key, n_tokens, rate, copies, and p_<domain> of each distinct (doc_id, text) of docs.
+    """doc_id, key, rows, n_tokens, rate, copies, residual, and p_<domain> of each distinct (doc_id, text) of docs.
 
     copies: floor(rate), one more for the share of ids that the fraction is, by the hash of the id.
     """
@@ -133,9 +143,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: f
     scored = materialised(posteriors(docs, domains, priors, table), "posteriors")
     known = [targets.get(d, 0.0) for d in named]
     goal = [x / sum(known) for x in known] if sum(known) else [1 / len(named)] * len(named)
-    rate, _ = fit_rates(scored, goal, most, headroom)
+    rate, trace = fit_rates(scored, goal, most, headroom)
     uniform = F.pmod(F.xxhash64(F.lit(66), "doc_id", "key"), F.lit(1 << 30)) / float(1 << 30)
-    return scored.withColumn("rate", rate).select("doc_id", "key", "n_tokens", "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies"), *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(named)])
+    residual = F.lit(trace[-1]["error"] if trace else 0.0).alias("residual")
+    return scored.withColumn("rate", rate).select("doc_id", "key", "rows", "n_tokens", "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies"), residual, *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(named)])
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float | None = None, headroom: float = 0.0) -> DataFrame:

@@ -283,6 +283,30 @@ def test_rates_meet_targets_like_numpy(spark):
     assert all(abs(x.copies - x.rate) < 1 for x in out)
 
 
+def test_repeated_rows_are_weighed_once_each(spark):
+    df = mixing_rows(spark)
+    lab = df.where("doc_id % 2 = 0").select("doc_id", "domain")
+    docs = df.select("doc_id", "text")
+    thrice = docs.union(docs.where("doc_id < 100")).union(docs.where("doc_id < 100")).union(spark.createDataFrame([(900, "g1 j1"), (900, "g1 j1 j2"), (900, "g1 j1")], DOCS))
+    domains, priors, table = mixing.classifier(docs, lab)
+    once = {r.doc_id: r for r in mixing.posteriors(docs, domains, priors, table).collect()}
+    got = mixing.posteriors(thrice, domains, priors, table).collect()
+    for r in got:
+        if r.doc_id != 900:
+            assert r.rows == (3 if r.doc_id < 100 else 1)
+            assert (r.n_tokens, r.p) == (once[r.doc_id].n_tokens, pytest.approx(once[r.doc_id].p, abs=1e-12))
+    assert sorted((r.n_tokens, r.rows) for r in got if r.doc_id == 900) == [(2, 2), (3, 1)]
+    # the fit's totals are those of all rows
+    out = mixing.mix(thrice, lab, mixing.TARGETS).collect()
+    t = np.array([r.n_tokens * r.rows for r in out], float)
+    totals = (np.array([r.rate for r in out]) * t) @ np.array([[r.p_good, r.p_junk, r.p_toxic] for r in out])
+    assert np.allclose(totals / totals.sum(), [0.92, 0.06, 0.02], atol=2e-3)
+    assert out[0].residual < 1e-3
+    copies = {(r.doc_id, r.n_tokens): r.copies * r.rows for r in out}
+    emitted = Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed(thrice, lab, mixing.TARGETS).collect())
+    assert emitted == Counter({k: v for k, v in copies.items() if v})
+
+
 def test_mixed_rows(spark):
     df = mixing_rows(spark).withColumn("__key", F.lit(1)).withColumn("copies", F.lit(2))
     lab = df.select("doc_id", "domain")
