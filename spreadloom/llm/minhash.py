@@ -6,6 +6,7 @@
    bucket of n classes makes n - 1 pairs. Signatures drop pairs whose collision-corrected similarity, from counts of
    equal BITS-bit slots, is below the threshold less MARGIN; odd sketches of the full sets drop pairs that provably
    differ in too many shingles; the rest is confirmed on the full sets.
+   Odd sketches grow with the set, ODD bits at least and two bits a shingle, so they tell long sets apart as well.
 3. Components of the confirmed links. Buckets that still hold several components are gone through again: each class is
    paired with its likeliest partner in another component, until that links nothing new; then all remaining pairs
    across components that pass both tests are confirmed. Pairs inside a component need no test.
@@ -15,9 +16,10 @@ outside the bucket's largest component. At similarity 0.8 a pair shares no band
 3e-6; it fails the signature test with probability 3e-7 or so.
 
 Cases: a null text, or one without words, has an empty set and links with nothing; with fewer words than a shingle, the
-whole sequence is the one shingle; each row gets the component of its own set, also where rows share a doc_id; the
-links of several sets whose least id is the same are taken together; a null doc_id keeps null as its component unless
-its set is that of a document with an id; long texts are hashed in blocks; ties don't occur, as the least id is unique.
+whole sequence is the one shingle; each row gets the component of its own set, also where rows share a doc_id: sets
+whose least id is the same are nodes of their own, so a component's id may then stand for several components, which
+`node` tells apart; rows that repeat are all kept or not; a null doc_id keeps null as its component unless its set is
+that of a document with an id; long texts are hashed in blocks; ties don't occur, as the least id is unique.
 Extra columns are not read.
 """
 
@@ -27,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, batch_of, bounded_batches, checked_broadcast, materialised, mix64, random64, salted_join
@@ -36,12 +38,14 @@ HASHES, BITS, ROWS, BANDS = 256, 4, 6, 42
 MARGIN = 0.15
 #: Ids that are broadcast at most; signatures that are compared at a time.
 MAX_BROADCAST, BLOCK = 2_000_000, 512
-#: Members of a bucket that are compared in one group, about.
+#: Members of a bucket that are compared in one group, about; a member of a long odd sketch counts for more.
 MEMBERS = 4096
 #: Edges from which a node's least neighbour is broadcast; fewer are sorted in one task with ease.
 HOT = 1_000_000
-#: Bits of an odd sketch.
-ODD = 2048
+#: Bits of the shortest and longest odd sketch, and bytes of them that are compared at a time.
+ODD, MAX_ODD, SKETCH_BYTES = 2048, 1 << 20, 16 << 20
+#: Pairs of one node from which its rows are dealt to several tasks.
+HUB = 512
 
 _A = (random64(1, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random64(2, HASHES) >> np.uint64(32)).astype(np.uint32)
@@ -81,16 +85,53 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return h
 
 
+def odd_bits(n: int) -> int:
+    """Bits of the odd sketch of a set of n: a power of two, so that a longer one folds onto a shorter one."""
+    return min(MAX_ODD, max(ODD, 1 << (2 * n - 1).bit_length()))
+
+
 def odd_sketch(shingles: np.ndarray) -> bytes:
-    """ODD bits: whether an odd number of a set's members fall on each. Two sets differ in one member a differing bit, or more."""
-    return np.packbits((np.bincount((shingles & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(bool)).tobytes()
+    """Whether an odd number of a set's members fall on each bit. Two sets differ in one member a differing bit, or more."""
+    bits = odd_bits(len(shingles))
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
-def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """False where the differing bits of odd sketches prove that a pair isn't similar enough; no chance is involved."""
-    least = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    both = size_a + size_b
-    return 100 * (both - least) >= percent * (both + least)
+class Sketches:
+    """Odd sketches of several lengths, a matrix a length."""
+
+    def __init__(self, column: list[bytes]):
+        sizes = np.array([len(x) // 8 for x in column], np.int64)
+        self.words, self.at, self.of = sizes, np.zeros(len(sizes), np.int64), {}
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            self.at[own] = np.arange(len(own))
+            self.of[int(n)] = np.frombuffer(b"".join(column[i] for i in own), np.uint64).reshape(len(own), -1)
+
+
+def may_link(a: Sketches, i: np.ndarray, b: Sketches, j: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """False where the differing bits of odd sketches i of a and j of b prove that a pair isn't similar enough.
+
+    No chance is involved. size_a and size_b are the pairs' set sizes.
+    """
+    out = np.zeros(len(i), bool)
+    wa, wb = a.words[i], b.words[j]
+    for both in np.unique(wa << 20 | wb).tolist():
+        n, m = both >> 20, both & ((1 << 20) - 1)
+        own, words = np.flatnonzero((wa == n) & (wb == m)), min(n, m)
+        for part in np.array_split(own, -(-len(own) * max(n, m) * 8 // SKETCH_BYTES)):
+            x, y = folded(a.of[n][a.at[i[part]]], words), folded(b.of[m][b.at[j[part]]], words)
+            least = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+            both = size_a[part] + size_b[part]
+            out[part] = 100 * (both - least) >= percent * (both + least)
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,9 +144,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (s1, s2), sig, bands; the last two are null for empty sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_hash, n_shingles, set fingerprint (s1, s2), sig, bands; the last two are null for empty sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches):
         hasher = WordHasher()
@@ -114,35 +159,56 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 n, s1, s2, sig, bands = [], [], [], [], []
                 for k in range(len(bounds) - 1):
                     own = shingle_set(words[bounds[k] : bounds[k + 1]], width)
-                    a, b = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                    a, b = fingerprint(own)
                     least = minima(own) if len(own) else None
                     n.append(len(own))
                     s1.append(a)
                     s2.append(b)
                     sig.append(None if least is None else signature(least))
                     bands.append(None if least is None else band_keys(least).view(np.int64))
-                yield batch_of(schema, batch.column(0).slice(first, len(n)), n, s1, s2, sig, bands)
+                yield batch_of(schema, batch.column(0).slice(first, len(n)), batch.column(2).slice(first, len(n)), n, s1, s2, sig, bands)
+
+    return docs.select("doc_id", "text", text_hash(F.col("text"))).mapInArrow(work, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>")
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, n_ids: int, width: int) -> DataFrame:
-    """(rep, shingles, odd) of the documents in ids(rep): sorted 64-bit hashes as bytes, and the odd sketch."""
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary()), ("odd", pa.binary())])
+    """(doc_id, s1, s2, shingles, odd) of the documents in ids(doc_id): sorted 64-bit hashes as bytes, and the odd sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary()), ("odd", pa.binary())])
 
     def work(batches):
         hasher = WordHasher()
         for batch in batches:
             for first, words, bounds in hasher.texts(batch.column(1)):
                 sets = [shingle_set(words[bounds[k] : bounds[k + 1]], width) for k in range(len(bounds) - 1)]
-                yield batch_of(schema, batch.column(0).slice(first, len(sets)), [x.tobytes() for x in sets], [odd_sketch(x) for x in sets])
+                s1, s2 = zip(*map(fingerprint, sets), strict=True)
+                yield batch_of(schema, batch.column(0).slice(first, len(sets)), s1, s2, [x.tobytes() for x in sets], [odd_sketch(x) for x in sets])
 
-    own = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(ids, n_ids, MAX_BROADCAST), "rep", "left_semi")
-    return own.mapInArrow(work, "rep long, shingles binary, odd binary")
+    own = docs.select("doc_id", "text").join(checked_broadcast(ids, n_ids, MAX_BROADCAST), "doc_id", "left_semi")
+    return own.mapInArrow(work, "doc_id long, s1 long, s2 long, shingles binary, odd binary")
+
+
+def joined(pairs: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """pairs joined with own on key, a or b; a node of more than HUB pairs is dealt to a task for each HUB of them.
+
+    Such nodes are a HUB-th of the pairs at most, and are broadcast where that is few.
+    """
+    hubs = materialised(pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HUB), "hubs")
+    n_hubs = hubs.count()
+    if not n_hubs:
+        return pairs.join(own, key)
+    hubs = checked_broadcast(hubs, n_hubs, MAX_BROADCAST)
+    salts = F.coalesce(F.ceil(F.col("n") / HUB).cast("int"), F.lit(1))
+    left = pairs.join(hubs, key, "left").withColumn("__salt", F.pmod(F.xxhash64("b" if key == "a" else "a"), salts).cast("int")).drop("n")
+    right = own.join(hubs, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b), as written, whose full sets have 100 * intersection >= percent * union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches):
@@ -159,24 +225,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return joined(joined(pairs.select("a", "b"), first, "a"), second, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def likely(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes, signatures and odd sketches allow the similarity. own: (rep, n_shingles, sig, odd)"""
+    """The pairs (a, b), as written, whose sizes, signatures and odd sketches allow the similarity. own: (rep, n_shingles, sig, odd)"""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = percent / 100 - MARGIN
 
     def work(batches):
         for batch in batches:
             a, b, x, y, nx, ny, ox, oy = batch.columns
-            p, q, o, r = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (x, y, ox, oy))
-            keep = pa.array((estimate(p, q) >= least) & may_link(o, r, nx.to_numpy(), ny.to_numpy(), percent), pa.bool_())
+            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (x, y))
+            near, own = estimate(p, q) >= least, np.arange(batch.num_rows)
+            keep = pa.array(near & may_link(Sketches(ox.to_pylist()), own, Sketches(oy.to_pylist()), own, nx.to_numpy(), ny.to_numpy(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], schema=schema)
 
     first = own.select(F.col("rep").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox"))
     second = own.select(F.col("rep").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("ny"), F.col("odd").alias("oy"))
-    both = pairs.join(first, "a").join(second, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    both = joined(joined(pairs, first, "a"), second, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     return both.select("a", "b", "x", "y", "nx", "ny", "ox", "oy").mapInArrow(work, "a long, b long")
 
 
@@ -220,11 +287,11 @@ def components(links: DataFrame) -> DataFrame:
 def blocks(labelled: DataFrame, own: DataFrame) -> DataFrame:
     """Rows (bk, i, j, minor, component, rep, n_shingles, sig, odd) of the buckets that hold several components.
 
-    labelled: (bk, rep, component). A pair across components has a member outside the bucket's largest one: a minor.
-    The members of a bucket are dealt to blocks i, its minors to blocks j, of MEMBERS or so each; group (i, j) holds
-    both, so no group is larger than two blocks, however large the bucket.
+    labelled: (bk, rep, cost, component). A pair across components has a member outside the bucket's largest one: a
+    minor. The members of a bucket are dealt to blocks i, its minors to blocks j, of a cost of MEMBERS or so each;
+    group (i, j) holds both, so no group is larger than two blocks, however large the bucket or its sets.
     """
-    parts = labelled.groupBy("bk", "component").agg(F.count("*").alias("n"))
+    parts = labelled.groupBy("bk", "component").agg(F.sum("cost").alias("n"))
     mixed = parts.groupBy("bk").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("bk", F.col("top.component").alias("major"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("ni"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("nj"))
     members = salted_join(labelled, mixed, ["bk"]).withColumn("h", F.xxhash64("rep"))
@@ -245,16 +312,16 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
     def pairs(x, y):
         for at in range(0, len(x["rep"]), BLOCK):
-            p = {k: v[at : at + BLOCK] for k, v in x.items()}
+            p = {k: v[at : at + BLOCK] for k, v in x.items() if k != "odd"}
             top, partner = np.full(len(p["rep"]), -1.0), np.zeros(len(p["rep"]), np.int64)
             for to in range(0, len(y["rep"]), BLOCK):
-                q = {k: v[to : to + BLOCK] for k, v in y.items()}
+                q = {k: v[to : to + BLOCK] for k, v in y.items() if k != "odd"}
                 fits = (p["comp"][:, None] != q["comp"]) & (100 * np.minimum(p["size"][:, None], q["size"]) >= percent * np.maximum(p["size"][:, None], q["size"]))
                 i, j = np.nonzero(fits)
                 score = estimate(p["sig"][i], q["sig"][j])
                 ok = score >= least
                 i, j, score = i[ok], j[ok], score[ok]
-                ok = may_link(p["odd"][i], q["odd"][j], p["size"][i], q["size"][j], percent)
+                ok = may_link(x["odd"], i + at, y["odd"], j + to, p["size"][i], q["size"][j], percent)
                 i, j, score = i[ok], j[ok], score[ok]
                 if best:
                     order = np.argsort(score, kind="stable")
@@ -264,34 +331,31 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
                     more = better > top
                     top[more], partner[more] = better[more], choice[more]
                 else:
-                    yield from zip(p["rep"][i].tolist(), q["rep"][j].tolist(), strict=True)
+                    yield p["rep"][i], q["rep"][j]
             if best:
-                yield from zip(p["rep"][top >= 0].tolist(), partner[top >= 0].tolist(), strict=True)
+                yield p["rep"][top >= 0], partner[top >= 0]
 
     def packed(rows):
         ints = {k: np.array([r[c] for r in rows], np.int64) for k, c in (("comp", 1), ("rep", 2), ("size", 3))}
-        return ints | {k: np.frombuffer(b"".join(r[c] for r in rows), np.uint64).reshape(len(rows), -1) for k, c in (("sig", 4), ("odd", 5))}
+        return ints | {"sig": np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1), "odd": Sketches([r[5] for r in rows])}
 
-    def work(batches):
-        key, rows, out = None, [], []
-
-        def flush():
-            minors, every = [r for r in rows if r[0]], [r for r in rows if not r[0]]
-            if minors and every:
-                out.extend({(min(p), max(p)) for p in pairs(packed(minors), packed(every)) if p[0] != p[1]})
+    def compared(rows):
+        minors, every = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if minors and every:
+            for a, b in pairs(packed(minors), packed(every)):
+                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                if len(a):
+                    yield batch_of(schema, a, b)
 
+    def work(batches):
+        key, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != key:
-                    flush()
+                    yield from compared(rows)
                     key, rows = row[:3], []
                 rows.append(row[3:])
-            if len(out) > 10_000:
-                yield batch_of(schema, *zip(*out, strict=True))
-                out.clear()
-        flush()
-        if out:
-            yield batch_of(schema, *zip(*out, strict=True))
+        yield from compared(rows)
 
     spread = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = members.select("bk", "i", "j", "minor", "component", "rep", "n_shingles", "sig", "odd").repartition(spread, "bk", "i", "j").sortWithinPartitions("bk", "i", "j")
@@ -299,33 +363,55 @@ def across(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept, node and text_hash of each row of docs(doc_id, text).
+
+    node is the component's least node, null for a set that no row with an id has.
+    """
     with bounded_batches(docs.sparkSession):
         return _near_duplicates(docs, width, percent)
 
 
+def classes_of(full: DataFrame) -> tuple[DataFrame, bool]:
+    """(s1, s2, doc_id, node): the classes of equal sets with their least id; whether rows share ids.
+
+    The node is the id, which the class of least fingerprint has; others of the same id are numbered by a hash below 0.
+    """
+    classes = materialised(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), "classes")
+    if not full.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
+        return classes.withColumn("node", F.col("doc_id")), False
+    first = classes.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("first"))
+    other = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("s1", "s2"), 1))
+    node = F.when(F.col("first") == F.struct("s1", "s2"), F.col("doc_id")).otherwise(other)
+    return materialised(classes.join(first, "doc_id").select("s1", "s2", "doc_id", node.alias("node")), "classes"), True
+
+
 def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     base = materialised(signatures(docs, width), "signatures")
     full = base.where("n_shingles > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
-    classes = materialised(classes, "classes")
+    classes, shared = classes_of(full)
     # of the rows of a class, that of its least id; rows repeated under one id count once
-    sigs = full.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    sigs = sigs.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands")
-    keys = sigs.select("rep", F.explode("bands").alias("bk"))
-    hubs = keys.groupBy("bk").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
-    buckets = materialised(salted_join(keys, hubs, ["bk"]), "buckets")
-    ids = materialised(buckets.select("rep").distinct(), "ids")
-    n_ids = ids.count()
-    sets = materialised(shingle_sets(docs, ids, n_ids, width), "sets")
+    keys = ["s1", "s2", "doc_id"]
+    sigs = full.join(classes, keys)
+    sigs = (sigs.dropDuplicates(keys) if shared else sigs).select(F.col("node").alias("rep"), *keys, "n_shingles", "sig", "bands")
+    cost = F.greatest(F.lit(1), F.ceil(2 * F.col("n_shingles") / ODD)).cast("long")
+    dealt = sigs.select("rep", *keys, cost.alias("cost"), F.explode("bands").alias("bk"))
+    hubs = dealt.groupBy("bk").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
+    buckets = materialised(salted_join(dealt.select("rep", "doc_id", "cost", "bk"), hubs, ["bk"]), "buckets")
+    ids = materialised(buckets.select("doc_id").distinct(), "ids")
+    sets = shingle_sets(docs, ids, ids.count(), width)
+    if shared:  # an id may have several rows, and those several sets
+        sets = sets.join(classes, keys).dropDuplicates(keys).withColumnRenamed("node", "rep")
+    else:
+        sets = sets.withColumnRenamed("doc_id", "rep")
+    sets = materialised(sets.select("rep", "shingles", "odd"), "sets")
     own = materialised(sigs.select("rep", "n_shingles", "sig").join(sets.select("rep", "odd"), "rep"), "packed")
-    stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = materialised(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     pairs = materialised(likely(stars, own, percent), "pairs")
     links = materialised(confirmed(pairs, sets, percent), "links")
     found = components(links)
     while True:
         for best in (True, False):
-            labelled = buckets.select("bk", "rep").join(found, "rep", "left").select("bk", "rep", F.coalesce("component", "rep").alias("component"))
+            labelled = buckets.select("bk", "rep", "cost").join(found, "rep", "left").select("bk", "rep", "cost", F.coalesce("component", "rep").alias("component"))
             new = materialised(across(blocks(labelled, own), percent, best), "pairs")
             more = materialised(confirmed(new, sets, percent), "links")
             if more.head(1):
@@ -336,14 +422,19 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
         if not best:
             break
-    linked = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = salted_join(base.select("doc_id", "n_shingles", "s1", "s2"), linked, ["s1", "s2"], "left")
+    linked = classes.join(found.withColumnRenamed("rep", "node"), "node", "left").select("s1", "s2", "doc_id", F.coalesce("component", "node").alias("node"))
+    if shared:
+        linked = linked.join(linked.groupBy("node").agg(F.min("doc_id").alias("component_id")), "node")
+    else:
+        linked = linked.withColumn("component_id", F.col("node"))
+    out = salted_join(base.select("doc_id", "text_hash", "n_shingles", "s1", "s2"), linked.drop("doc_id"), ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "node", "text_hash")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def component_sql(table: str, width: int) -> str:

@@ -98,6 +98,71 @@ def test_near_dedup_cases(spark):
     assert minhash.near_duplicates(df.where("text IS NULL"), 2).count() == 1
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts under one id are texts of their own."""
+    rng = np.random.default_rng(9)
+    a, b, c, d = (" ".join(rng.choice([f"v{i}" for i in range(500)], 60)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (5, c), (6, f"{b} more"), (8, c), (3, d), (9, d), (9, f"{d} more"), (9, f"{d} more"), (None, b), (None, "alone here")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect()
+    sets = {k: shingles(t, 2) for k, (_, t) in enumerate(rows)}
+    label = dict(brute_components([(k, t) for k, (_, t) in enumerate(rows)], 2))
+    least = {k: min((rows[x][0] for x in label if label[x][1] == label[k][1] and rows[x][0] is not None), default=None) for k in label}
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == sorted(((rows[k][0], len(sets[k]), least[k]) for k in label), key=str)
+    assert len({r.node for r in out if r.component_id == 3}) == 2
+    stage = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t and f"{t} and five words more") for i, t in rows], DOCS), FOLDER)
+    kept = sorted(((r.doc_id, r.text.removesuffix(" and five words more")) for r in stage.collect()), key=str)
+    assert kept == sorted([(3, a), (3, d), (5, b), (5, c), (None, "alone here")], key=str)
+
+
+def test_repeated_rows_of_a_leader_stay_once(spark):
+    text = "one text of seven words in all"
+    docs = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (1, text, None), (2, text, "c"), (1, f"{text} {text}", "x"), (4, None, "y"), (4, None, "z")], f"{DOCS}, kind string")
+    got = [(r.doc_id, r.text, r.kind) for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(1, text, None), (1, f"{text} {text}", "x"), (4, None, "y"), (4, None, "z")], key=str)
+
+
+def test_long_families_make_few_pairs(spark, monkeypatch):
+    """120 long texts at similarity 0.69 or so: odd sketches that grow with the sets tell them apart."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 10**9, 6000)
+    rows = []
+    for i in range(120):
+        own = base.copy()
+        own[rng.choice(6000, 297, replace=False)] = rng.integers(0, 10**9, 297)
+        rows.append((i, " ".join(map(str, own))))
+    sizes = []
+    plain = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, sets, percent: sizes.append(pairs.count()) or plain(pairs, sets, percent))
+    a, b = shingles(rows[0][1], 2), shingles(rows[1][1], 2)
+    assert 0.6 < len(a & b) / len(a | b) < 0.75
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i for i, _ in rows}
+    assert sum(sizes) < 10 * len(rows)
+
+
+def test_hubs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB", 3)
+    rows = near_copies(30, seed=4)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 2)
+
+
+def test_sketches_of_several_lengths_fold():
+    rng = np.random.default_rng(12)
+    both = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([both[: 3000 - k], rng.integers(0, 2**63, m, dtype=np.uint64)])) for k, m in ((0, 0), (0, 1200), (200, 0), (2500, 2500), (1990, 0))]
+    odd = minhash.Sketches([minhash.odd_sketch(x) for x in sets])
+    assert len(set(odd.words.tolist())) > 1
+    i, j = (x.ravel() for x in np.meshgrid(range(5), range(5)))
+    sizes = np.array([len(x) for x in sets])
+    got = minhash.may_link(odd, i, odd, j, sizes[i], sizes[j], 80)
+    for x, y, may in zip(i, j, got, strict=True):
+        common = len(np.intersect1d(sets[x], sets[y]))
+        linked = 100 * common >= 80 * (len(sets[x]) + len(sets[y]) - common)
+        assert may or not linked
+    assert not got[(i == 0) & (j == 3)][0]
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
