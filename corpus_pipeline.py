@@ -30,10 +30,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialised(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    return docs.join(checked_broadcast(gone, gone.count(), minhash.MAX_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): the one of least id.
+
+    By row, not by id: a text stays where only other texts of its id have an earlier copy. Of leading rows that share
+    the id, that of the least hash of the text stays; of rows with the same text too, the least by all columns. Rows
+    without words, and those without an id whose text no row with an id has, are in no group and all stay.
+    """
+    found = minhash.near_duplicates(docs.select("doc_id", "text")).where("node IS NOT NULL")
+    found = materialised(found.select("doc_id", "text_hash", "node", "kept"), "groups")
+    led = found.where("kept").groupBy("node").agg(F.min("text_hash").alias("first"), F.count("*").alias("n")).where("n > 1")
+    led = materialised(led, "leaders")
+    gone = found.where("NOT kept").select("doc_id", "text_hash")
+    name = lambda df: df.distinct().select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).withColumn("__h", minhash.text_hash(F.col("__row.text")))
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
+    kept = []
+    if led.head(1):  # rows that share a leader's id
+        lead = found.where("kept").join(led, "node")
+        one = materialised(name(lead.where("text_hash = first").select("doc_id", "text_hash")), "gone")
+        own = rows.join(checked_broadcast(one, one.count(), minhash.MAX_BROADCAST), same, "left_semi")
+        kept.append(own.groupBy(F.col("__row.doc_id").alias("__id"), "__h").agg(F.min("__row").alias("__row")).select("__row"))
+        gone = gone.union(lead.select("doc_id", "text_hash"))
+    gone = materialised(name(gone), "gone")
+    kept.insert(0, rows.join(checked_broadcast(gone, gone.count(), minhash.MAX_BROADCAST), same, "left_anti").select("__row"))
+    out = kept[0] if len(kept) == 1 else kept[0].union(kept[1])
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
