@@ -6,7 +6,9 @@ matrix (bucket, count) against the matrix of log probabilities, in numpy. Whole
 
 Cases: a null text or one without letters is `und` with score 0, as is every text when nothing is labelled; equal
 texts get equal results; a tie of languages goes to the first name; long texts are counted in blocks, so memory
-doesn't follow the length. lang, source and doc_id play no part in a prediction. Extra columns are not read.
+doesn't follow the length; sums are of 64 bits, so blocks don't change them; more than MAX_LANGS languages raise. A
+score is the posterior by one order's share of the evidence (the log-likelihood divided by ORDERS), as the orders' n-grams
+overlap and would count the same characters over and over. lang, source and doc_id play no part in a prediction. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import batch_of, crc32_of_id
 
 #: Buckets of the hashed n-grams, longest n-gram, and labelled texts a language that the fit takes (about).
 BUCKETS, ORDERS, SAMPLE_PER_LANG = 1 << 15, 3, 4000
+#: Languages at most: the matrix goes to the driver and is broadcast, 128 KB a language.
+MAX_LANGS = 1000
 #: Code points that are counted at a time.
 BLOCK = 1 << 18
 
@@ -68,6 +72,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANG) -> tuple[list[str], np.n
     sizes = dict(labelled.groupBy("lang").count().collect())
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32)
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{len(sizes)} languages, {MAX_LANGS} at most")
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(sizes.items())])
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
@@ -115,7 +121,7 @@ def score_column(texts: pa.Array, names: list[str], table: np.ndarray) -> tuple[
             ends.append(ends[-1] + len(at))
         if rows and (ends[-1] > 1 << 18 or i == len(texts) - 1):
             product = table[np.concatenate(cols)] * np.concatenate(data)[:, None]
-            sums = np.add.reduceat(product, np.array(ends[:-1]), axis=0).astype(np.float64) / ORDERS
+            sums = np.add.reduceat(product, np.array(ends[:-1]), axis=0, dtype=np.float64) / ORDERS
             best = sums.argmax(1)
             p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             for j, r in enumerate(rows):
