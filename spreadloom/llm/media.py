@@ -5,7 +5,9 @@ bits into (height, width, channels) arrays. `area_resize` averages the pixels un
 included, from sums of a rectangle: the integral image, kept only at the cells' column bounds and summed a strip of
 rows at a time. `tiles` cuts an array into NPY files. `dhash` compares neighbours of a 9 x 8 thumbnail.
 
-Cases: null or broken bytes give a null image with the reason in `error`, and don't stop a job; a null text is empty;
+Cases: null or broken bytes give a null image with the reason in `error`, and don't stop a job: among them sizes that
+the bytes can't fill, samples above the maximum, digits other than 0 and 1 in a plain bitmap, BMP with channel masks
+other than the usual ones, and palette entries that aren't there; a null text is empty;
 a 1 x 1 image resizes to any size; large images take memory in proportion to themselves, once. Equal bytes, equal
 results. Extra columns are carried along untouched. An empty table gives an empty result.
 """
@@ -21,6 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batch_of
 
@@ -55,15 +58,24 @@ def _netpbm(raw: bytes) -> np.ndarray:
     for _ in range(2 if kind in (1, 4) else 3):
         if not (m := _TOKEN.match(raw, at)):
             raise ValueError("header ends early")
+        if len(m[1]) > 9 or not m[1].isdigit():
+            raise ValueError("a size isn't a number")
         head.append(int(m[1]))
         at = m.end()
     w, h, top = head[0], head[1], head[2] if len(head) == 3 else 1
     if w <= 0 or h <= 0 or not 0 < top < 65536:
         raise ValueError("bad size or maximum")
     n = w * h * channels
+    if n > 8 * len(raw):
+        raise ValueError("too few samples")
     if plain:
         body = re.sub(rb"#[^\r\n]*", b"", raw[at:])
-        values = np.array(list(re.sub(rb"\s", b"", body)[:n]), np.int64) - 48 if kind == 1 else np.array(body.split()[:n], np.int64)
+        parts = list(re.sub(rb"\s", b"", body)[:n]) if kind == 1 else body.split()[:n]
+        if kind != 1 and any(len(x) > 9 or not x.isdigit() for x in parts):
+            raise ValueError("a sample isn't a number")
+        values = np.array([x - 48 for x in parts] if kind == 1 else [int(x) for x in parts], np.int64)
+        if ((values < 0) | (values > top)).any():
+            raise ValueError("a sample beyond the maximum")
         out = values.astype(np.uint16 if top > 255 else np.uint8)
     elif kind == 4:
         stride = (w + 7) // 8
@@ -72,6 +84,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
         out = np.frombuffer(raw, ">u2" if top > 255 else np.uint8, n, at + 1)
     if out.size != n:
         raise ValueError("too few samples")
+    if not plain and kind != 4 and top not in (255, 65535) and (out > top).any():
+        raise ValueError("a sample beyond the maximum")
     if kind in (1, 4):  # 1 is black
         out = (1 - out) * np.uint8(255)
     elif top not in (255, 65535):
@@ -86,12 +100,18 @@ def _bmp(raw: bytes) -> np.ndarray:
     down, h = h < 0, abs(h)
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0 or not h:
         raise ValueError(f"BMP of {bits} bits, compression {packing}")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<III", raw, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("BMP of unusual channel masks")
     stride = (w * bits + 31) // 32 * 4
+    if stride * h > len(raw):
+        raise ValueError("too few samples")
     rows = np.frombuffer(raw, np.uint8, stride * h, start).reshape(h, stride)
     if not down:
         rows = rows[::-1]
     if bits <= 8:
         n = colours or 1 << bits
+        if n > 1 << bits:
+            raise ValueError("too many colours")
         palette = np.frombuffer(raw, np.uint8, 4 * n, 14 + size).reshape(n, 4)[:, 2::-1]
         index = np.unpackbits(rows, axis=1).reshape(h, -1, bits)
         index = (index @ (1 << np.arange(bits - 1, -1, -1)))[:, :w] if bits < 8 else rows[:, :w]
@@ -172,7 +192,7 @@ def media_columns(images: DataFrame, side: int = THUMB, tile: int = TILE) -> Dat
                 try:
                     image = decode(raw or b"")
                     row = (*image.shape, dhash(image), tiles(thumbnail(image, side), tile), None)
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, struct.error, IndexError) as e:
                     row = (None, None, None, None, None, str(e) or type(e).__name__)
                 yield batch_of(MEDIA, batch.column(0).slice(i, 1), *[[x] for x in row])
 
@@ -180,6 +200,11 @@ def media_columns(images: DataFrame, side: int = THUMB, tile: int = TILE) -> Dat
     return images.select(a, b).mapInArrow(work, "id long, height long, width long, channels long, dhash string, tiles array<binary>, error string")
 
 
+def write_tiles(media: DataFrame, folder: str) -> None:
+    """Writes the tiles of media_columns as a table (id, tile, npy), a row a tile; `npy` is the NPY file."""
+    media.select("id", F.posexplode("tiles").alias("tile", "npy")).write.parquet(folder)
+
+
 TEXT_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
