@@ -11,13 +11,13 @@ A level file holds, for contexts c with n(c) children: monotone pointers to thei
 each bucket ends with a 0), low parts of just the bits a bucket needs, and 8-bit codes of log10((count - D) / count(c)).
 A lookup is relative to its context: select the bucket's zero, compare low bits. Interpolated absolute discounting:
 p(w | c) = (count - D) / count(c) + D * n(c) / count(c) * p(w), where n(c) is the difference of two pointers and
-p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)); an unknown context gives p(w). Level 1 has exact counts.
+p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)); an unknown context gives p(w). Level 1 has exact counts, as the base score is defined by them.
 
 Files are written to the shared folder and memory-mapped by the tasks; from a store without local paths they are read
-into an anonymous map. They are written under another name and moved, so a task can run again.
+into anonymous memory, OPEN_BYTES of them at a time in a worker. They are written under another name and moved, so a task can run again.
 
-Cases: a null or empty text is the end token alone; no training texts: p is 1 for every token; ids up to 2**32 words;
-long texts are hashed and scored in blocks of tokens; equal texts have equal scores; a null doc_id isn't held out and
+Cases: a null or empty text is the end token alone; no training texts: p is 1 for every token; more than 2**32 - 2
+distinct words raise; long texts are counted and scored in blocks of tokens; equal texts have equal scores; a null doc_id isn't held out and
 isn't trained on; rows that repeat count as often as they stand. Extra columns are not read.
 """
 
@@ -39,6 +39,10 @@ from .common import WordHasher, batch_of, crc32_of_id, new_folder, random64
 DISCOUNT = 0.75
 #: Tokens that a task counts or scores at a time.
 TOKENS = 1 << 20
+#: Bytes of level files that a worker holds in memory where they can't be mapped.
+OPEN_BYTES = 768 << 20
+#: Word ids are halves of 64-bit keys; the last two values are for the start symbol and the end of its range.
+MAX_WORDS = (1 << 32) - 2
 END = np.uint64(random64(9, 1)[0])
 
 U = np.uint64
@@ -136,6 +140,8 @@ class Level:
 
     def __init__(self, folder: str, name: str):
         raw = _mapped(f"{folder}/{name}")
+        #: Bytes in memory; a mapped file has none of its own.
+        self.held = 0 if isinstance(raw, np.memmap) else raw.nbytes
         size = int(raw[:8].view(np.uint64)[0])
         self.meta = json.loads(raw[8 : 8 + size].tobytes())
         self.arrays = {k: raw[at : at + n].view(kind) for k, (at, n, kind) in self.meta.pop("arrays").items()}
@@ -214,14 +220,27 @@ def _mapped(path: str) -> np.ndarray:
 # ---------------------------------------------------------------- tokens and counts
 
 
-def token_blocks(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, rows, starts): runs of tokens with the row of each run's texts and where they start; the end included.
+def token_blocks(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(tokens, rows, starts, seen): runs of tokens with the row of each run's texts and where they start, ends included.
 
-    A run has whole texts, so it may be longer than TOKENS where a single text is.
+    A run has whole texts, but for one text of more than TOKENS, which comes in blocks: from the second on, a block's
+    first token is the last one before it, and `seen` is 1.
     """
+    for tokens, rows, starts in _runs(hasher, column):
+        if len(tokens) <= 2 * TOKENS or len(rows) > 1:
+            yield tokens, rows, starts, 0
+        else:
+            for at in range(0, len(tokens), TOKENS):
+                yield tokens[max(0, at - 1) : at + TOKENS], rows, starts, int(at > 0)
+
+
+def _runs(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     tokens, rows, sizes, n = [], [], [], 0
     for first, words, bounds in hasher.texts(column):
         count = np.diff(bounds)
+        if len(words) > TOKENS and n:  # a long text is a run of its own
+            yield _run(tokens, rows, sizes)
+            tokens, rows, sizes, n = [], [], [], 0
         tokens.append(np.insert(words, bounds[1:], END))
         rows.append(np.arange(first, first + len(count)))
         sizes.append(count + 1)
@@ -320,8 +339,13 @@ class Trie:
         self.open: dict = {}
 
     def level(self, name: str) -> Level | None:
+        if name not in self.spec["files"]:
+            return None
         if name not in self.open:
-            self.open[name] = Level(self.spec["folder"], name) if name in self.spec["files"] else None
+            self.open[name] = Level(self.spec["folder"], name)
+            held = [(k, x.held) for k, x in self.open.items() if x.held]
+            while len(held) > 1 and sum(n for _, n in held) > OPEN_BYTES:
+                del self.open[held.pop(0)[0]]  # the one that was opened first
         return self.open[name]
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,8 +426,8 @@ def train(docs: DataFrame) -> dict:
         hasher, bounds = WordHasher(), np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)
         keys, counts, size = [], [], 0
         for batch in batches:
-            for tokens, _, _ in token_blocks(hasher, batch.column(0)):
-                k, c = np.unique(tokens, return_counts=True)
+            for tokens, _, _, seen in token_blocks(hasher, batch.column(0)):
+                k, c = np.unique(tokens[seen:], return_counts=True)
                 keys.append(k)
                 counts.append(c)
                 size += len(k)
@@ -437,6 +461,8 @@ def train(docs: DataFrame) -> dict:
     spec = {"folder": folder, "bits": bits, "words": words, "total": total, "texts": texts, "offsets": offsets, "files": {f"words-{p}" for p in got}, "cut": {}}
     if not words:
         return spec
+    if words > MAX_WORDS:
+        raise ValueError(f"{words} distinct words, {MAX_WORDS} at most")
     # ranges of keys: level 1's, with contexts over a range's share on their own and cut by word ids
     share = max(1, total >> bits)
     heavy = {offsets[r["part"]] + i: c for r in rows for i, c in zip(r["heavy"], r["heavy_counts"], strict=True) if c > share}
@@ -452,13 +478,13 @@ def train(docs: DataFrame) -> dict:
         hasher, trie = WordHasher(), Trie(spec)
         keys, counts, size = [], [], 0
         for batch in batches:
-            for tokens, _, starts in token_blocks(hasher, batch.column(0)):
+            for tokens, _, starts, seen in token_blocks(hasher, batch.column(0)):
                 own, back = np.unique(tokens, return_inverse=True)
                 ids = trie.ids(own)[0][back]
                 context = np.empty_like(ids)
                 context[1:] = ids[:-1]
                 context[starts] = words
-                k, c = np.unique(context.astype(np.uint64) << U(32) | ids.astype(np.uint64), return_counts=True)
+                k, c = np.unique((context.astype(np.uint64) << U(32) | ids.astype(np.uint64))[seen:], return_counts=True)
                 keys.append(k)
                 counts.append(c)
                 size += len(k)
@@ -499,7 +525,7 @@ FIELDS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64
 
 
 def score_tokens(trie: Trie, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known tokens, base score, score) of texts that start at starts."""
+    """(whether known, base score, score) of each token of texts that start at starts."""
     own, back = np.unique(tokens, return_inverse=True)
     ids, counts = trie.ids(own) if trie.words else (np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64))
     base = (counts + 0.5) / (trie.total + 0.5 * (trie.words + 1))
@@ -521,7 +547,7 @@ def score_tokens(trie: Trie, tokens: np.ndarray, starts: np.ndarray) -> tuple[np
         both = np.flatnonzero((context >= 0) & (token_ids >= 0))
         keys, again = np.unique(context[both].astype(np.uint64) << U(32) | token_ids[both].astype(np.uint64), return_inverse=True)
         p[both] += trie.pairs(keys)[again]
-    return np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts), np.add.reduceat(np.log10(p), starts)
+    return known.astype(np.int64), logs, np.log10(p)
 
 
 def score_texts(docs: DataFrame, spec: dict) -> DataFrame:
@@ -531,9 +557,15 @@ def score_texts(docs: DataFrame, spec: dict) -> DataFrame:
     def work(batches):
         hasher, trie = WordHasher(), Trie(spec)
         for batch in batches:
-            for tokens, rows, starts in token_blocks(hasher, batch.column(1)):
-                known, base, score = score_tokens(trie, tokens, starts)
-                yield batch_of(schema, batch.column(0).slice(int(rows[0]), len(rows)), np.diff(np.append(starts, len(tokens))), known, base, score)
+            part = None  # sums of the blocks so far of a long text
+            for tokens, rows, starts, seen in token_blocks(hasher, batch.column(1)):
+                each = (np.ones(len(tokens), np.int64), *score_tokens(trie, tokens, starts))
+                sums = [np.add.reduceat(x[seen:], starts) for x in each]
+                if seen:
+                    sums = [a + b for a, b in zip(part, sums, strict=True)]
+                if tokens[-1] == END:
+                    yield batch_of(schema, batch.column(0).slice(int(rows[0]), len(rows)), *sums)
+                part = sums
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
