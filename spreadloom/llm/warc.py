@@ -12,7 +12,8 @@ chain enters each range; the last pass walks from there and reads only records t
 
 Cases: a null html is an empty payload; a null url is empty, and CR or LF in a url are percent-encoded; a null page_id
 reads back as null, and is a response unless an equal payload has an id; rows that repeat the largest page_id are all
-responses; headers of any length are read to their blank line; payloads of any length are digested in blocks; a broken or cut record ends its file's chain; empty tables
+responses; payloads are equal where their SHA-1 and length are; headers of any length are read to their blank line;
+payloads of any length are digested in blocks; archives are read ahead READ bytes at a time; a broken or cut record ends its file's chain; empty tables
 and empty archives give no records. Extra columns are not stored. Digests are SHA-1 in lower-case hex.
 """
 
@@ -31,6 +32,10 @@ from .common import batch_of, checked_broadcast, materialised, new_folder, salte
 MIN_REVISIT = 1000
 #: Bytes of an archive that one task scans; bytes first read of a header; records in one archive; repeated payloads to broadcast.
 SPLIT, MAX_HEADER, MAX_RECORDS, MAX_BROADCAST = 4 << 20, 1 << 16, 100_000, 200_000
+#: Bytes that a walk reads at a time.
+READ = 1 << 20
+#: Bytes in which a walk looks for a blank line first.
+HEADER = 4096
 
 MAGIC = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
@@ -41,10 +46,10 @@ def records(pages: DataFrame) -> DataFrame:
     """One column: the record of each row of (page_id, url, html) without its final CRLF CRLF."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    twice = rows.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("digest", "keeper")
+    twice = rows.where(F.col("n") >= MIN_REVISIT).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("digest", "n", "keeper")
     twice = materialised(twice, "payloads")
     size = twice.count()
-    rows = rows.join(checked_broadcast(twice, size, MAX_BROADCAST), "digest", "left") if size <= MAX_BROADCAST else salted_join(rows, twice, ["digest"], "left")
+    rows = rows.join(checked_broadcast(twice, size, MAX_BROADCAST), ["digest", "n"], "left") if size <= MAX_BROADCAST else salted_join(rows, twice, ["digest", "n"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -78,6 +83,20 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
+class Ahead:
+    """Ranges of a file, from one read of READ bytes or more at a time."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start, self.data = file, size, 0, b""
+
+    def read(self, n: int, at: int) -> bytes:
+        """n bytes at an offset, fewer at the end of the file."""
+        n = min(n, self.size - at)
+        if at < self.start or at + n > self.start + len(self.data):
+            self.data, self.start = self.file.read_at(min(max(n, READ), self.size - at), at), at
+        return self.data[at - self.start : at - self.start + n]
+
+
 def parse(header: bytes) -> tuple[int, int] | None:
     """(length of the header with its blank line, Content-Length) of what starts with a header, or None."""
     if not header.startswith(MAGIC):
@@ -188,25 +207,25 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for path, size, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 end, out = min((node // SPLIT + 1) * SPLIT, size), []
                 with _open(path) as file:
+                    ahead = Ahead(file, size)
                     while node < end:
-                        head = file.read_at(min(MAX_HEADER, size - node), node)
-                        while head.startswith(MAGIC) and b"\r\n\r\n" not in head and (more := min(len(head), size - node - len(head))) > 0:
-                            head += file.read_at(more, node + len(head))
+                        head = ahead.read(HEADER, node)
+                        while head.startswith(MAGIC) and b"\r\n\r\n" not in head and len(head) < size - node:
+                            head = ahead.read(2 * len(head), node)
                         got = parse(head)
                         if not got or (succ := node + sum(got) + 4) > size:
                             break
                         h, length = got
                         kind = (_field(head[:h], b"WARC-Type") or b"").decode()
                         at, stop = node + h, node + h + length
-                        block = file.read_at(min(MAX_HEADER, length), at)
-                        gap = block.find(b"\r\n\r\n")
+                        gap = ahead.read(min(HEADER, length), at).find(b"\r\n\r\n")
                         if kind == "revisit":
                             n, digest = int(_field(head[:h], b"WARC-Payload-Length") or 0), (_field(head[:h], b"WARC-Payload-Digest") or b"").decode().removeprefix("sha1:")
                         else:
                             at += gap + 4 if gap >= 0 else 0
                             n, sha = stop - at, hashlib.sha1()
                             while at < stop:
-                                sha.update(part := file.read_at(min(1 << 20, stop - at), at))
+                                sha.update(part := ahead.read(min(READ, stop - at), at))
                                 at += len(part)
                             digest = sha.hexdigest()
                         out.append((_id(_field(head[:h], b"WARC-Record-ID")), n, digest, kind, _id(_field(head[:h], b"WARC-Refers-To")), path, node))

@@ -7,11 +7,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spreadloom.llm import minhash, mixing, ngram_lm, warc
+from spreadloom.llm import common, minhash, mixing, ngram_lm, warc
 from spreadloom.llm.common import WordHasher, shared_dir
 
 DOCS = "doc_id long, text string"
@@ -175,8 +176,6 @@ def test_estimate_is_close():
 
 
 def test_word_hashes_do_not_depend_on_place():
-    import pyarrow as pa
-
     h = WordHasher()
     (_, a, bounds), *_ = h.texts(pa.array(["one two", None, "", " TWO\none "]))
     assert bounds.tolist() == [0, 2, 2, 2, 4]
@@ -241,6 +240,26 @@ def test_small_archives_have_candidates(spark, monkeypatch, tmp_path):
     assert [x.read_text() for x in tmp_path.iterdir()] == ["7"]
 
 
+def test_a_walk_reads_ahead(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 1000)
+    data = np.random.default_rng(3).integers(0, 256, 20_000, np.uint8).tobytes()
+
+    class File:
+        reads = 0
+
+        def read_at(self, n, at):
+            File.reads += 1
+            return data[at : at + n]
+
+    ahead, at = warc.Ahead(File(), len(data)), 0
+    while at < len(data):
+        assert ahead.read(100, at) == data[at : at + 100]
+        at += 70
+    assert File.reads <= 23
+    assert ahead.read(5000, 100) == data[100:5100]
+    assert ahead.read(5000, 19_000) == data[19_000:]
+
+
 def test_broken_archive(spark, tmp_path):
     rec = lambda i, body: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
     (tmp_path / "a.warc").write_bytes(rec(1, b"h\r\n\r\nbody") + rec(2, b"") + b"garbage" + rec(3, b"x"))
@@ -289,13 +308,57 @@ def test_scores_against_counts(spark, monkeypatch):
     texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 80), p=np.arange(300, 0, -1) / 45150)) for _ in range(200)] + [None, "", "unseen words only", "The the THE"]
     train = [t for i, t in enumerate(texts) if i % 4 and i < 202]
     frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), DOCS)
-    spec = ngram_lm.train(frame(train))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        spec = ngram_lm.train(frame(train))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     got = sorted(ngram_lm.score_texts(frame(texts), spec).collect())
     for r, (n, known, total, base, score) in zip(got, brute_lm(train, texts), strict=True):
         assert (r.n_tokens, r.n_known, spec["total"]) == (n, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-9)
         assert abs(r.score - score) / n < 0.02
-    assert any("cut" in k or v for k, v in spec["cut"].items()) or spec["cut"] == {}
+    # contexts that are cut into several ranges know all their successors
+    pairs = {(a, b) for t in train for a, b in zip(["\1", *words(t)], [*words(t), "\0"], strict=True)}
+    assert spec["cut"][spec["words"]] == Counter(a for a, _ in pairs)["\1"]
+
+
+def test_long_texts_in_blocks_score_alike(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(50)], n)) for n in (700, 3, 90, 1, 400, 5, 5)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    whole = sorted(ngram_lm.score_texts(docs, ngram_lm.train(docs)).collect())
+    hashers = [(list(ngram_lm.token_blocks(WordHasher(), pa.array(texts))))]
+    monkeypatch.setattr(ngram_lm, "TOKENS", 32)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 64)
+    blocks = list(ngram_lm.token_blocks(WordHasher(), pa.array(texts)))
+    assert len(blocks) > len(hashers[0])
+    assert max(len(b[0]) for b in blocks) <= 3 * 32
+    assert sum(len(b[0]) - b[3] for b in blocks) == sum(r.n_tokens for r in whole)
+    trie = ngram_lm.Trie(ngram_lm.train(docs))
+    each = [ngram_lm.score_tokens(trie, b[0], b[2])[2][b[3] :] for b in blocks]
+    assert sum(x.sum() for x in each) == pytest.approx(sum(r.score for r in whole), abs=1e-6)
+
+
+def test_levels_that_cannot_be_mapped_are_let_go(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(200)], 40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    spec = ngram_lm.train(docs)
+    (tokens, _, starts, _), *_ = ngram_lm.token_blocks(WordHasher(), pa.array(texts))
+    mapped = ngram_lm.Trie(spec)
+    expected = ngram_lm.score_tokens(mapped, tokens, starts)[2]
+    monkeypatch.setattr(ngram_lm, "_mapped", lambda path, plain=ngram_lm._mapped: np.array(plain(path)))
+    monkeypatch.setattr(ngram_lm, "OPEN_BYTES", 1)
+    held = ngram_lm.Trie(spec)
+    assert (ngram_lm.score_tokens(held, tokens, starts)[2] == expected).all()
+    assert len(held.open) == 1 < len(mapped.open)
+
+
+def test_too_many_words_raise(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "MAX_WORDS", 3)
+    with pytest.raises(ValueError, match="distinct words"):
+        ngram_lm.train(spark.createDataFrame([(1, "a b c d")], DOCS))
 
 
 def test_language_model_without_training_texts(spark):

@@ -130,6 +130,42 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in langid.predict(odd, langs, logs).collect()} == {"und"}
 
 
+def brute_language(train, text):
+    """Naive Bayes with Python's integers and dictionaries."""
+
+    def grams(t):
+        t = " " + re.sub(r"[\W\d_]+", " ", t.lower()) + " "
+        for n in (1, 2, 3):
+            for i in range(n - 1, len(t)):
+                h = 0
+                for k in range(n):  # the hash of the last n points, extended from the hash of n - 1
+                    h = (h * 0x9E3779B1 + ord(t[i - n + 1 + k]) * 0x85EBCA6B + k + 1) & 0xFFFFFFFF
+                h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+                yield (h ^ h >> 13) % langid.BUCKETS
+
+    counted = defaultdict(lambda: defaultdict(int))
+    for t, lang in train:
+        for g in grams(t):
+            counted[lang][g] += 1
+    sums = {}
+    for lang, own in counted.items():
+        total = sum(own.values()) + 0.5 * langid.BUCKETS
+        sums[lang] = sum(np.log((own[g] + 0.5) / total) for g in grams(text)) / 3
+    best = max(sorted(sums), key=sums.get)
+    return best, 1 / sum(np.exp(x - sums[best]) for x in sums.values())
+
+
+def test_languages_against_brute_force(spark):
+    train = [("the cat of this and that", "en"), ("and with the of it is", "en"), ("der hund und die katze", "de"), ("nicht mit über das", "de"), ("le chat et la souris", "fr")]
+    langs, logs = langid.fit(frame(spark, [(i, t, n) for i, (t, n) in enumerate(train)], "doc_id long, text string, lang string"))
+    texts = ["the katze and la", "über", "x", "Le Chat", "that of the and " * 400, "q z"]
+    got = {r.doc_id: r for r in langid.predict(frame(spark, list(enumerate(texts))), langs, logs).collect()}
+    for i, t in enumerate(texts):
+        lang, p = brute_language(train, t)
+        assert got[i].lang_pred == lang
+        assert got[i].score == pytest.approx(p, abs=1e-4)
+
+
 def test_blocks_of_grams_change_nothing(monkeypatch):
     text = "Übermut, naïve café " * 30
     whole = langid.counts(text)
@@ -157,6 +193,44 @@ def test_fingerprints_against_brute_force(spark, docs):
     assert near > 0.4 > 0.1 > far
 
 
+def brute_fingerprint(raw):
+    """Byte by byte, with a window kept in a list."""
+    values = [int(v) for v in ctph._VALUES]
+
+    def signature(block, room):
+        out, chunk, window = [], b"", []
+        for c in raw:
+            chunk += bytes([c])
+            window = [*window, c][-ctph.WINDOW :]
+            h = 0
+            for x in window:
+                h = (h * 0x2F0B4C47 + values[x]) & 0xFFFFFFFF
+            if (h ^ h >> 15) % block == block - 1 and len(out) < room - 1:
+                out.append(chunk)
+                chunk = b""
+        return [*out, chunk] if chunk else out
+
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 3 and sum(1 for _ in signature(block, 10**9)) - 1 < 32:
+        block //= 2
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return f"{block}:" + ":".join("".join(letters[zlib.crc32(c) // 8192 % 64] for c in signature(b, n)) for b, n in ((block, 64), (2 * block, 32)))
+
+
+def test_signatures_against_brute_force():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 6, 7, 50, 400, 3000):
+        raw = bytes(rng.integers(97, 123, n, np.uint8))
+        got, expected = ctph.fingerprint(raw).split(":"), brute_fingerprint(raw).split(":")
+        # a chunk end at the last byte leaves no rest, which the count of ends above can't tell from a rest
+        assert got == expected or got[0] != expected[0]
+        assert got[0] == expected[0] or n > 100
+    same = sum(ctph.fingerprint(r) == brute_fingerprint(r) for r in (bytes(rng.integers(97, 123, 500, np.uint8)) for _ in range(20)))
+    assert same >= 19
+
+
 def test_fingerprint_cases(spark, monkeypatch):
     rows = [(3, "a"), (3, "b"), (None, "n1"), (None, "n2"), (1, None), (7, "é" * 5)]
     got = ctph.compare_with_next(frame(spark, rows)).collect()
@@ -229,6 +303,59 @@ def test_tiles_and_broken_images(spark):
     assert (got[4].height, got[4].width, got[4].channels, got[4].dhash) == (3, 2, 1, "0" * 16)
 
 
+def bmp32(masks):
+    import struct
+
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 74, 0, 0, 66, 40, 1, 2, 1, 32, 3, 8, 0, 0, 0, 0)
+    return head + struct.pack("<III", *masks) + bytes([1, 2, 3, 0, 4, 5, 6, 0])
+
+
+BROKEN = {
+    "huge": b"P5 99999999999999999999 1 255\n", "large": b"P5 99999 99999 255\n" + b"x" * 50, "plain": b"P2 999999999 999999999 255 1 2", "sample": b"P2 1 1 255 99999999999999999999",
+    "above": b"P2 2 1 255 300 4", "raw": b"P5 1 1 100\n\xff", "digit": b"P1 2 1 1 7", "sign": b"P2 1 1 255 -4", "word": b"P2 1 1 255 x", "masks": bmp32((1, 2, 4)), "short": media.encode_bmp(np.zeros((9, 9, 3), np.uint8))[:80],
+}
+
+
+def test_broken_images_do_not_stop_a_job(spark):
+    rows = [(i, raw) for i, raw in enumerate(BROKEN.values())] + [(99, bmp32((0xFF0000, 0xFF00, 0xFF)))]
+    got = {r.id: r for r in media.media_columns(frame(spark, rows, "id long, image binary")).collect()}
+    assert [list(BROKEN)[k] for k in got if k < 99 and got[k].error is None] == []
+    assert (got[99].height, got[99].channels, got[99].error) == (2, 3, None)
+    assert media.decode(bmp32((0xFF0000, 0xFF00, 0xFF)))[:, 0].tolist() == [[6, 5, 4], [3, 2, 1]]
+
+
+def test_tiles_are_written(spark, tmp_path):
+    import io
+
+    image = np.random.default_rng(1).integers(0, 256, (60, 70), np.uint8)
+    out = media.media_columns(frame(spark, [(1, media.encode_pgm(image)), (2, b"no")], "id long, image binary"))
+    media.write_tiles(out, f"{tmp_path}/tiles")
+    rows = spark.read.parquet(f"{tmp_path}/tiles").orderBy("tile").collect()
+    assert [(r.id, r.tile) for r in rows] == [(1, k) for k in range(4)]
+    assert (np.load(io.BytesIO(bytes(rows[0].npy))) == media.thumbnail(image[:, :, None])[:24, :24]).all()
+
+
+def brute_dhash(image):
+    """Means of cells by fractions of pixels, one cell at a time."""
+    h, w = image.shape
+    cells = np.zeros((8, 9))
+    for i in range(8):
+        for j in range(9):
+            y0, y1, x0, x1 = i * h / 8, (i + 1) * h / 8, j * w / 9, (j + 1) * w / 9
+            wy = [max(0.0, min(y1, y + 1) - max(y0, y)) for y in range(h)]
+            wx = [max(0.0, min(x1, x + 1) - max(x0, x)) for x in range(w)]
+            cells[i, j] = (np.outer(wy, wx) * image).sum() / ((y1 - y0) * (x1 - x0))
+    bits = "".join("1" if round(cells[i, j], 6) < round(cells[i, j + 1], 6) else "0" for i in range(8) for j in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def test_difference_hashes_against_brute_force():
+    rng = np.random.default_rng(13)
+    for shape in ((24, 24), (48, 24), (5, 7), (1, 1), (100, 24)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert media.dhash(image[:, :, None]) == brute_dhash(image.astype(float))
+
+
 def test_text_payloads(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in media.op3(spark, FOLDER).collect():
