@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.windows import last_rows, ordered
 
 SEQUENCE, BATCH = 192, 8
+LAGS = (1, 2, 3, 4)
 
 
 def shifted(labels: DataFrame, lag: Column | int, horizon: int = 1) -> DataFrame:
-    """Each row's label becomes that of lag + horizon rows later. lag: an int, or a column of up to four lags."""
+    """Each row's label becomes that of lag + horizon rows later. lag: an int, or a column of lags from LAGS.
+
+    A lag outside LAGS raises when the rows are made; a NULL lag gives a NULL label.
+    """
     if isinstance(lag, int):
         return labels.withColumn("label", F.lead("label", lag + horizon).over(ordered()))
-    ahead = [F.when(lag == k, F.lead("label", k + horizon).over(ordered())) for k in range(1, 5)]
-    return labels.withColumn("label", F.coalesce(*ahead))
+    label = F.when(lag.isNotNull() & ~lag.isin(*LAGS), F.raise_error(F.concat(F.lit("no such lag: "), lag.cast("string"))))
+    for k in LAGS:
+        label = label.when(lag == k, F.lead("label", k + horizon).over(ordered()))
+    return labels.withColumn("label", label.cast("double"))
 
 
 def train_mask(dates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,13 +62,13 @@ def hash_sample(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFram
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
 
 
-def time_distance(df: DataFrame, key: str = "target") -> DataFrame:
-    return df.withColumn("distance", (F.col("date_id") - F.min("date_id").over(Window.partitionBy(key))).cast("double"))
+def time_distance(df: DataFrame, key: str | list[str] = "target") -> DataFrame:
+    return df.withColumn("distance", (F.col("date_id") - F.min("date_id").over(Window.partitionBy(*([key] if isinstance(key, str) else key)))).cast("double"))
 
 
-def sample_weights(df: DataFrame, scheme: str, decay: float, floor: float | None = None, cap: float | None = None, key: str = "target") -> DataFrame:
+def sample_weights(df: DataFrame, scheme: str, decay: float, floor: float | None = None, cap: float | None = None, key: str | list[str] = "target") -> DataFrame:
     """weight by recency, capped, floored, then divided by its mean of a key. Schemes: none, recency_exp, recency_linear."""
-    own = Window.partitionBy(key)
+    own = Window.partitionBy(*([key] if isinstance(key, str) else key))
     rows = time_distance(df, key)
     span = F.max("distance").over(own)
     rel = F.when(span > 0, F.try_divide("distance", span)).otherwise(F.col("distance"))

@@ -13,13 +13,17 @@ def rmse(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.where("pred IS NOT NULL AND label IS NOT NULL").groupBy(*by).agg(F.sqrt(F.avg((F.col("label") - F.col("pred")) ** 2)).alias("rmse"))
 
 
-def daily_ic(rows: DataFrame) -> DataFrame:
-    """(date_id, ic, n): correlation of ordinal ranks across targets; ties go by target; constant ranks give no row."""
+def daily_ic(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, date_id, ic, n): correlation of ordinal ranks across targets; ties go by target; constant ranks give no row.
+
+    by: columns that tell runs apart.
+    """
+    keys = [*(by or []), "date_id"]
     both = rows.where("pred IS NOT NULL AND label IS NOT NULL")
-    rank = lambda c: F.row_number().over(Window.partitionBy("date_id").orderBy(c, "target")).cast("double")
-    ranked = both.select("date_id", rank("pred").alias("x"), rank("label").alias("y"))
-    got = ranked.groupBy("date_id").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return got.where(F.col("n") >= LEAST).select("date_id", F.try_divide("c", F.col("sx") * F.col("sy")).alias("ic"), "n").where("ic IS NOT NULL")
+    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, "target")).cast("double")
+    ranked = both.select(*keys, rank("pred").alias("x"), rank("label").alias("y"))
+    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return got.where(F.col("n") >= LEAST).select(*keys, F.try_divide("c", F.col("sx") * F.col("sy")).alias("ic"), "n").where("ic IS NOT NULL")
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

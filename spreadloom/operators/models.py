@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from .labels import hash_sample, sample_weights, shifted
 from .screen import fit_medians, impute, kept_features, to_long, to_wide
 
-#: Values of the default grid, by parameter.
+#: Values of the default grid, by parameter. The published ones.
 GRID = {
-    "learning_rate": [0.01, 0.02, 0.03, 0.05],
-    "num_leaves": [31, 63, 127],
-    "min_data_in_leaf": [20, 50, 100],
-    "feature_fraction": [0.6, 0.8, 1.0],
-    "bagging_fraction": [0.6, 0.8, 1.0],
-    "lambda_l1": [0.0, 0.1, 1.0],
-    "lambda_l2": [0.0, 1.0, 5.0],
-    "max_depth": [4, 6, 8],
-    "weight_decay": [0.0, 1.0, 3.0],
+    "num_boost_round": [160, 200, 240, 280],
+    "learning_rate": [0.03, 0.05, 0.07],
+    "num_leaves": [16, 31, 48],
+    "feature_fraction": [0.6, 0.7, 0.8],
+    "bagging_fraction": [0.6, 0.7, 0.8],
+    "min_data_in_leaf": [30, 50, 80],
+    "lambda_l1": [0.0, 0.001, 0.01],
+    "lambda_l2": [0.001, 0.01, 0.1],
+    "early_stopping_rounds": [10, 20, 30],
 }
 
 

@@ -220,6 +220,13 @@ NAV = f"""nv AS (SELECT target, date_id, s.pair NOT LIKE '% - %' AS single,
 OVERLAP = """ovl AS (SELECT date_id, asset, price, 0 AS src FROM observed WHERE date_id <= 1200 UNION ALL SELECT date_id, asset, price * 2, 1 FROM observed WHERE date_id > 1100)"""
 
 
+# fixed values: the published grid
+GRID_SQL = """SELECT * FROM (VALUES (160.0::DOUBLE), (200.0), (240.0), (280.0)) a(num_boost_round) CROSS JOIN (VALUES (0.03::DOUBLE), (0.05), (0.07)) b(learning_rate)
+CROSS JOIN (VALUES (16.0::DOUBLE), (31.0), (48.0)) c(num_leaves) CROSS JOIN (VALUES (0.6::DOUBLE), (0.7), (0.8)) d(feature_fraction) CROSS JOIN (VALUES (0.6::DOUBLE), (0.7), (0.8)) e(bagging_fraction)
+CROSS JOIN (VALUES (30.0::DOUBLE), (50.0), (80.0)) f(min_data_in_leaf) CROSS JOIN (VALUES (0.0::DOUBLE), (0.001), (0.01)) g(lambda_l1) CROSS JOIN (VALUES (0.001::DOUBLE), (0.01), (0.1)) h(lambda_l2)
+CROSS JOIN (VALUES (10.0::DOUBLE), (20.0), (30.0)) i(early_stopping_rounds)"""
+
+
 def grid_sql(values: dict[str, list]) -> str:
     return " CROSS JOIN ".join(f"(VALUES {', '.join(f'({float(v)!r}::DOUBLE)' for v in options)}) g{i}({name})" for i, (name, options) in enumerate(values.items()))
 
@@ -323,11 +330,11 @@ def oracle_sql() -> dict[str, str]:
         "lag_label_pivot": sql("SELECT date_id, " + ", ".join(f"{r(f'sum(label) FILTER (WHERE lag = {k})')} AS lag_{k}" for k in (1, 2, 3, 4)) + " FROM lab JOIN specs USING (target) GROUP BY date_id"),
         "train_mask": sql(f"SELECT DISTINCT date_id, date_id <= {TRAIN_END} AS is_train FROM tgt"),
         "train_test_split": sql(f"SELECT target, date_id <= {TRAIN_END} AS is_train, count(*) AS n, min(date_id) AS first, max(date_id) AS last FROM tgt GROUP BY 1, 2"),
-        "feature_label_join": sql(f"SELECT target, date_id, {r('ret_1')} AS ret_1, {r('label')} AS label FROM fac JOIN lab USING (target, date_id) WHERE label IS NOT NULL AND date_id % 3 = 0", core),
-        "mask_left_join": sql("SELECT date_id % 2 = 0 AS is_train, count(*) AS n FROM (SELECT DISTINCT date_id FROM tgt) GROUP BY 1"),
-        "full_join_blocks": sql(f"SELECT coalesce(a.target, b.target) AS target, coalesce(a.date_id, b.date_id) AS date_id, {r('ret_1')} AS ret_1, {r('vol_20')} AS vol_20 FROM (SELECT target, date_id, ret_1 FROM fac WHERE date_id % 2 = 0) a FULL JOIN (SELECT target, date_id, vol_20 FROM fac WHERE date_id % 3 = 0) b ON a.target = b.target AND a.date_id = b.date_id", core),
-        "shared_dates": sql("SELECT DISTINCT date_id FROM tgt WHERE date_id % 6 = 0"),
-        "intersect_keys": sql("SELECT target, date_id FROM tgt WHERE date_id % 6 = 0"),
+        "feature_label_join": sql(f"SELECT target, date_id, {r('ret_1')} AS ret_1, {r('label')} AS label FROM fac JOIN lab USING (target, date_id) WHERE label IS NOT NULL", core),
+        "mask_left_join": sql(f"SELECT date_id <= {TRAIN_END} AS is_train, count(*) AS n FROM (SELECT DISTINCT date_id FROM tgt) GROUP BY 1"),
+        "full_join_blocks": sql(f"SELECT coalesce(a.target, b.target) AS target, coalesce(a.date_id, b.date_id) AS date_id, {r('ret_1')} AS ret_1, {r('vol_20')} AS vol_20 FROM (SELECT target, date_id, ret_1 FROM fac WHERE date_id <= {TRAIN_END}) a FULL JOIN (SELECT target, date_id, vol_20 FROM fac JOIN lab USING (target, date_id) WHERE label IS NOT NULL) b ON a.target = b.target AND a.date_id = b.date_id", core),
+        "shared_dates": sql("SELECT DISTINCT date_id FROM lab WHERE label IS NOT NULL"),
+        "intersect_keys": sql("SELECT target, date_id FROM lab WHERE label IS NOT NULL"),
         "aligned_columns": sql(f"SELECT target, date_id, {r('ret_1')} AS ret_1, NULL::DOUBLE AS absent FROM fac", core),
         "latest_row": sql(f"SELECT target, date_id, {', '.join(f'{r(n)} AS {n}' for n in CORE)} FROM fac WHERE date_id = (SELECT max(date_id) FROM fac)", core),
         "panel_preview": sql("SELECT date_id, " + ", ".join(f"{r(f'max(CASE WHEN target = {t!r} THEN {c} END)')} AS \"{t}::{c}\"" for t in ("target_0", "target_7") for c in ("ret_1", "vol_20")) + " FROM fac GROUP BY date_id ORDER BY date_id LIMIT 50", core),
@@ -335,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "label_shift_by_lag": sql(f"SELECT target, l.date_id, {r('m.label')} AS label FROM ll l JOIN specs USING (target) LEFT JOIN ll m ON m.target = l.target AND m.i = l.i + lag + 1".replace("SELECT target,", "SELECT l.target,"), f"ll AS (SELECT *, row_number() OVER ({O}) AS i FROM lab)"),
         "label_mask": sql(f"SELECT target, date_id, {r('coalesce(label, 0)')} AS label, label IS NOT NULL AS mask FROM lab"),
         "valid_counts": sql(f"SELECT date_id, n_valid, CASE WHEN date_id <= {TRAIN_END} THEN 'train' ELSE 'valid' END AS split FROM (SELECT date_id, count(label) AS n_valid, row_number() OVER (ORDER BY date_id) - 1 AS p FROM lab GROUP BY date_id) WHERE p >= 191 AND n_valid >= 10"),
-        "sequence_windows": sql(f"SELECT target, date_id, 16 AS n, {r(f'sum(ret_1::FLOAT::DOUBLE) {frame(16)}', 4)} AS sum_first, {r(f'first_value(vol_20::FLOAT::DOUBLE) {frame(16)}', 5)} AS oldest FROM fac QUALIFY count(*) {frame(16)} = 16", core),
+        "sequence_windows": sql(f"SELECT target, date_id, 192 AS n, {r(f'sum(ret_1::FLOAT::DOUBLE) {frame(192)}', 4)} AS sum_first, {r(f'first_value(ret_5::FLOAT::DOUBLE) {frame(192)}', 5)} AS oldest FROM fac QUALIFY count(*) {frame(192)} = 192", factor_cte(["ret_1", "ret_5"])),
         "recency_weights_exp": weights(f"date_id <= {TRAIN_END}", EXP),
         "recency_weights_linear": weights(f"date_id <= {TRAIN_END}", "1 + rel * 2.0"),
         "weight_summary": f"SELECT target, {r('avg(w)')} AS mean, {r('min(w)')} AS low, {r('max(w)')} AS high, count(*) AS n FROM (" + weights("true", EXP).replace(r("w / avg(w) OVER (PARTITION BY target)") + " AS weight", "w / avg(w) OVER (PARTITION BY target) AS w") + ") GROUP BY target",
@@ -346,10 +353,10 @@ def oracle_sql() -> dict[str, str]:
         "daily_ic": sql(f"SELECT date_id, n, {r('ic')} AS ic FROM ic", PRED, IC),
         "ic_summary": sql(f"SELECT count(*) AS n_dates, {r('avg(ic)')} AS ic_mean, {r('stddev_pop(ic)')} AS ic_std, {r('avg(ic) / stddev_pop(ic)')} AS ir FROM ic", PRED, IC),
         "rmse": sql(f"SELECT target, {r('sqrt(avg(pow(label - pred, 2)))', 8)} AS rmse FROM pr WHERE pred IS NOT NULL AND label IS NOT NULL GROUP BY target", PRED),
-        "blended_mean": sql(f"SELECT target, date_id, {r('(pred + pred * 3.14159265) / 2')} AS pred FROM pr", PRED),
+        "blended_mean": sql(f"SELECT target, date_id, {r('(pred + pred * 3) / 2')} AS pred FROM pr", PRED),
         "eda_summary": sql(f"SELECT feature, count(value) AS n, {r('avg((abs(value) <= 1e-12)::INT)')} AS zero_ratio, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std FROM lg GROUP BY feature", core, LONG),
         "panel_shape": sql("SELECT count(DISTINCT date_id) AS n_dates, count(DISTINCT target) AS n_targets, count(DISTINCT feature) AS n_features FROM lg", core, LONG),
-        "grid_product": "SELECT * FROM " + grid_sql(models.GRID),
+        "grid_product": GRID_SQL,
         "grid_topk": f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY learning_rate, max_depth, lambda_l2) AS i FROM {grid_sql(n_grid)}),
 h AS (SELECT *, CASE WHEN i % 5 <> 0 THEN i * 0.01 END AS t, (13 - i) * 0.005 AS v FROM g WHERE i % 4 <> 0)
 SELECT i::INT AS combo_id, learning_rate, max_depth, lambda_l2, round((t - v)::DOUBLE, 6) + 0.0 AS train_val_gap FROM h WHERE t - v <= 0.05 ORDER BY v DESC LIMIT 5""",
@@ -363,8 +370,19 @@ SELECT i::INT AS combo_id, learning_rate, max_depth, lambda_l2, round((t - v)::D
         "stream_history_features": f"""WITH e AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', ts)::INT AS date_id, event_type AS target, avg(value) AS price FROM events GROUP BY 1, 2),
 f AS (SELECT *, price - lag(price) OVER ({O}) AS ch FROM e)
 SELECT target, date_id, {r('price')} AS price, {r(f'avg(price) {frame(5)}')} AS mean_5, {r(f'stddev_samp(ch) {frame(10)}')} AS vol_10 FROM f""",
+        "ic_report": sql(
+            "SELECT " + ", ".join(f"{r(f'{n}_m')} AS {n}_ic_mean, {r(f'{n}_s')} AS {n}_ic_std, {r(f'{n}_m / {n}_s')} AS {n}_ir, {n}_n AS n_{n}_dates" for n in ("train", "val")) + " FROM sides",
+            PRED, IC, "sides AS (SELECT " + ", ".join(f"avg(ic) FILTER (WHERE {w}) AS {n}_m, stddev_pop(ic) FILTER (WHERE {w}) AS {n}_s, count(*) FILTER (WHERE {w}) AS {n}_n" for n, w in (("train", f"date_id <= {TRAIN_END}"), ("val", f"date_id > {TRAIN_END}"))) + " FROM ic)",
+        ),
+        "boost_samples": sql(
+            f"SELECT target, count(*) FILTER (WHERE t) AS train_samples, count(*) FILTER (WHERE NOT t) AS val_samples, {r('avg(w / m) FILTER (WHERE t)')} AS train_weight_mean, {r('min(w / m) FILTER (WHERE t)')} AS train_weight_min, {r('max(w / m) FILTER (WHERE t)')} AS train_weight_max FROM wm GROUP BY target",
+            f"sl AS (SELECT target, date_id, lead(label, 2) OVER ({O}) AS l FROM lab JOIN specs USING (target) WHERE lag = 1)",
+            f"sd AS (SELECT target, date_id <= {TRAIN_END} AS t, date_id - min(date_id) OVER p AS d, date_id, min(date_id) OVER p AS d0, max(date_id) OVER p AS d1 FROM sl WHERE l IS NOT NULL WINDOW p AS (PARTITION BY target, date_id <= {TRAIN_END}))",
+            "sw AS (SELECT target, t, greatest(0.5, least(10.0, exp(3.0 * d / (d1 - d0)))) AS w FROM sd)",
+            "wm AS (SELECT *, avg(w) OVER (PARTITION BY target, t) AS m FROM sw)",
+        ),
         "stream_latest": f"""WITH e AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', ts)::INT AS date_id, event_type AS target, avg(value) AS price FROM events GROUP BY 1, 2)
-SELECT target, date_id, pred FROM (SELECT target, date_id, {r(f'avg(price) {frame(5)}')} AS pred FROM e) WHERE date_id < (SELECT min(date_id) + 6 FROM e)""",
+SELECT target, date_id, {r(f'avg(price) {frame(5)}')} AS pred FROM e""",
     }
     return o
 

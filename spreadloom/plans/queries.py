@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_float, is_close_to_zero, rounded, to_number
 from ..functions.windows import filled, last_rows, ordered
-from ..operators import clean, decomp, eda, factors, labels, metrics, models, screen, stats, symbolic, targets, technical
+from ..operators import boosting, clean, decomp, eda, factors, labels, metrics, models, screen, stats, symbolic, targets, technical
+from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import tables
 from ..streaming import daily
@@ -26,6 +25,12 @@ GRID_SMALL = {"learning_rate": [0.01, 0.05], "max_depth": [4.0, 6.0, 8.0], "lamb
 PARAMS = '{"lag1": {"learning_rate": 0.02, "num_leaves": 63}, "2": {"learning_rate": 0.05, "max_depth": 6}}'
 
 
+#: The published run's weighting; all else is the default.
+BOOST = boosting.BoostConfig(train_end=dt.TRAIN_END, weight_scheme="recency_exp", weight_decay_rate=3.0, weight_floor=0.5, weight_cap=10.0)
+#: Settings that the search query samples from the grid.
+N_SETTINGS = 12
+
+
 def _round(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keys, *[rounded(F.col(c), digits).alias(c) for c in df.columns if c not in keys])
 
@@ -126,32 +131,17 @@ def _streamed(s: SparkSession, prices: DataFrame, tail: int) -> DataFrame:
         def predict(self, rows):
             return rows.select("target", "date_id", F.col("mean_5").alias("pred"))
 
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spreadloom-stream-")
-    work = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     prices = prices.persist()  # else each day's file reads the source again
     daily.write_days(prices, f"{work}/days")
     prices.unpersist()
-    out = daily.serve(s, f"{work}/days", work, Mean(), tail=tail)
-    out = s.createDataFrame(out.toPandas(), "target string, date_id int, pred double") if out.count() else out
-    shutil.rmtree(work.removeprefix("file://"), ignore_errors=True)
-    return _round(out, KEYS)
+    return _round(daily.serve(s, f"{work}/days", work, Mean(), tail=tail), KEYS)
 
 
 def stream_latest(s: SparkSession, d: str) -> DataFrame:
-    """The first six days only, as the SQL has it; stream_latest_whole streams all."""
-    return _streamed(s, _first_days(s, d, 6), 12)
-
-
-def stream_latest_whole(s: SparkSession, d: str) -> DataFrame:
     return _streamed(s, _stream_prices(s, d), daily.TAIL)
 
 
-def _first_days(s: SparkSession, d: str, n: int) -> DataFrame:
-    rows = _stream_prices(s, d)
-    low = rows.agg(F.min("date_id").alias("low"))
-    return rows.join(F.broadcast(low), F.col("date_id") < F.col("low") + n).drop("low")
-
-
 def _factors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return factors.factor_features(dt.targets(s, d)), list(factors.factor_columns())
 
@@ -163,6 +153,27 @@ def _gbt(s: SparkSession, d: str) -> DataFrame:
     return models.predict(models.fit(rows, names, config), rows, names)
 
 
+def _boost_rows(s: SparkSession, d: str, config: boosting.BoostConfig) -> tuple[DataFrame, list[str]]:
+    """Rows of the targets of the setting's lag."""
+    rows, names = _factors(s, d)
+    rows = rows.join(dt.specs(s).where(F.col("lag") == config.lag).select("target"), "target", "left_semi")
+    return boosting.training_rows(rows, dt.labels(s, d), names, config), names
+
+
+def _boosted(s: SparkSession, d: str, config: boosting.BoostConfig = BOOST) -> DataFrame:
+    """(lag, target, date_id, pred, label) by each target's own model."""
+    rows, names = _boost_rows(s, d, config)
+    out = boosting.predict_targets(boosting.fit_targets(rows, names, config), rows.select(*KEYS, *names))
+    return out.join(rows.select(*KEYS, "label"), KEYS)
+
+
+def _searched(s: SparkSession, d: str) -> DataFrame:
+    """The search over a seeded sample of the default grid, as long a sample as N_SETTINGS says."""
+    rows, names = _boost_rows(s, d, BOOST)
+    own = [r.asDict() for r in models.sampled_grid(s, N_SETTINGS, 2025).collect()]
+    return boosting.search(rows, names, BOOST, own)
+
+
 def _gp(s: SparkSession, d: str) -> DataFrame:
     rows, names = _factors(s, d)
     rows = rows.join(dt.labels(s, d), KEYS)
@@ -247,17 +258,12 @@ def queries() -> dict[str, Query]:
         "lag_label_pivot": lambda s, d: dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target").groupBy("date_id").pivot("lag", [1, 2, 3, 4]).agg(rounded(F.sum("label")).alias("x")).toDF("date_id", "lag_1", "lag_2", "lag_3", "lag_4"),
         "train_mask": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where(F.col("date_id") <= dt.TRAIN_END)),
         "train_test_split": lambda s, d: px(s, d).withColumn("is_train", F.col("date_id") <= dt.TRAIN_END).groupBy("target", "is_train").agg(F.count("*").alias("n"), F.min("date_id").alias("first"), F.max("date_id").alias("last")),
-        "feature_label_join": lambda s, d: _round(_core(s, d).join(dt.labels(s, d).where("label IS NOT NULL AND date_id % 3 = 0"), KEYS).select(*KEYS, "ret_1", "label"), KEYS),
-        "mask_left_join": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where("date_id % 2 = 0")).groupBy("is_train").agg(F.count("*").alias("n")),
-        "full_join_blocks": lambda s, d: _round(_core(s, d).select(*KEYS, "ret_1").where("date_id % 2 = 0").join(_core(s, d).select(*KEYS, "vol_20").where("date_id % 3 = 0"), KEYS, "full"), KEYS),
-        "shared_dates": lambda s, d: metrics.shared_dates(px(s, d).where("date_id % 2 = 0"), dt.labels(s, d).where("date_id % 3 = 0")),
-        "intersect_keys": lambda s, d: px(s, d).where("date_id % 2 = 0").select(*KEYS).intersect(dt.labels(s, d).where("date_id % 3 = 0").select(*KEYS)),
-        # the same over whole tables: the sides differ by train range and missing labels; those above keep the dates of their SQL
-        "feature_label_join_whole": lambda s, d: _round(_core(s, d).join(_labelled(s, d), KEYS).select(*KEYS, "ret_1", "label"), KEYS),
-        "mask_left_join_whole": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where(F.col("date_id") <= dt.TRAIN_END)).groupBy("is_train").agg(F.count("*").alias("n")),
-        "full_join_blocks_whole": lambda s, d: _round(_core(s, d).select(*KEYS, "ret_1").where(F.col("date_id") <= dt.TRAIN_END).join(_core(s, d).select(*KEYS, "vol_20").join(_labelled(s, d), KEYS, "left_semi"), KEYS, "full"), KEYS),
-        "shared_dates_whole": lambda s, d: metrics.shared_dates(px(s, d), _labelled(s, d)),
-        "intersect_keys_whole": lambda s, d: px(s, d).select(*KEYS).intersect(_labelled(s, d).select(*KEYS)),
+        # the sides of joins and set operations differ by train range and missing labels
+        "feature_label_join": lambda s, d: _round(_core(s, d).join(_labelled(s, d), KEYS).select(*KEYS, "ret_1", "label"), KEYS),
+        "mask_left_join": lambda s, d: labels.train_mask(px(s, d).select("date_id").distinct(), dt.labels(s, d).where(F.col("date_id") <= dt.TRAIN_END)).groupBy("is_train").agg(F.count("*").alias("n")),
+        "full_join_blocks": lambda s, d: _round(_core(s, d).select(*KEYS, "ret_1").where(F.col("date_id") <= dt.TRAIN_END).join(_core(s, d).select(*KEYS, "vol_20").join(_labelled(s, d), KEYS, "left_semi"), KEYS, "full"), KEYS),
+        "shared_dates": lambda s, d: metrics.shared_dates(px(s, d), _labelled(s, d)),
+        "intersect_keys": lambda s, d: px(s, d).select(*KEYS).intersect(_labelled(s, d).select(*KEYS)),
         "aligned_columns": lambda s, d: _round(screen.aligned(_core(s, d), ["ret_1", "absent"]), KEYS),
         "latest_row": lambda s, d: _round(daily.latest(_core(s, d)), KEYS),
         "panel_preview": lambda s, d: _round(eda.preview(_core(s, d), ["target_0", "target_7"], ["ret_1", "vol_20"], 50), ["date_id"]),
@@ -266,8 +272,7 @@ def queries() -> dict[str, Query]:
         "label_shift_by_lag": lambda s, d: labels.shifted(dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target"), F.col("lag")).select(*KEYS, rounded(F.col("label")).alias("label")),
         "label_mask": lambda s, d: labels.labels_and_mask(dt.labels(s, d)).select(*KEYS, rounded(F.col("label")).alias("label"), "mask"),
         "valid_counts": lambda s, d: labels.valid_positions(dt.labels(s, d), 192, dt.TRAIN_END, 10),
-        "sequence_windows": lambda s, d: _windows(_core(s, d), ["ret_1", "vol_20"], 16),
-        "sequence_windows_whole": lambda s, d: _windows(_factors(s, d)[0], list(factors.factor_columns()), labels.SEQUENCE),
+        "sequence_windows": lambda s, d: _windows(_factors(s, d)[0], list(factors.factor_columns()), labels.SEQUENCE),
         "batch_numbers": lambda s, d: labels.batches(px(s, d).select(*KEYS), seed=2024),
         "recency_weights_exp": _weights("recency_exp", 3.0, 0.5, 10.0),
         "recency_weights_linear": _weights("recency_linear", 2.0, None, None),
@@ -280,7 +285,7 @@ def queries() -> dict[str, Query]:
         "daily_ic": lambda s, d: _round(metrics.daily_ic(_predictions(s, d)), ["date_id", "n"]),
         "ic_summary": lambda s, d: _round(metrics.ic_summary(metrics.daily_ic(_predictions(s, d))), ["n_dates"]),
         "rmse": lambda s, d: _round(metrics.rmse(_predictions(s, d), ["target"]), ["target"], 8),
-        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select("target", "date_id", "pred").unionByName(_predictions(s, d).select("target", "date_id", (F.col("pred") * 3.14159265).alias("pred")))), KEYS),
+        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select("target", "date_id", "pred").unionByName(_predictions(s, d).select("target", "date_id", (F.col("pred") * 3).alias("pred")))), KEYS),
         "eda_summary": lambda s, d: _round(eda.feature_summary(_long(s, d)), ["feature", "n"]),
         "panel_shape": lambda s, d: eda.panel_shape(_long(s, d)),
         "grid_product": lambda s, d: models.grid(s),
@@ -298,10 +303,15 @@ def queries() -> dict[str, Query]:
         "pca_norms": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).groupBy("component").agg(rounded(F.sum(F.col("loading") ** 2)).alias("norm"), F.count("*").alias("n")),
         "pca_features": lambda s, d: decomp.with_loadings(_core(s, d), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
         "gbt_train_predict": _gbt,
+        "boost_by_target": lambda s, d: boosting.fit_targets(*_boost_rows(s, d, BOOST), BOOST).drop("model"),
+        "boost_samples": lambda s, d: _boost_rows(s, d, BOOST)[0].groupBy("target").agg(F.count_if("is_train").alias("train_samples"), F.count_if(~F.col("is_train")).alias("val_samples"), *[rounded(f(F.when(F.col("is_train"), F.col("weight")))).alias(f"train_weight_{n}") for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))]),
+        "boost_predictions": lambda s, d: _boosted(s, d),
+        "boost_report": lambda s, d: boosting.report(_boosted(s, d), dt.TRAIN_END, ["lag"]),
+        "ic_report": lambda s, d: _round(boosting.report(_predictions(s, d), dt.TRAIN_END), ["n_train_dates", "n_val_dates"]),
+        "grid_search": _searched,
         "stream_daily_panel": lambda s, d: _round(_stream_prices(s, d), ["date_id", "asset"]),
         "stream_history_features": lambda s, d: _round(_events_features(_stream_prices(s, d)), KEYS),
         "stream_latest": stream_latest,
-        "stream_latest_whole": stream_latest_whole,
     }
     return q
 

@@ -33,9 +33,9 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_submission(predictions: DataFrame, path: str, row_id: str = "date_id") -> None:
+def write_submission(predictions: DataFrame, path: str, row_id: str = "date_id", mode: str = "append") -> None:
     """Predictions with their row id first."""
-    predictions.select(row_id, *[c for c in predictions.columns if c != row_id]).write.mode("append").parquet(path)
+    predictions.select(row_id, *[c for c in predictions.columns if c != row_id]).write.mode(mode).parquet(path)
 
 
 def write_result(spark: SparkSession, path: str, error: BaseException | None = None, kind: str = "") -> None:

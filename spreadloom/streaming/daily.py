@@ -7,6 +7,7 @@ only; a leading fill needs the first valid value, which the tail has when the hi
 from __future__ import annotations
 
 import abc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,23 +56,39 @@ def check_shape(row: DataFrame, targets: list[str]) -> None:
 
 
 class History:
-    """An append-only Parquet table of (date_id, asset, price, arrival); the last arrival of a date and asset counts."""
+    """A Parquet table of (date_id, asset, price, arrival), a folder an arrival and date; the last arrival of a date and asset counts.
+
+    An arrival's folder is overwritten, so a batch that runs again changes nothing.
+    """
+
+    SCHEMA = "asset string, price double, arrival long, date_id int"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def append(self, batch: DataFrame, arrival: int) -> None:
-        batch.select("date_id", "asset", "price").withColumn("arrival", F.lit(arrival).cast("long")).write.mode("append").parquet(self.folder)
+        batch.select("date_id", "asset", "price").write.mode("overwrite").partitionBy("date_id").parquet(f"{self.folder}/arrival={arrival}")
+
+    def rows(self) -> DataFrame:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not where.getFileSystem(conf).exists(where):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.folder).parquet(self.folder)
+
+    def last_before(self, arrival: int) -> int | None:
+        """The last date of earlier arrivals."""
+        return self.rows().where(F.col("arrival") < arrival).agg(F.max("date_id")).first()[0]
 
     def combined(self) -> DataFrame:
-        rows = self.spark.read.schema("date_id int, asset string, price double, arrival long").parquet(self.folder)
-        return last_arrival(rows, ["date_id", "asset"], "arrival").drop("arrival")
+        return last_arrival(self.rows(), ["date_id", "asset"], "arrival").select("date_id", "asset", "price")
 
     def tail(self, date: int, rows: int = TAIL) -> DataFrame:
-        """The last `rows` dates up to a date."""
-        own = self.combined().where(F.col("date_id") <= date)
-        first = own.select("date_id").distinct().orderBy(F.desc("date_id")).limit(rows).agg(F.min("date_id").alias("first"))
-        return own.join(F.broadcast(first), F.col("date_id") >= F.col("first")).drop("first")
+        """The last `rows` dates up to a date: only their folders are read. The driver gets that many dates at most."""
+        dates = self.rows().where(F.col("date_id") <= date).select("date_id").distinct().orderBy(F.desc("date_id")).limit(rows).collect()
+        low = min((r[0] for r in dates), default=date)
+        own = self.rows().where((F.col("date_id") >= low) & (F.col("date_id") <= date))
+        return last_arrival(own, ["date_id", "asset"], "arrival").select("date_id", "asset", "price")
 
 
 def latest(features: DataFrame) -> DataFrame:
@@ -102,39 +119,58 @@ class ConstantServer(Server):
         return rows.withColumn("pred", (F.row_number().over(Window.partitionBy("date_id").orderBy("target")) - 1) / F.lit(1000.0)).select("target", "date_id", "pred")
 
 
-def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int = TAIL, timeout: int = 900, on_batch: Callable[[int], None] | None = None) -> DataFrame:
+def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int = TAIL, timeout: int = 900, on_batch: Callable[[int], None] | None = None, primed: DataFrame | None = None, batch_timeout: float = 300) -> DataFrame:
     """Runs the stream over the days in a folder until it is dry; returns the predictions (target, date_id, pred).
 
-    One file a trigger, in order of modification; each batch is appended, recomputed from the tail, checked and written.
-    A failure is written to work/result as its kind and text, then raised.
+    One file a trigger, in order of modification; each batch is recorded, recomputed from the tail, checked and written
+    to a folder of its number, which a batch that runs again overwrites. primed: earlier (date_id, asset, price), such
+    as filled train prices, that the first batches' features look back on. A batch may take batch_timeout seconds, the
+    run timeout. A failure is written to work/result as its kind and text, then raised as what it was.
     """
-    history, dates = History(spark, f"{work}/history"), []
+    history, failed = History(spark, f"{work}/history"), []
+    if primed is not None:
+        history.append(primed, -1)
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+    def answer(batch: DataFrame, number: int) -> None:
+        began = time.monotonic()
         days = [r[0] for r in batch.select("date_id").distinct().collect()]
-        if len(days) > 1 or days and dates and days[0] < dates[-1]:
-            raise ValidationError("UNEXPECTED", f"batch {number} has dates {days} after {dates[-1:]}")
-        if days:
-            dates.extend(days)
-            history.append(batch, number)
-            rows = latest(server.features(history.tail(days[0], tail)))
-            out = server.predict(rows).persist()
+        if not days:
+            return
+        last = history.last_before(number)
+        if len(days) > 1 or last is not None and days[0] < last:
+            raise ValidationError("GATEWAY_RAISED_EXCEPTION", f"batch {number} has dates {days} after {last}")
+        history.append(batch, number)
+        rows = latest(server.features(history.tail(days[0], tail)))
+        out = server.predict(rows).persist()
+        try:
             check_rows(out, rows.count())
-            sinks.write_submission(out, f"{work}/predictions")
+            sinks.write_submission(out, f"{work}/predictions/batch={number}", mode="overwrite")
+        finally:
             out.unpersist()
-            if on_batch:
-                on_batch(days[0])
-        batch.unpersist()
+        if time.monotonic() - began > batch_timeout:
+            raise ValidationError("GRPC_DEADLINE_EXCEEDED", f"batch {number} took more than {batch_timeout} s")
+        if on_batch:
+            on_batch(days[0])
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            answer(batch, number)
+        except Exception as e:  # comes back as a StreamingQueryException without its kind
+            failed.append(e)
+            raise
+        finally:
+            batch.unpersist()
 
     stream = spark.readStream.schema("date_id int, asset string, price double").option("maxFilesPerTrigger", 1).parquet(source)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     try:
         if not query.awaitTermination(timeout):
             query.stop()
-            raise ValidationError("GATEWAY_TIMEOUT", f"not done in {timeout} s")
+            raise ValidationError("GATEWAY_RAISED_EXCEPTION", f"not done in {timeout} s")
     except Exception as e:
-        sinks.write_result(spark, f"{work}/result", e, getattr(e, "kind", "SERVER_RAISED_EXCEPTION"))
-        raise
+        cause = failed[0] if failed else e
+        sinks.write_result(spark, f"{work}/result", cause, getattr(cause, "kind", "SERVER_RAISED_EXCEPTION"))
+        raise cause from e
     sinks.write_result(spark, f"{work}/result")
-    return spark.read.parquet(f"{work}/predictions").select("target", "date_id", "pred")
+    return spark.read.schema("date_id int, target string, pred double").parquet(f"{work}/predictions").select("target", "date_id", "pred")

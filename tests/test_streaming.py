@@ -43,6 +43,57 @@ def test_a_failure_is_reported(spark, prices, tmp_path):
     assert not spark.read.json(f"{tmp_path}/result").first()["Succeeded"]
 
 
+@pytest.mark.parametrize(("kind", "server"), [("INVALID_SUBMISSION", "nulls"), ("SERVER_RAISED_EXCEPTION", "raises"), ("GATEWAY_RAISED_EXCEPTION", "two dates"), ("GRPC_DEADLINE_EXCEEDED", "slow")])
+def test_the_kind_of_a_failure_is_kept(spark, prices, tmp_path, kind, server):
+    class Bad(Mean):
+        def predict(self, rows):
+            if server == "raises":
+                raise RuntimeError("no model")
+            return super().predict(rows).withColumn("pred", F.lit(None).cast("double")) if server == "nulls" else super().predict(rows)
+
+    if server == "two dates":
+        prices.coalesce(1).write.parquet(f"{tmp_path}/days")
+    else:
+        daily.write_days(prices.where("date_id = 0"), f"{tmp_path}/days")
+    with pytest.raises((daily.ValidationError, RuntimeError)):
+        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Bad(), batch_timeout=-1 if server == "slow" else 300)
+    assert spark.read.json(f"{tmp_path}/result").first()["ErrorType"] == kind
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, prices, tmp_path):
+    import shutil
+
+    daily.write_days(prices, f"{tmp_path}/days")
+    first = sorted(daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean()).collect())
+    # the commit of the last batch is lost, as when the driver dies before it is written
+    for name in ("4", ".4.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    seen = []
+    again = daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean(), on_batch=seen.append)
+    assert seen == [4]
+    assert sorted(again.collect()) == first
+    # the order of dates is known after a restart, too
+    daily.write_days(prices.where("date_id = 0"), f"{tmp_path}/days")
+    with pytest.raises(daily.ValidationError, match="after 4"):
+        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean())
+    shutil.rmtree(tmp_path / "days")
+
+
+def test_primed_history_is_looked_back_on(spark, prices, tmp_path):
+    daily.write_days(prices.where("date_id >= 3"), f"{tmp_path}/days")
+    got = sorted(daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean(), primed=prices.where("date_id < 3")).collect())
+    whole = Mean().predict(Mean().features(prices)).where("date_id >= 3")
+    assert got == sorted(whole.select("target", "date_id", "pred").collect())
+
+
+def test_the_tail_reads_its_dates_only(spark, prices, tmp_path):
+    h = daily.History(spark, f"{tmp_path}/h")
+    h.append(prices, 0)
+    plan = h.tail(4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+    assert "date_id" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
 def test_last_arrival_of_a_date_counts(spark, prices, tmp_path):
     h = daily.History(spark, f"{tmp_path}/h")
     h.append(prices, 0)
@@ -74,5 +125,5 @@ def test_all_days_of_events_are_streamed(spark, tmp_path):
         for i, (t, _) in enumerate(own):
             last = [v for _, v in own[max(0, i - 4) : i + 1]]
             expected[a, (t.date() - datetime.date(1970, 1, 1)).days] = round(sum(last) / len(last), 6)
-    got = {(r.target, r.date_id): r.pred for r in queries.queries()["stream_latest_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.target, r.date_id): r.pred for r in queries.queries()["stream_latest"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(expected)

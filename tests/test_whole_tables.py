@@ -33,12 +33,12 @@ def test_pca_features_has_every_date(spark, panel):
 
 def test_joins_have_every_date(spark, panel):
     known = sorted(k for k, v in panel.items() if v is not None)
-    assert keys(run(spark, "feature_label_join_whole")) == known
-    assert keys(run(spark, "intersect_keys_whole")) == known
-    assert sorted(r.date_id for r in run(spark, "shared_dates_whole").collect()) == sorted({d for _, d in known})
+    assert keys(run(spark, "feature_label_join")) == known
+    assert keys(run(spark, "intersect_keys")) == known
+    assert sorted(r.date_id for r in run(spark, "shared_dates").collect()) == sorted({d for _, d in known})
     dates = {d for _, d in panel}
-    assert {r.is_train: r.n for r in run(spark, "mask_left_join_whole").collect()} == {y: n for y in (True, False) if (n := sum((d <= dt.TRAIN_END) == y for d in dates))}
-    out = run(spark, "full_join_blocks_whole").collect()
+    assert {r.is_train: r.n for r in run(spark, "mask_left_join").collect()} == {y: n for y in (True, False) if (n := sum((d <= dt.TRAIN_END) == y for d in dates))}
+    out = run(spark, "full_join_blocks").collect()
     assert sorted((r.target, r.date_id) for r in out) == sorted(k for k, v in panel.items() if v is not None or k[1] <= dt.TRAIN_END)
     assert all(r.ret_1 is None for r in out if r.date_id > dt.TRAIN_END)
 
@@ -66,6 +66,6 @@ def test_trees_have_the_default_settings(spark, monkeypatch):
 
 def test_windows_have_192_rows(spark, panel):
     dates = sorted({d for _, d in panel})
-    out = run(spark, "sequence_windows_whole")
+    out = run(spark, "sequence_windows")
     assert {r.n for r in out.select("n").distinct().collect()} == {192}
     assert keys(out) == sorted((t, d) for t in {t for t, _ in panel} for d in dates[191:])
