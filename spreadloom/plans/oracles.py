@@ -353,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_ic": sql(f"SELECT date_id, n, {r('ic')} AS ic FROM ic", PRED, IC),
         "ic_summary": sql(f"SELECT count(*) AS n_dates, {r('avg(ic)')} AS ic_mean, {r('stddev_pop(ic)')} AS ic_std, {r('avg(ic) / stddev_pop(ic)')} AS ir FROM ic", PRED, IC),
         "rmse": sql(f"SELECT target, {r('sqrt(avg(pow(label - pred, 2)))', 8)} AS rmse FROM pr WHERE pred IS NOT NULL AND label IS NOT NULL GROUP BY target", PRED),
-        "blended_mean": sql(f"SELECT target, date_id, {r('(pred + pred * 3) / 2')} AS pred FROM pr", PRED),
+        "blended_mean": sql(f"SELECT a.target, a.date_id, {r('(a.pred + b.pred) / 2', 10)} AS pred FROM pr a JOIN pr10 b USING (target, date_id)", PRED, PRED.replace("pr AS", "pr10 AS").replace("5 PRECEDING", "10 PRECEDING")),
         "eda_summary": sql(f"SELECT feature, count(value) AS n, {r('avg((abs(value) <= 1e-12)::INT)')} AS zero_ratio, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std FROM lg GROUP BY feature", core, LONG),
         "panel_shape": sql("SELECT count(DISTINCT date_id) AS n_dates, count(DISTINCT target) AS n_targets, count(DISTINCT feature) AS n_features FROM lg", core, LONG),
         "grid_product": GRID_SQL,

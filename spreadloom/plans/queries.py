@@ -46,9 +46,9 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
     return dt.labels(s, d).where("label IS NOT NULL")
 
 
-def _predictions(s: SparkSession, d: str) -> DataFrame:
-    """A stand-in forecast: the mean of the last five labels, one day late. Rounded, so that ranks don't follow noise."""
-    lab = dt.labels(s, d).withColumn("pred", F.avg("label").over(ordered().rowsBetween(-5, -1)))
+def _predictions(s: SparkSession, d: str, days: int = 5) -> DataFrame:
+    """A stand-in forecast: the mean of the last labels, one day late. Rounded, so that ranks don't follow noise."""
+    lab = dt.labels(s, d).withColumn("pred", F.avg("label").over(ordered().rowsBetween(-days, -1)))
     return _round(lab, KEYS, 9)
 
 
@@ -285,7 +285,7 @@ def queries() -> dict[str, Query]:
         "daily_ic": lambda s, d: _round(metrics.daily_ic(_predictions(s, d)), ["date_id", "n"]),
         "ic_summary": lambda s, d: _round(metrics.ic_summary(metrics.daily_ic(_predictions(s, d))), ["n_dates"]),
         "rmse": lambda s, d: _round(metrics.rmse(_predictions(s, d), ["target"]), ["target"], 8),
-        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select("target", "date_id", "pred").unionByName(_predictions(s, d).select("target", "date_id", (F.col("pred") * 3).alias("pred")))), KEYS),
+        "blended_mean": lambda s, d: _round(metrics.blended(_predictions(s, d).select(*KEYS, "pred").unionByName(_predictions(s, d, 10).select(*KEYS, "pred"))), KEYS, 10),
         "eda_summary": lambda s, d: _round(eda.feature_summary(_long(s, d)), ["feature", "n"]),
         "panel_shape": lambda s, d: eda.panel_shape(_long(s, d)),
         "grid_product": lambda s, d: models.grid(s),
