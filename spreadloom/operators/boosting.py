@@ -6,8 +6,8 @@ settings in groups of a target. The learner grows trees by the best leaf over bi
 a share of features a tree, L1 and L2 terms, and early stopping on the rows after the train range.
 
 Cases: a row without a label is left out; features of train variance at or below the threshold are dropped and a
-target without any left raises; missing values take the target's train median; without later rows there is no early
-stopping and validation figures are NULL; a target without train rows raises. A feature that rows of a model lack is
+target without any left raises; missing values take the target's train median; without later rows, or with 0 stopping rounds, all rounds count;
+without later rows validation figures are NULL; a target without train rows raises. A feature that rows of a model lack is
 its median.
 """
 
@@ -151,9 +151,9 @@ def tree_values(tree: dict, codes: np.ndarray) -> np.ndarray:
 
 
 def boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, later_x: np.ndarray, later_y: np.ndarray, config: BoostConfig) -> dict:
-    """start, edges and trees (those up to the best round of the later rows, where there are any)."""
+    """start, edges and trees: all rounds, or with early stopping those up to the best round of the later rows."""
     edges = bin_edges(x, config.max_bin)
-    codes, later = binned(x, edges), binned(later_x, edges) if len(later_y) else None
+    codes, later = binned(x, edges), binned(later_x, edges) if len(later_y) and config.early_stopping_rounds > 0 else None
     bins = max(len(e) for e in edges) + 1
     rng = np.random.default_rng(config.seed)
     start = float(np.average(y, weights=w))
@@ -172,7 +172,7 @@ def boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, later_x: np.ndarray, la
             miss = float(np.mean((out_later - later_y) ** 2))
             if miss < best:
                 best, best_round = miss, k + 1
-            elif config.early_stopping_rounds > 0 and k + 1 - best_round >= config.early_stopping_rounds:
+            elif k + 1 - best_round >= config.early_stopping_rounds:
                 break
     return {"start": start, "edges": [e.tolist() for e in edges], "trees": trees[: best_round if later is not None else len(trees)]}
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.windows import filled, ordered
+from ..functions.windows import filled
 
 TREND_WINDOW = 5
 
@@ -38,14 +38,20 @@ def trend_filled(values: np.ndarray, window: int = TREND_WINDOW) -> np.ndarray:
     return out
 
 
-def trend_fill(prices: DataFrame, window: int = TREND_WINDOW) -> DataFrame:
-    """trend_filled of each asset's series in order of date. Recursive, so one grouped map; a group is one series."""
+def trend_fill(prices: DataFrame, window: int = TREND_WINDOW, arrival: str | None = None) -> DataFrame:
+    """trend_filled of each asset's series in order of date. Recursive, so one grouped map; a group is one series.
+
+    arrival: a column of whole numbers that goes before the date in this order and stays, for rows of several splits
+    whose dates may repeat.
+    """
+    order = [*([arrival] if arrival else []), "date_id"]
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date_id", kind="stable")
+        rows = rows.sort_values(order, kind="stable")
         return rows.assign(price=trend_filled(rows["price"].to_numpy(float), window))
 
-    return prices.select("date_id", "asset", "price").groupBy("asset").applyInPandas(fill, "date_id int, asset string, price double")
+    rows = prices.select("date_id", "asset", "price", *[F.col(arrival).cast("long").alias(arrival)] if arrival else [])
+    return rows.groupBy("asset").applyInPandas(fill, "date_id int, asset string, price double" + (f", {arrival} long" if arrival else ""))
 
 
 def normalized(prices: DataFrame) -> DataFrame:
@@ -99,7 +105,3 @@ def fill_wide(df: DataFrame, window: int = TREND_WINDOW, skip: tuple[str, ...] =
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest).join(to_wide(trend_fill(to_long(df, columns), window), columns), "date_id", "left")
 
-
-def day_gap(df: DataFrame, key: str) -> DataFrame:
-    """Days since the row before, of each key."""
-    return df.withColumn("gap", F.col("date_id") - F.lag("date_id").over(ordered(key)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import last_rows, ordered
+from .screen import require_complete
 
 SEQUENCE, BATCH = 192, 8
 LAGS = (1, 2, 3, 4)
@@ -45,6 +46,43 @@ def sequences(features: DataFrame, columns: list[str], length: int = SEQUENCE) -
     return rows.where(F.size("sequence") == length).select("target", "date_id", "sequence")
 
 
+def lagged_labels(labels: DataFrame, specs: DataFrame, horizon: int = 1) -> DataFrame:
+    """(lag, date_id, label_date_id, target, label): what is known on a date, lag + horizon of the target's rows later."""
+    rows = labels.join(specs.select("target", "lag"), "target")
+    known = F.lit(None).cast("int")
+    for k in LAGS:
+        known = F.when(F.col("lag") == k, F.lead("date_id", k + horizon).over(ordered())).otherwise(known)
+    return rows.select("lag", known.alias("known"), F.col("date_id").alias("label_date_id"), "target", "label").where("known IS NOT NULL").withColumnRenamed("known", "date_id")
+
+
+def day_batches(prices: DataFrame, lagged: DataFrame) -> DataFrame:
+    """(date_id, prices, labels_lag_1 .. labels_lag_4): what a server gets on each date that has prices.
+
+    Arrays are as long as there are assets and targets; a lag without labels on the date has an empty one.
+    """
+    days = prices.groupBy("date_id").agg(F.sort_array(F.collect_list(F.struct("asset", "price"))).alias("prices"))
+    row = F.struct("target", "label", "label_date_id")
+    own = lagged.groupBy("date_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("lag") == k, row))).alias(f"labels_lag_{k}") for k in LAGS])
+    return days.join(own, "date_id", "left").select("date_id", "prices", *[F.coalesce(f"labels_lag_{k}", F.array().cast(own.schema[f"labels_lag_{k}"].dataType)).alias(f"labels_lag_{k}") for k in LAGS])
+
+
+def sequence_data(features: DataFrame, labels: DataFrame, columns: list[str], lag: int, horizon: int = 1, threshold: float = 1e-6) -> tuple[DataFrame, list[str]]:
+    """(target, date_id, vec, label, mask) for sequence models, and the names of vec's entries.
+
+    Labels are those of lag + horizon rows later, 0 with mask false where there is none; dates without any label go.
+    Features stay whose population variance over time, averaged over targets, is over the threshold; raises without
+    any. A missing value of a feature raises when the rows are made. Features and labels meet by key.
+    """
+    own = shifted(labels.select("target", "date_id", "label"), lag, horizon)
+    dates = own.where("label IS NOT NULL").select("date_id").distinct()
+    rows = features.select("target", "date_id", *columns).join(dates, "date_id", "left_semi")
+    spread = rows.groupBy("target").agg(*[F.var_pop(c).alias(c) for c in columns]).agg(*[F.avg(c).alias(c) for c in columns]).first()
+    kept = [c for c in columns if spread[c] is not None and spread[c] > threshold]
+    if not kept:
+        raise ValueError(f"no feature has a variance over {threshold}")
+    return require_complete(rows, kept).join(labels_and_mask(own), ["target", "date_id"]), kept
+
+
 def labels_and_mask(labels: DataFrame) -> DataFrame:
     return labels.select("target", "date_id", F.coalesce("label", F.lit(0.0)).alias("label"), F.col("label").isNotNull().alias("mask"))
 

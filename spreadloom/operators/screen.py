@@ -21,8 +21,11 @@ def variance_filter(long: DataFrame, train_end: int, threshold: float = 0.0) ->
 
 
 def kept_features(long: DataFrame, train_end: int, threshold: float = 0.0) -> DataFrame:
-    """long with the features that variance_filter keeps."""
-    return long.join(variance_filter(long, train_end, threshold).select("target", "feature"), ["target", "feature"], "left_semi")
+    """long with the features that variance_filter keeps; raises where that is none."""
+    kept = variance_filter(long, train_end, threshold).select("target", "feature").persist()  # a row a feature
+    if not kept.head(1):
+        raise ValueError(f"no feature has a variance over {threshold}")
+    return long.join(kept, ["target", "feature"], "left_semi")
 
 
 def screened(long: DataFrame, threshold: float = 1e-6) -> DataFrame:

@@ -1,12 +1,14 @@
 """Thirty statistical features of a target: market correlation and beta, moments, tails, spectrum, mean reversion.
 
-All are window frames; none needs a Python function. Warm-up and undefined values are 0 (Hurst: 0.5).
+All are window frames but regressions on several columns. Warm-up and undefined values are 0 (Hurst: 0.5).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +172,75 @@ def reversion_features(targets: DataFrame) -> DataFrame:
     return targets.select("target", "date_id", *out)
 
 
+def statistical_features(targets: DataFrame) -> DataFrame:
+    """All of the above as frames of one projection: one exchange by date for the market, one by target for the rest."""
+    rows = with_returns(targets).withColumn("pos", F.row_number().over(ordered()) - 1)
+    out = {f"corr_market_{w}": corr_column(w) for w in CORR} | {f"beta_{w}": beta_column(w) for w in BETA}
+    out |= {f"skew_{w}": skew_column(w) for w in MOMENTS} | {f"kurt_{w}": kurt_column(w) for w in MOMENTS}
+    out |= {"var_1": var_column(0.01), "var_5": var_column(0.05), "hill_alpha": hill_column()}
+    for w in FOURIER:
+        out[f"fourier_amp_{w}"], out[f"fourier_phase_{w}"] = fourier_columns(w)
+    for w in REVERSION:
+        out[f"hurst_{w}"] = hurst_column(w)
+        out[f"ou_speed_{w}"], out[f"ou_mean_{w}"] = ou_columns(w)
+    return rows.select("target", "date_id", *[c.alias(k) for k, c in out.items()])
+
+
+def regression_residuals(y: np.ndarray, x: np.ndarray, w: int) -> np.ndarray:
+    """Residual at the end of each window of w rows of y on the columns of x; 0 before.
+
+    Slopes solve the normal equations without a constant; where these are singular, they are those of least norm. The
+    constant follows from the means.
+    """
+    out = np.zeros(len(y))
+    if len(y) < w:
+        return out
+    xs = np.lib.stride_tricks.sliding_window_view(x, w, axis=0)  # window, column, row
+    ys = np.lib.stride_tricks.sliding_window_view(y, w)
+    for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
+        try:
+            slope = np.linalg.solve(a @ a.T, a @ b)
+        except np.linalg.LinAlgError:
+            slope = np.linalg.lstsq(a.T, b, rcond=None)[0]
+        out[i + w - 1] = y[i + w - 1] - x[i + w - 1] @ slope - (b.mean() - a.mean(axis=1) @ slope)
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def several_term_residuals(targets: DataFrame, terms: DataFrame, log_prices: DataFrame, index: DataFrame) -> DataFrame:
+    """(target, date_id, coint_resid_*) of targets of three or more terms: the first on all others.
+
+    Weights play no part; a date without a price of some term takes the target and the market index. A group is one
+    target's series.
+    """
+    many = terms.join(terms.groupBy("target").agg(F.count("*").alias("n")).where("n > 2"), "target")
+    lp = many.join(log_prices, "asset").groupBy("target", "date_id", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "lp"))).alias("lps"))
+    rows = targets.join(many.select("target", "n").distinct(), "target").join(lp, ["target", "date_id", "n"], "left").join(index, "date_id")
+    rows = rows.select("target", "date_id", "px", "idx", F.when(F.size("lps") == F.col("n"), F.transform("lps", lambda t: t["lp"])).alias("lps"))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date_id", kind="stable")
+        width = max((len(v) for v in group["lps"] if v is not None), default=2)
+        table = np.zeros((len(group), width))
+        for i, (v, px, idx) in enumerate(zip(group["lps"], group["px"], group["idx"], strict=True)):
+            if v is None:
+                table[i, :2] = px, idx
+            else:
+                table[i] = v
+        own = {f"coint_resid_{w}": regression_residuals(table[:, 0], table[:, 1:], w) for w in REVERSION}
+        return group[["target", "date_id"]].assign(**own)
+
+    return rows.groupBy("target").applyInPandas(work, "target string, date_id int, " + ", ".join(f"coint_resid_{w} double" for w in REVERSION))
+
+
+def cointegration_residuals(targets: DataFrame, terms: DataFrame, log_prices: DataFrame, index: DataFrame) -> DataFrame:
+    """Residuals of every target: frames for one or two terms, a grouped map for more."""
+    few = terms.groupBy("target").agg(F.count("*").alias("n")).where("n <= 2").select("target")
+    out = cointegration_features(cointegration_inputs(targets.join(few, "target", "left_semi"), terms, log_prices, index))
+    if terms.where("pos >= 2").head(1):  # terms are the specs' own small table
+        out = out.unionByName(several_term_residuals(targets, terms, log_prices, index))
+    return out
+
+
 def cointegration_features(inputs: DataFrame) -> DataFrame:
     return inputs.select("target", "date_id", *[coint_column(w).alias(f"coint_resid_{w}") for w in REVERSION])
 

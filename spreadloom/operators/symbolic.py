@@ -26,6 +26,8 @@ FUNCTIONS = {
     "cos": (1, F.cos),
 }
 SAMPLE, SEED = 1000, 123
+#: Chances of the ways to change a program, and of a node in a point mutation; the rest is reproduction. Fixed values.
+CROSSOVER, SUBTREE, HOIST, POINT, POINT_REPLACE = 0.9, 0.01, 0.01, 0.01, 0.05
 
 
 def compiled(program) -> Column:
@@ -58,6 +60,31 @@ def replaced(program, at, new):
     return tuple(replaced(a, at[1:], new) if i == at[0] else a for i, a in enumerate(program))
 
 
+def pointwise(rng: random.Random, program, names: list[str], share: float = POINT_REPLACE):
+    """Each node becomes, with a small chance, another of its own number of arguments."""
+    if not isinstance(program, tuple):
+        return grown(rng, names, 0) if rng.random() < share else program
+    f = program[0]
+    if rng.random() < share:
+        f = rng.choice([g for g in sorted(FUNCTIONS) if FUNCTIONS[g][0] == FUNCTIONS[f][0]])
+    return (f, *(pointwise(rng, a, names, share) for a in program[1:]))
+
+
+def changed(rng: random.Random, a, names: list[str], pick):
+    """A child of a: crossover with another pick, a new subtree, a subtree hoisted, points changed, or a itself."""
+    what = rng.random()
+    at, own = rng.choice(list(parts(a)))
+    if what < (below := CROSSOVER):
+        return replaced(a, at, rng.choice(list(parts(pick())))[1])
+    if what < (below := below + SUBTREE):
+        return replaced(a, at, grown(rng, names, 4))
+    if what < (below := below + HOIST):
+        return replaced(a, at, rng.choice(list(parts(own)))[1])
+    if what < below + POINT:
+        return pointwise(rng, a, names)
+    return a
+
+
 def fitness(rows: DataFrame, programs: list, label: str = "label", parsimony: float = 5e-4, chunk: int = 50) -> list[float]:
     """Absolute correlation with the label, less parsimony * length; 0 where it is undefined."""
     out = []
@@ -88,13 +115,8 @@ def evolve(rows: DataFrame, names: list[str], outputs: int = 15, population: int
 
         new = []
         while len(new) < population:
-            a, what = pick(), rng.random()
-            at, _ = rng.choice(list(parts(a)))
-            if what < 0.9:
-                _, b = rng.choice(list(parts(pick())))
-                child = replaced(a, at, b)
-            else:
-                child = replaced(a, at, grown(rng, names, 2))
+            a = pick()
+            child = changed(rng, a, names, pick)
             new.append(child if length(child) <= 40 else a)
         own = new
     rows.unpersist()
@@ -109,7 +131,12 @@ def evolve(rows: DataFrame, names: list[str], outputs: int = 15, population: int
 
 def evaluated(rows: DataFrame, programs: list) -> DataFrame:
     """(target, date_id, gp_0 ..). Raises on inputs that rows lack."""
+    return with_programs(rows, programs).select("target", "date_id", *[f"gp_{i}" for i in range(len(programs))])
+
+
+def with_programs(rows: DataFrame, programs: list) -> DataFrame:
+    """rows with gp_0 .. beside their columns."""
     needed = {x for p in programs for _, x in parts(p) if isinstance(x, str)}
     if missing := sorted(needed - set(rows.columns)):
         raise KeyError(f"missing inputs: {missing}")
-    return rows.select("target", "date_id", *[compiled(p).alias(f"gp_{i}") for i, p in enumerate(programs)])
+    return rows.withColumns({f"gp_{i}": compiled(p) for i, p in enumerate(programs)})

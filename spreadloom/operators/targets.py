@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_price
-from ..functions.windows import ordered, up_to_now
+from ..functions.windows import filled, ordered, up_to_now
+from .clean import TREND_WINDOW, last_arrival, trend_fill
 
 #: A pair is split at " + " and " - "; the spaces belong to the operator.
 _OPERATOR = r" [+-] "
@@ -55,6 +56,20 @@ def _by_target():
     return Window.partitionBy("target")
 
 
+def price_targets(prices: DataFrame, specs: DataFrame, window: int = TREND_WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Targets and log prices of raw prices (date_id, asset, price, arrival) of all splits.
+
+    The assets that specs need are filled over all splits in order of arrival and date; then the last arrival of a date
+    counts and what is still missing is filled forward and backward. Raises on assets that prices lack.
+    """
+    if lacking := sorted(r[0] for r in missing_assets(specs, prices).collect()):
+        raise KeyError(f"no prices of {lacking}")
+    needed = prices.join(exploded_terms(specs).select("asset").distinct(), "asset", "left_semi")
+    rows = last_arrival(trend_fill(needed, window, "arrival"), ["date_id", "asset"], "arrival")
+    rows = rows.select("date_id", "asset", filled(F.col("price"), "asset").alias("price"))
+    return target_frame(rows, specs), log_prices(rows)
+
+
 def target_returns(targets: DataFrame, periods: int = 1) -> DataFrame:
     return targets.withColumn("ret", F.col("px") - F.lag("px", periods).over(ordered()))
 

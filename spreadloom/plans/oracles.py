@@ -279,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "zscore_normalize": sql(f"SELECT date_id, asset, {r('(price - avg(price) OVER (PARTITION BY asset)) / stddev_samp(price) OVER (PARTITION BY asset)', 5)} AS price FROM filled"),
         "numeric_columns": "SELECT column_name AS name FROM (DESCRIBE orders) WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name <> 'o_orderkey'",
         "target_spread": sql(f"SELECT target, date_id, {r('px')} AS px FROM tgt"),
-        "target_level": sql(f"SELECT target, date_id, {r('sum(weight * price) + 3.3e-5', 3)} AS px FROM terms JOIN filled USING (asset) GROUP BY 1, 2"),
+        "target_level": sql(f"SELECT target, date_id, {r('sum(weight * z)', 5)} AS px FROM terms JOIN zs USING (asset) GROUP BY 1, 2", "zs AS (SELECT date_id, asset, (price - avg(price) OVER (PARTITION BY asset)) / stddev_samp(price) OVER (PARTITION BY asset) AS z FROM filled)"),
         "target_returns": sql(f"SELECT target, date_id, {r('ret')} AS ret FROM ret"),
         "log_prices": sql(f"SELECT date_id, asset, {r('lp')} AS lp FROM lp", LP),
         "nav_additive": sql(f"SELECT target, date_id, {r('nav', 5)} AS nav FROM nv WHERE single", NAV),
@@ -340,6 +340,18 @@ def oracle_sql() -> dict[str, str]:
         "panel_preview": sql("SELECT date_id, " + ", ".join(f"{r(f'max(CASE WHEN target = {t!r} THEN {c} END)')} AS \"{t}::{c}\"" for t in ("target_0", "target_7") for c in ("ret_1", "vol_20")) + " FROM fac GROUP BY date_id ORDER BY date_id LIMIT 50", core),
         "label_shift": sql(f"SELECT target, date_id, {r(f'lead(label, 3) OVER ({O})')} AS label FROM lab"),
         "label_shift_by_lag": sql(f"SELECT target, l.date_id, {r('m.label')} AS label FROM ll l JOIN specs USING (target) LEFT JOIN ll m ON m.target = l.target AND m.i = l.i + lag + 1".replace("SELECT target,", "SELECT l.target,"), f"ll AS (SELECT *, row_number() OVER ({O}) AS i FROM lab)"),
+        "label_batches": sql(
+            "SELECT date_id, n_prices::INT AS n_prices, " + ", ".join(f"coalesce(n_{k}, 0)::INT AS n_lag_{k}, {r(f'coalesce(s_{k}, 0)')} AS sum_lag_{k}" for k in (1, 2, 3, 4)) + " FROM days LEFT JOIN known USING (date_id)",
+            "days AS (SELECT date_id, count(*) AS n_prices FROM filled GROUP BY 1)",
+            f"li AS (SELECT target, date_id, lag, label, row_number() OVER ({O}) AS i FROM lab JOIN specs USING (target))",
+            "known AS (SELECT b.date_id, " + ", ".join(f"count(*) FILTER (WHERE a.lag = {k}) AS n_{k}, sum(a.label) FILTER (WHERE a.lag = {k}) AS s_{k}" for k in (1, 2, 3, 4)) + " FROM li a JOIN li b ON a.target = b.target AND b.i = a.i + a.lag + 1 GROUP BY 1)",
+        ),
+        "sequence_data": sql(
+            f"SELECT target, date_id, count(*)::INT AS n, {r('sum(value::FLOAT::DOUBLE)', 4)} AS total, {r('coalesce(any_value(sh.label), 0)')} AS label, count(sh.label) > 0 AS mask FROM rw JOIN kf USING (feature) JOIN sh USING (target, date_id) GROUP BY 1, 2",
+            core, LONG, f"sh AS (SELECT target, date_id, lead(label, 2) OVER ({O}) AS label FROM lab JOIN specs USING (target) WHERE lag = 1)",
+            "rw AS (SELECT lg.* FROM lg JOIN specs USING (target) WHERE lag = 1 AND date_id IN (SELECT date_id FROM sh WHERE label IS NOT NULL))",
+            "kf AS (SELECT feature FROM (SELECT target, feature, var_pop(value) AS v FROM rw GROUP BY 1, 2) GROUP BY feature HAVING avg(v) > 1e-6)",
+        ),
         "label_mask": sql(f"SELECT target, date_id, {r('coalesce(label, 0)')} AS label, label IS NOT NULL AS mask FROM lab"),
         "valid_counts": sql(f"SELECT date_id, n_valid, CASE WHEN date_id <= {TRAIN_END} THEN 'train' ELSE 'valid' END AS split FROM (SELECT date_id, count(label) AS n_valid, row_number() OVER (ORDER BY date_id) - 1 AS p FROM lab GROUP BY date_id) WHERE p >= 191 AND n_valid >= 10"),
         "sequence_windows": sql(f"SELECT target, date_id, 192 AS n, {r(f'sum(ret_1::FLOAT::DOUBLE) {frame(192)}', 4)} AS sum_first, {r(f'first_value(ret_5::FLOAT::DOUBLE) {frame(192)}', 5)} AS oldest FROM fac QUALIFY count(*) {frame(192)} = 192", factor_cte(["ret_1", "ret_5"])),

@@ -185,6 +185,20 @@ def _windows(features: DataFrame, columns: list[str], length: int) -> DataFrame:
     return out.select(*KEYS, F.size("sequence").alias("n"), rounded(F.aggregate("sequence", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double")), 4).alias("sum_first"), rounded(F.get(F.get("sequence", F.lit(0)), F.lit(1)).cast("double"), 5).alias("oldest"))
 
 
+def _label_batches(s: SparkSession, d: str) -> DataFrame:
+    """How many prices and labels of each lag a date's batch has, and their sums."""
+    out = labels.day_batches(dt.filled_prices(s, d), labels.lagged_labels(dt.labels(s, d), dt.specs(s)))
+    total = lambda c: rounded(F.aggregate(F.filter(c, lambda x: x["label"].isNotNull()), F.lit(0.0), lambda a, x: a + x["label"]))
+    return out.select("date_id", F.size("prices").alias("n_prices"), *[F.size(f"labels_lag_{k}").alias(f"n_lag_{k}") for k in labels.LAGS], *[total(f"labels_lag_{k}").alias(f"sum_lag_{k}") for k in labels.LAGS])
+
+
+def _sequence_data(s: SparkSession, d: str) -> DataFrame:
+    """Of the targets of lag 1: the number and sum of the kept features, label and mask."""
+    own = dt.specs(s).where("lag = 1").select("target")
+    rows, _ = labels.sequence_data(_core(s, d).join(own, "target", "left_semi"), dt.labels(s, d).join(own, "target", "left_semi"), ["ret_1", "vol_20", "sharpe_20", "momentum_20"], 1)
+    return rows.select(*KEYS, F.size("vec").alias("n"), rounded(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"), rounded(F.col("label")).alias("label"), "mask")
+
+
 def queries() -> dict[str, Query]:
     px = dt.targets
     q: dict[str, Query] = {
@@ -203,8 +217,8 @@ def queries() -> dict[str, Query]:
         "numeric_columns": lambda s, d: s.createDataFrame([(c,) for c in clean.numeric_columns(s.read.parquet(f"{d}/orders.parquet"), ("o_orderkey",))], "name string"),
         # targets
         "target_spread": lambda s, d: _round(px(s, d), KEYS),
-        # averages of cents often end in a 5; the shift keeps engines from rounding those apart
-        "target_level": lambda s, d: _round(targets.target_frame(dt.filled_prices(s, d), dt.specs(s), log_scale=False).withColumn("px", F.col("px") + 3.3e-5), KEYS, 3),
+        # of z-scores: averages of cents often end in a 5, which engines round apart
+        "target_level": lambda s, d: _round(targets.target_frame(clean.normalized(dt.filled_prices(s, d)), dt.specs(s), log_scale=False), KEYS, 5),
         "target_returns": lambda s, d: targets.target_returns(px(s, d)).select(*KEYS, rounded(F.col("ret")).alias("ret")),
         "log_prices": lambda s, d: _round(targets.log_prices(dt.filled_prices(s, d), dt.specs(s)), ["date_id", "asset"]),
         "nav_additive": _nav(True),
@@ -270,6 +284,8 @@ def queries() -> dict[str, Query]:
         # labels, weights, screening
         "label_shift": lambda s, d: labels.shifted(dt.labels(s, d), 2).select(*KEYS, rounded(F.col("label")).alias("label")),
         "label_shift_by_lag": lambda s, d: labels.shifted(dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target"), F.col("lag")).select(*KEYS, rounded(F.col("label")).alias("label")),
+        "label_batches": _label_batches,
+        "sequence_data": _sequence_data,
         "label_mask": lambda s, d: labels.labels_and_mask(dt.labels(s, d)).select(*KEYS, rounded(F.col("label")).alias("label"), "mask"),
         "valid_counts": lambda s, d: labels.valid_positions(dt.labels(s, d), 192, dt.TRAIN_END, 10),
         "sequence_windows": lambda s, d: _windows(_factors(s, d)[0], list(factors.factor_columns()), labels.SEQUENCE),

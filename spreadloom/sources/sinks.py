@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressionModel
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def save_prices(prices: DataFrame, path: str) -> None:
@@ -13,16 +13,19 @@ def save_prices(prices: DataFrame, path: str) -> None:
 
 
 def save_features(features: DataFrame, path: str) -> None:
-    """A feature panel with is_train, a folder for each side of the split."""
-    features.repartition("is_train", "target").write.mode("overwrite").partitionBy("is_train").parquet(path)
+    """A panel by target or asset with is_train, a folder for each side of the split."""
+    features.repartition("is_train", "target" if "target" in features.columns else "asset").write.mode("overwrite").partitionBy("is_train").parquet(path)
+
+
+def save_artifacts(folder: str, loadings: DataFrame, programs: list) -> None:
+    """Component loadings, and programs as JSON in their order."""
+    loadings.write.mode("overwrite").parquet(f"{folder}/loadings")
+    rows = [(i, json.dumps(p)) for i, p in enumerate(programs)]
+    loadings.sparkSession.createDataFrame(rows, "at int, program string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/programs")
 
 
-def save_run(folder: str, model: GBTRegressionModel, predictions: DataFrame, ic: DataFrame, summary: DataFrame, medians: DataFrame) -> None:
-    model.write().overwrite().save(f"{folder}/model")
-    predictions.write.mode("overwrite").parquet(f"{folder}/predictions")
-    medians.write.mode("overwrite").parquet(f"{folder}/preprocessing")
-    ic.write.mode("overwrite").option("header", True).csv(f"{folder}/daily_ic")
-    summary.write.mode("overwrite").json(f"{folder}/summary")
+def save_config(spark: SparkSession, path: str, config: dict) -> None:
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def save_csv(df: DataFrame, path: str) -> None:
@@ -45,5 +48,5 @@ def write_result(spark: SparkSession, path: str, error: BaseException | None = N
 
 
 def placeholder(spark: SparkSession, names: list[str], path: str) -> None:
-    """One row of zeros, for a run that wrote nothing."""
-    spark.range(1).select(F.col("id").alias("date_id"), *[F.lit(0.0).alias(n) for n in names]).write.mode("append").parquet(path)
+    """Zeros of date 0, for a run that wrote nothing."""
+    spark.createDataFrame([(0, n, 0.0) for n in names], "date_id int, target string, pred double").coalesce(1).write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +34,20 @@ def union_common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def load_labels(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A wide label table as (date_id, target, label)."""
+    """A wide label table as (date_id, target, label), with label_date_id where the table has it."""
     wide = csv_table(spark, path, columns)
-    names = [c for c in wide.columns if c not in ("date_id", "label_date_id")]
-    return wide.select("date_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot("date_id", names, "target", "label")
+    ids = [c for c in wide.columns if c in ("date_id", "label_date_id")]
+    names = [c for c in wide.columns if c not in ids]
+    return wide.select(*ids, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(ids, names, "target", "label")
 
 
 def load_lagged_labels(spark: SparkSession, folder: str, lags: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """(lag, date_id, target, label) of the files test_labels_lag_<lag>.csv."""
+    """(lag, date_id, label_date_id, target, label) of the files test_labels_lag_<lag>.csv."""
     out = None
     for lag in lags:
         one = load_labels(spark, f"{folder}/test_labels_lag_{lag}.csv").withColumn("lag", F.lit(lag))
         out = one if out is None else out.unionByName(one)
-    return out.select("lag", "date_id", "target", "label")
+    return out.select("lag", "date_id", "label_date_id", "target", "label")
 
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +59,8 @@ def load_features(spark: SparkSession, path: str, columns: list[str] | None = No
     df = spark.read.parquet(path)
     if missing := {"target", "date_id"} - set(df.columns):
         raise ValueError(f"not a feature panel: no {sorted(missing)}")
+    if "is_train" in df.columns:  # a folder's name
+        df = df.withColumn("is_train", F.col("is_train").cast("boolean"))
     return df.select("target", "date_id", *columns) if columns else df
 
 
@@ -78,20 +82,28 @@ def param_snapshot(spark: SparkSession, text: str) -> DataFrame:
     return rows.select(lag.alias("lag"), F.explode("v").alias("name", "value")).withColumn("value", F.col("value").try_cast("double"))
 
 
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest of (path, modified)."""
-    return runs.agg(F.max_by("path", "modified").alias("path"))
+def newest_run(spark: SparkSession, folder: str) -> str:
+    """The folder in a folder of runs that changed last; of equal times, the last by name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [(s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+    if not runs:
+        raise FileNotFoundError(f"no run in {folder}")
+    return max(runs)[1]
 
 
-def run_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modified) of the files under a folder; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"))
+def load_models(spark: SparkSession, run: str, schema: str) -> DataFrame:
+    """The models of all lags of a run, each with its own feature names and medians."""
+    return spark.read.schema(schema).parquet(f"{run}/lag_*/models")
 
 
-def load_preprocessors(spark: SparkSession, path: str) -> DataFrame:
-    """(target, feature, median): each target's own, unlike one arbitrary target's for all."""
-    return spark.read.schema("target string, feature string, median double").parquet(path)
+def load_artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame, list]:
+    """Component loadings and symbolic programs, as save_artifacts wrote them."""
+    as_program = lambda v: tuple(map(as_program, v)) if isinstance(v, list) else v
+    rows = spark.read.schema("at int, program string").parquet(f"{folder}/programs").orderBy("at").collect()
+    return spark.read.schema("target string, component int, loading double").parquet(f"{folder}/loadings"), [as_program(json.loads(r.program)) for r in rows]
 
 
-def dump_params(params: dict) -> str:
-    return json.dumps(params, sort_keys=True)
+def union_widened(parts: list[DataFrame]) -> DataFrame:
+    """All rows of parts; a column takes the widest of its types, and is NULL where a part lacks it."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

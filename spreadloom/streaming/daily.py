@@ -47,12 +47,13 @@ def check_rows(predictions: DataFrame, rows: int) -> None:
         raise ValidationError("INVALID_SUBMISSION", f"{nulls} nulls")
 
 
-def check_shape(row: DataFrame, targets: list[str]) -> None:
-    """One wide row of the targets, without a date."""
-    if "date_id" in row.columns or sorted(row.columns) != sorted(targets):
-        raise ValidationError("INVALID_SUBMISSION", "columns are the targets")
-    if row.count() != 1:
-        raise ValidationError("INVALID_SUBMISSION", "one row a date")
+def check_targets(predictions: DataFrame, targets: list[str]) -> None:
+    """One prediction of each target, no other, and one date. The driver gets the names of one date."""
+    names, dates = [r[0] for r in predictions.select("target").collect()], predictions.select("date_id").distinct().count()
+    if sorted(names) != sorted(targets):
+        raise ValidationError("INVALID_SUBMISSION", f"{len(names)} predictions for {len(targets)} targets, or of others")
+    if dates != 1:
+        raise ValidationError("INVALID_SUBMISSION", f"{dates} dates")
 
 
 class History:
@@ -107,6 +108,24 @@ class Server(abc.ABC):
     def predict(self, rows: DataFrame) -> DataFrame: ...
 
 
+class FunctionServer(Server):
+    """A server of two named functions, `features` and `predict`. Functions without a name of their own are refused."""
+
+    def __init__(self, *functions: Callable[[DataFrame], DataFrame]):
+        own = {f.__name__: f for f in functions}
+        if "<lambda>" in own:
+            raise ValueError("name the functions")
+        if lacking := {"features", "predict"} - set(own):
+            raise ValueError(f"no function {sorted(lacking)}")
+        self.own = own
+
+    def features(self, history: DataFrame) -> DataFrame:
+        return self.own["features"](history)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.own["predict"](rows)
+
+
 class ConstantServer(Server):
     """i / 1000 for the i-th asset of the last date; a smoke test."""
 
@@ -119,13 +138,14 @@ class ConstantServer(Server):
         return rows.withColumn("pred", (F.row_number().over(Window.partitionBy("date_id").orderBy("target")) - 1) / F.lit(1000.0)).select("target", "date_id", "pred")
 
 
-def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int = TAIL, timeout: int = 900, on_batch: Callable[[int], None] | None = None, primed: DataFrame | None = None, batch_timeout: float = 300) -> DataFrame:
+def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int | None = TAIL, timeout: int = 900, on_batch: Callable[[int], None] | None = None, primed: DataFrame | None = None, batch_timeout: float = 300, targets: list[str] | None = None) -> DataFrame:
     """Runs the stream over the days in a folder until it is dry; returns the predictions (target, date_id, pred).
 
     One file a trigger, in order of modification; each batch is recorded, recomputed from the tail, checked and written
     to a folder of its number, which a batch that runs again overwrites. primed: earlier (date_id, asset, price), such
     as filled train prices, that the first batches' features look back on. A batch may take batch_timeout seconds, the
-    run timeout. A failure is written to work/result as its kind and text, then raised as what it was.
+    run timeout. tail: as many dates of the history, None for all of them. targets: those that each batch must predict;
+    a run without days writes a row of zeros for them. A failure is written to work/result as its kind and text, then raised as what it was.
     """
     history, failed = History(spark, f"{work}/history"), []
     if primed is not None:
@@ -140,13 +160,19 @@ def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int
         if len(days) > 1 or last is not None and days[0] < last:
             raise ValidationError("GATEWAY_RAISED_EXCEPTION", f"batch {number} has dates {days} after {last}")
         history.append(batch, number)
-        rows = latest(server.features(history.tail(days[0], tail)))
-        out = server.predict(rows).persist()
+        seen = history.combined().where(F.col("date_id") <= days[0]) if tail is None else history.tail(days[0], tail)
+        rows = latest(server.features(seen)).persist()
+        out = server.predict(rows).withColumn("pred", F.col("pred").cast("double")).persist()
         try:
-            check_rows(out, rows.count())
+            if targets is None:
+                check_rows(out, rows.count())
+            else:
+                check_rows(out, len(targets))
+                check_targets(out, targets)
             sinks.write_submission(out, f"{work}/predictions/batch={number}", mode="overwrite")
         finally:
             out.unpersist()
+            rows.unpersist()
         if time.monotonic() - began > batch_timeout:
             raise ValidationError("GRPC_DEADLINE_EXCEEDED", f"batch {number} took more than {batch_timeout} s")
         if on_batch:
@@ -173,4 +199,6 @@ def serve(spark: SparkSession, source: str, work: str, server: Server, tail: int
         sinks.write_result(spark, f"{work}/result", cause, getattr(cause, "kind", "SERVER_RAISED_EXCEPTION"))
         raise cause from e
     sinks.write_result(spark, f"{work}/result")
+    if targets and history.last_before(2**62) is None:
+        sinks.placeholder(spark, targets, f"{work}/predictions/batch=-1")
     return spark.read.schema("date_id int, target string, pred double").parquet(f"{work}/predictions").select("target", "date_id", "pred")

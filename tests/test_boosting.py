@@ -64,6 +64,14 @@ def test_early_stopping_keeps_the_best_round():
     assert len(model["trees"]) <= 1 or int(np.argmin(path[1:])) + 1 == len(model["trees"])
 
 
+def test_without_stopping_rounds_all_rounds_count():
+    import dataclasses
+
+    x, y = data()
+    model = boosting.boosted(x[:200], y[:200], np.ones(200), x[200:], np.zeros(100), dataclasses.replace(CONFIG, early_stopping_rounds=0, num_boost_round=7))
+    assert len(model["trees"]) == 7
+
+
 @pytest.fixture
 def panel(spark):
     rng = np.random.default_rng(2)

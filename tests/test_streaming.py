@@ -102,11 +102,39 @@ def test_last_arrival_of_a_date_counts(spark, prices, tmp_path):
     assert h.tail(4, 2).select("date_id").distinct().count() == 2
 
 
-def test_shape(spark):
-    row = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
-    daily.check_shape(row, ["a", "b"])
-    with pytest.raises(daily.ValidationError):
-        daily.check_shape(row, ["a"])
+def test_targets_of_a_batch(spark, prices, tmp_path):
+    row = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "target string, date_id int, pred double")
+    daily.check_targets(row, ["b", "a"])
+    for bad in (["a"], ["a", "b", "c"], ["a", "x"]):
+        with pytest.raises(daily.ValidationError):
+            daily.check_targets(row, bad)
+    with pytest.raises(daily.ValidationError, match="2 dates"):
+        daily.check_targets(row.withColumn("date_id", F.when(F.col("target") == "a", 1).otherwise(2)), ["a", "b"])
+    daily.write_days(prices, f"{tmp_path}/days")
+    with pytest.raises(daily.ValidationError, match="2 rows for 3"):
+        daily.serve(spark, f"{tmp_path}/days", f"{tmp_path}/w", Mean(), targets=["x", "y", "z"])
+    assert spark.read.json(f"{tmp_path}/w/result").first()["ErrorType"] == "INVALID_SUBMISSION"
+
+
+def test_a_run_without_days_has_a_placeholder(spark, prices, tmp_path):
+    prices.limit(0).write.parquet(f"{tmp_path}/days")
+    out = daily.serve(spark, f"{tmp_path}/days", f"{tmp_path}/w", Mean(), targets=["x", "y"])
+    assert sorted(tuple(r) for r in out.collect()) == [("x", 0, 0.0), ("y", 0, 0.0)]
+
+
+def test_named_functions_serve(spark, prices):
+    def features(history):
+        return history.withColumnRenamed("asset", "target")
+
+    def predict(rows):
+        return rows.select("target", "date_id", F.lit(1).alias("pred"))
+
+    s = daily.FunctionServer(predict, features)
+    assert {r.pred for r in s.predict(s.features(prices)).collect()} == {1}
+    with pytest.raises(ValueError, match="name"):
+        daily.FunctionServer(lambda x: x, features)
+    with pytest.raises(ValueError, match="predict"):
+        daily.FunctionServer(features)
 
 
 def test_constant_server(spark, prices):
