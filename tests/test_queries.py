@@ -26,7 +26,7 @@ def duck():
 
 def same(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+        return math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-9)
     return a == b
 
 
