@@ -38,9 +38,11 @@ from .common import WordHasher, batch_of, crc32_of_id, new_folder, random64
 
 DISCOUNT = 0.75
 #: Tokens that a task counts or scores at a time.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
+#: Distinct words or pairs that a counting task holds before it hands them out.
+HELD = 1 << 21
 #: Bytes of level files that a worker holds in memory where they can't be mapped.
-OPEN_BYTES = 768 << 20
+OPEN_BYTES = 256 << 20
 #: Word ids are halves of 64-bit keys; the last two values are for the start symbol and the end of its range.
 MAX_WORDS = (1 << 32) - 2
 END = np.uint64(random64(9, 1)[0])
@@ -431,9 +433,9 @@ def train(docs: DataFrame) -> dict:
                 keys.append(k)
                 counts.append(c)
                 size += len(k)
-                if size > 4 * TOKENS:
+                if size > HELD:
                     k, c = merged(keys, counts)
-                    if len(k) > 2 * TOKENS:
+                    if len(k) > HELD // 2:
                         yield blobs(k, c, bounds)
                         keys, counts, size = [], [], 0
                     else:
@@ -488,7 +490,7 @@ def train(docs: DataFrame) -> dict:
                 keys.append(k)
                 counts.append(c)
                 size += len(k)
-                if size > 4 * TOKENS:
+                if size > HELD:
                     yield blobs(*merged(keys, counts), trie.bounds)
                     keys, counts, size = [], [], 0
         if size:

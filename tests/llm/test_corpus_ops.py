@@ -330,6 +330,7 @@ def test_long_texts_in_blocks_score_alike(spark, monkeypatch):
     whole = sorted(ngram_lm.score_texts(docs, ngram_lm.train(docs)).collect())
     hashers = [(list(ngram_lm.token_blocks(WordHasher(), pa.array(texts))))]
     monkeypatch.setattr(ngram_lm, "TOKENS", 32)
+    monkeypatch.setattr(ngram_lm, "HELD", 128)
     monkeypatch.setattr(common, "CHUNK_BYTES", 64)
     blocks = list(ngram_lm.token_blocks(WordHasher(), pa.array(texts)))
     assert len(blocks) > len(hashers[0])
