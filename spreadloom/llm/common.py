@@ -60,9 +60,9 @@ def cap_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> di
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
+def bounded_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """cap_batches while it lasts; for operators that run their Python stages themselves."""
-    before = cap_batches(spark)
+    before = cap_batches(spark, rows)
     try:
         yield
     finally:
@@ -85,6 +85,46 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return one.join(many, [*keys, "__salt"], how).drop("__salt")
 
 
+def tiles(rows: DataFrame, key: list[str], block: Column) -> DataFrame:
+    """rows with i, j and own: every two rows of a key meet in exactly one tile (i, j), i <= j, as rows of blocks i and j.
+
+    A key's rows are dealt to blocks of about `block` rows by their hash, and each block to the tiles that hold it, so a
+    tile is two blocks at most, however many rows the key has. Keys of a single row make none.
+    """
+    counts = materialised(rows.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1"), "tiles")
+    found = salted_join(rows, counts, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    own = F.pmod(F.xxhash64(F.lit(1), *[c for c in rows.columns if c not in key]), F.col("__blocks")).cast("int")
+    found = found.withColumn("own", own).withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return found.select(*key, F.least("own", "__with").alias("i"), F.greatest("own", "__with").alias("j"), "own", *[c for c in rows.columns if c not in key])
+
+
+def by_tile(dealt: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of tiles(), with those of a tile one after the other in one task."""
+    spread = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(spread, *key, "i", "j").sortWithinPartitions(*key, "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(batch, bounds) of batches that are in order of their first `keys` columns: no group is cut."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        bounds = _group_bounds(batch, keys)
+        if last := int(bounds[-2]):
+            yield batch.slice(0, last), bounds[:-1]
+        held = batch.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _group_bounds(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    change = np.zeros(max(0, batch.num_rows - 1), bool)
+    for k in range(keys):
+        values = batch.column(k).to_numpy()
+        change |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)
