@@ -231,10 +231,11 @@ def fit_targets(rows: DataFrame, columns: list[str], config: BoostConfig) -> Dat
     return rows.groupBy("target").applyInPandas(fit, MODEL)
 
 
-def predict_targets(models: DataFrame, rows: DataFrame) -> DataFrame:
+def predict_targets(models: DataFrame, rows: DataFrame, dates: int | None = None) -> DataFrame:
     """(lag, target, date_id, pred) of rows (target, date_id, features), by each model of the row's target.
 
-    Rows are brought into the model's own columns; what is missing takes the target's own medians.
+    Rows are brought into the model's own columns; what is missing takes the target's own medians. dates: a group has so
+    many dates of a target at most, to which its models are sent; else all of a target's rows.
     """
 
     def predict(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
@@ -245,8 +246,11 @@ def predict_targets(models: DataFrame, rows: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"lag": m.lag, "target": group["target"], "date_id": group["date_id"], "pred": predicted(json.loads(m.model), x)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["lag", "target", "date_id", "pred"])
 
-    models = models.select("lag", "target", "feature_names", "medians", "model")
-    return models.groupBy("target").cogroup(rows.groupBy("target")).applyInPandas(predict, "lag int, target string, date_id int, pred double")
+    models, keys = models.select("lag", "target", "feature_names", "medians", "model"), ["target"]
+    if dates:
+        rows, keys = rows.withColumn("__block", F.floor(F.col("date_id") / dates)), ["target", "__block"]
+        models = models.join(rows.select("target", (F.col("__block") + 0).alias("__block")).distinct(), "target")  # a column of its own beside rows
+    return models.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(predict, "lag int, target string, date_id int, pred double")
 
 
 def report(predictions: DataFrame, train_end: int, by: list[str] | None = None) -> DataFrame:
