@@ -249,7 +249,8 @@ def predict_targets(models: DataFrame, rows: DataFrame, dates: int | None = None
     models, keys = models.select("lag", "target", "feature_names", "medians", "model"), ["target"]
     if dates:
         rows, keys = rows.withColumn("__block", F.floor(F.col("date_id") / dates)), ["target", "__block"]
-        models = models.join(rows.select("target", (F.col("__block") + 0).alias("__block")).distinct(), "target")  # a column of its own beside rows
+        models = models.join(rows.select(*keys).distinct(), "target")
+        models = models.toDF(*models.columns)  # columns of its own beside those of rows
     return models.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(predict, "lag int, target string, date_id int, pred double")
 
 

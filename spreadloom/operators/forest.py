@@ -117,7 +117,7 @@ def coded(rows: DataFrame, bins: DataFrame, columns: list[str]) -> DataFrame:
     """(lag, target, date_id, label, weight, is_train, codes): the bin of each feature; binned in groups of DATES dates."""
     block = F.floor(F.col("date_id") / DATES).alias("block")
     rows = rows.select(*KEY, "date_id", "label", "weight", "is_train", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), block)
-    blocks = rows.select(*KEY, (F.col("block") + 0).alias("block")).distinct()  # a column of its own beside rows
+    sent = bins.join(rows.select(*KEY, "block").distinct(), KEY)
     schema = "lag int, target string, date_id int, label double, weight double, is_train boolean, codes array<int>"
 
     def work(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +130,8 @@ def coded(rows: DataFrame, bins: DataFrame, columns: list[str]) -> DataFrame:
         return group.drop(columns=["x", "block"]).assign(codes=list(codes))
 
     keys = [*KEY, "block"]
-    return bins.join(blocks, KEY).groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(work, schema)
+    # columns of its own beside those of rows, which bins may come from
+    return sent.toDF(*sent.columns).groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(work, schema)
 
 
 # ---------------------------------------------------------------- levels

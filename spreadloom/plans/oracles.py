@@ -393,6 +393,22 @@ SELECT target, date_id, {r('price')} AS price, {r(f'avg(price) {frame(5)}')} AS
             "sw AS (SELECT target, t, greatest(0.5, least(10.0, exp(3.0 * d / (d1 - d0)))) AS w FROM sd)",
             "wm AS (SELECT *, avg(w) OVER (PARTITION BY target, t) AS m FROM sw)",
         ),
+        "boost_root_splits": sql(
+            f"SELECT lag, target, feature, {r('gain', 8)} AS gain, nl AS n_left, nt - nl AS n_right FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY gain DESC, j, bin) AS k FROM gn) WHERE k = 1 AND gain > 1e-12",
+            factor_cte(CORE),
+            f"sl AS (SELECT target, lag, date_id, CASE lag {' '.join(f'WHEN {k} THEN lead(label, {k + 1}) OVER ({O})' for k in (1, 2, 3, 4))} END AS l FROM lab JOIN specs USING (target))",
+            f"sd AS (SELECT *, date_id - min(date_id) OVER p AS d, max(date_id) OVER p - min(date_id) OVER p AS span FROM sl WHERE l IS NOT NULL AND date_id <= {TRAIN_END} WINDOW p AS (PARTITION BY target))",
+            "sw AS (SELECT *, greatest(0.5, least(10.0, exp(3.0 * d / span))) AS w0 FROM sd)",
+            "wt AS (SELECT *, w0 / avg(w0) OVER (PARTITION BY target) AS w FROM sw)",
+            "gr AS (SELECT *, (sum(l * w) OVER (PARTITION BY target) / sum(w) OVER (PARTITION BY target) - l) * w AS g FROM wt)",
+            "un AS (" + " UNION ALL ".join(f"SELECT target, lag, {j} AS j, '{n}' AS feature, {n} AS v, g, w FROM gr JOIN fac USING (target, date_id)" for j, n in enumerate(CORE)) + ")",
+            "qs AS (SELECT target, j, list_sort(list(v)) AS s, var_samp(v) AS spread FROM un GROUP BY 1, 2)",
+            "qd AS (SELECT target, j, list_sort(list_distinct(list_transform(range(16), lambda i: s[greatest(1, ceil(i / 15 * len(s)))::BIGINT]))) AS q FROM qs WHERE spread > 1e-9)",
+            "ed AS (SELECT target, j, list_transform(range(1, len(q)), lambda i: (q[i] + q[i + 1]) / 2) AS e FROM qd)",
+            "hs AS (SELECT target, lag, j, feature, len(list_filter(e, lambda x: x < v)) AS bin, sum(g) AS g, sum(w) AS h, count(*) AS n FROM un JOIN ed USING (target, j) GROUP BY ALL)",
+            "cu AS (SELECT target, lag, j, feature, bin, sum(g) OVER u AS gl, sum(h) OVER u AS hl, (sum(n) OVER u)::BIGINT AS nl, sum(g) OVER p AS gt, sum(h) OVER p AS ht, (sum(n) OVER p)::BIGINT AS nt FROM hs WINDOW p AS (PARTITION BY target, j), u AS (PARTITION BY target, j ORDER BY bin))",
+            "gn AS (SELECT *, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht AS gain FROM cu WHERE nl >= 20 AND nt - nl >= 20)",
+        ),
         "stream_latest": f"""WITH e AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', ts)::INT AS date_id, event_type AS target, avg(value) AS price FROM events GROUP BY 1, 2)
 SELECT target, date_id, {r(f'avg(price) {frame(5)}')} AS pred FROM e""",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_float, is_close_to_zero, rounded, to_number
 from ..functions.windows import filled, last_rows, ordered
-from ..operators import boosting, clean, decomp, eda, factors, labels, metrics, models, screen, stats, symbolic, targets, technical
+from ..operators import boosting, clean, decomp, eda, factors, forest, labels, metrics, models, screen, stats, symbolic, targets, technical
 from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import tables
@@ -160,11 +161,45 @@ def _boost_rows(s: SparkSession, d: str, config: boosting.BoostConfig) -> tuple[
     return boosting.training_rows(rows, dt.labels(s, d), names, config), names
 
 
-def _boosted(s: SparkSession, d: str, config: boosting.BoostConfig = BOOST) -> DataFrame:
-    """(lag, target, date_id, pred, label) by each target's own model."""
-    rows, names = _boost_rows(s, d, config)
-    out = boosting.predict_targets(boosting.fit_targets(rows, names, config), rows.select(*KEYS, *names))
-    return out.join(rows.select(*KEYS, "label"), KEYS)
+#: The same weighting with trees that Spark grows, which are fewer: FOREST's rounds and leaves are its size.
+FOREST = dataclasses.replace(BOOST, num_boost_round=8, num_leaves=8, learning_rate=0.2, early_stopping_rounds=3, max_bin=32)
+
+
+def _forest_rows(s: SparkSession, d: str, names: list[str], config: boosting.BoostConfig = FOREST) -> DataFrame:
+    """Rows of every target at its own lag."""
+    return forest.training_rows_of_lags(factors.factor_features(dt.targets(s, d), names), dt.labels(s, d), dt.specs(s), names, config)
+
+
+_fitted: dict = {}
+
+
+def _models(s: SparkSession, d: str) -> DataFrame:
+    """The models of all four lags, fitted once in an application; they lie in the shared folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _fitted:
+        names = list(factors.factor_columns())
+        _fitted[key] = forest.fit_targets(_forest_rows(s, d, names), names, FOREST)
+    return _fitted[key]
+
+
+def _boosted(s: SparkSession, d: str) -> DataFrame:
+    """(lag, target, date_id, pred, label) of all four lags, by each target's own model."""
+    names = list(factors.factor_columns())
+    rows = _forest_rows(s, d, names)
+    return boosting.predict_targets(_models(s, d), rows.select(*KEYS, *names), forest.DATES).join(rows.select(*KEYS, "label"), KEYS)
+
+
+def _root_splits(s: SparkSession, d: str, names: tuple[str, ...] = ("ret_1", "vol_20", "sharpe_20", "momentum_20")) -> DataFrame:
+    """The first split of every target's first tree, over all rows: bins, gradients, histogram and the best gain."""
+    config = dataclasses.replace(FOREST, max_bin=16)
+    rows = _forest_rows(s, d, list(names), config).where("is_train")
+    coded = forest.coded(rows, forest.bin_tables(rows, list(names), config), list(names))
+    whole = Window.partitionBy("lag", "target")
+    start = F.sum(F.col("label") * F.col("weight")).over(whole) / F.sum("weight").over(whole)
+    own = coded.select("lag", "target", F.lit(0).alias("node"), ((start - F.col("label")) * F.col("weight")).alias("g"), F.col("weight").alias("h"), "codes")
+    best = forest.best_splits(forest.histograms(own, list(range(len(names)))), config)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("feature") + 1).alias("feature")
+    return best.select("lag", "target", name, rounded(F.col("gain"), 8).alias("gain"), F.col("nl").alias("n_left"), F.col("nr").alias("n_right"))
 
 
 def _searched(s: SparkSession, d: str) -> DataFrame:
@@ -319,7 +354,8 @@ def queries() -> dict[str, Query]:
         "pca_norms": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).groupBy("component").agg(rounded(F.sum(F.col("loading") ** 2)).alias("norm"), F.count("*").alias("n")),
         "pca_features": lambda s, d: decomp.with_loadings(_core(s, d), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
         "gbt_train_predict": _gbt,
-        "boost_by_target": lambda s, d: boosting.fit_targets(*_boost_rows(s, d, BOOST), BOOST).drop("model"),
+        "boost_by_target": lambda s, d: _models(s, d).drop("model"),
+        "boost_root_splits": _root_splits,
         "boost_samples": lambda s, d: _boost_rows(s, d, BOOST)[0].groupBy("target").agg(F.count_if("is_train").alias("train_samples"), F.count_if(~F.col("is_train")).alias("val_samples"), *[rounded(f(F.when(F.col("is_train"), F.col("weight")))).alias(f"train_weight_{n}") for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))]),
         "boost_predictions": lambda s, d: _boosted(s, d),
         "boost_report": lambda s, d: boosting.report(_boosted(s, d), dt.TRAIN_END, ["lag"]),
