@@ -19,8 +19,9 @@ def up_to_now(key: str = "target") -> WindowSpec:
     return ordered(key).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_now(key: str = "target") -> WindowSpec:
-    return ordered(key).rowsBetween(0, Window.unboundedFollowing)
+def whole(key: str = "target") -> WindowSpec:
+    """All rows of the key, in order; one value for the key, so it costs a row once."""
+    return ordered(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def full(n: int, x: Column, value: Column, key: str = "target") -> Column:
@@ -29,5 +30,5 @@ def full(n: int, x: Column, value: Column, key: str = "target") -> Column:
 
 
 def filled(x: Column, key: str = "target") -> Column:
-    """Forward fill, then backward fill of what leads."""
-    return F.coalesce(F.last(x, True).over(up_to_now(key)), F.first(x, True).over(from_now(key)))
+    """Forward fill, then backward fill of what leads, which is the first value there is."""
+    return F.coalesce(F.last(x, True).over(up_to_now(key)), F.first(x, True).over(whole(key)))

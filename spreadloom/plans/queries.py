@@ -162,7 +162,7 @@ def _boost_rows(s: SparkSession, d: str, config: boosting.BoostConfig) -> tuple[
 
 
 #: The same weighting with trees that Spark grows, which are fewer: FOREST's rounds and leaves are its size.
-FOREST = dataclasses.replace(BOOST, num_boost_round=8, num_leaves=8, learning_rate=0.2, early_stopping_rounds=3, max_bin=32)
+FOREST = dataclasses.replace(BOOST, num_boost_round=6, num_leaves=4, learning_rate=0.2, early_stopping_rounds=3, max_bin=32)
 
 
 def _forest_rows(s: SparkSession, d: str, names: list[str], config: boosting.BoostConfig = FOREST) -> DataFrame:
