@@ -6,6 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..operators import boosting, clean, decomp, eda, factors, forest, labels, m
 from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import tables
-from ..streaming import daily
+from ..streaming import daily, source, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,8 +124,22 @@ def _events_features(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("asset").alias("target"), "date_id", "price", F.avg("price").over(last_rows(5, "asset")).alias("mean_5"), F.stddev_samp("change").over(last_rows(10, "asset")).alias("vol_10"))
 
 
-def _streamed(s: SparkSession, prices: DataFrame, tail: int) -> DataFrame:
-    """The stream's answers: each day's prediction is the mean of the last five days, from the tail of the history."""
+def _events_labels(s: SparkSession, d: str) -> DataFrame:
+    """What each date of events brings: changes of price, known by an asset's own lag, which its name gives."""
+    rows = _stream_prices(s, d).withColumnRenamed("asset", "target")
+    change = rows.select(*KEYS, (F.col("price") - F.lag("price").over(ordered())).alias("label"))
+    return labels.lagged_labels(change, rows.select("target").distinct().withColumn("lag", 1 + F.length("target") % 4))
+
+
+def _events_days(s: SparkSession, d: str) -> str:
+    """A fresh folder, and in it the days of events with their labels."""
+    work = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    source.write_panel(_stream_prices(s, d), _events_labels(s, d), f"{work}/days")
+    return work
+
+
+def stream_latest(s: SparkSession, d: str) -> DataFrame:
+    """The stream's answers over all days: each day's prediction is the mean of the last five days, from the tail of the history."""
     class Mean(daily.Server):
         def features(self, history):
             return _events_features(history)
@@ -132,15 +147,31 @@ def _streamed(s: SparkSession, prices: DataFrame, tail: int) -> DataFrame:
         def predict(self, rows):
             return rows.select("target", "date_id", F.col("mean_5").alias("pred"))
 
-    work = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    prices = prices.persist()  # else each day's file reads the source again
-    daily.write_days(prices, f"{work}/days")
-    prices.unpersist()
-    return _round(daily.serve(s, f"{work}/days", work, Mean(), tail=tail), KEYS)
+    work = _events_days(s, d)
+    return _round(daily.serve(s, f"{work}/days", work, Mean(), panel=True), KEYS)
 
 
-def stream_latest(s: SparkSession, d: str) -> DataFrame:
-    return _streamed(s, _stream_prices(s, d), daily.TAIL)
+def stream_label_batches(s: SparkSession, d: str) -> DataFrame:
+    """What the stream of days has brought by date: how many prices, and labels of each lag, and their sums."""
+    work = _events_days(s, d)
+    state.run_to_end(s, source.stream_days(s, f"{work}/days", f"{work}/checkpoint", 7), f"{work}/rows", f"{work}/checkpoint")
+    rows = s.read.schema(source.SCHEMA).parquet(f"{work}/rows")
+    return rows.groupBy("date_id", "part", "lag").agg(F.count("*").alias("n"), rounded(F.sum("value"), 4).alias("total"))
+
+
+def _tail_features(rows: pd.DataFrame) -> pd.DataFrame:
+    price = rows["price"]
+    return pd.DataFrame({"price": price, "mean_5": price.rolling(5, min_periods=1).mean(), "vol_10": price.diff().rolling(10, min_periods=2).std()})
+
+
+def stream_state_features(s: SparkSession, d: str) -> DataFrame:
+    """Features of every day of events from keyed state, seven days a batch; an asset keeps its last eleven rows."""
+    work = _events_days(s, d)
+    days = source.stream_days(s, f"{work}/days", f"{work}/checkpoint", 7).where("part = 'prices'")
+    rows = state.keyed_features(days.select("date_id", F.col("name").alias("asset"), F.col("value").alias("price")), 11, _tail_features, ["price", "mean_5", "vol_10"])
+    state.run_to_end(s, rows, f"{work}/features", f"{work}/checkpoint")
+    out = s.read.schema("asset string, date_id int, price double, mean_5 double, vol_10 double").parquet(f"{work}/features")
+    return _round(out.withColumnRenamed("asset", "target").withColumn("vol_10", F.nanvl("vol_10", F.lit(None).cast("double"))), KEYS)
 
 
 def _factors(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
@@ -364,6 +395,8 @@ def queries() -> dict[str, Query]:
         "stream_daily_panel": lambda s, d: _round(_stream_prices(s, d), ["date_id", "asset"]),
         "stream_history_features": lambda s, d: _round(_events_features(_stream_prices(s, d)), KEYS),
         "stream_latest": stream_latest,
+        "stream_label_batches": stream_label_batches,
+        "stream_state_features": stream_state_features,
     }
     return q
 

@@ -1,11 +1,12 @@
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spreadloom.functions.windows import last_rows
 from spreadloom.plans import queries
-from spreadloom.streaming import daily
+from spreadloom.streaming import daily, source, state
 
 
 class Mean(daily.Server):
@@ -56,7 +57,7 @@ def test_the_kind_of_a_failure_is_kept(spark, prices, tmp_path, kind, server):
     else:
         daily.write_days(prices.where("date_id = 0"), f"{tmp_path}/days")
     with pytest.raises((daily.ValidationError, RuntimeError)):
-        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Bad(), batch_timeout=-1 if server == "slow" else 300)
+        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Bad(), batch_timeout=0.001 if server == "slow" else 300)
     assert spark.read.json(f"{tmp_path}/result").first()["ErrorType"] == kind
 
 
@@ -155,3 +156,187 @@ def test_all_days_of_events_are_streamed(spark, tmp_path):
             expected[a, (t.date() - datetime.date(1970, 1, 1)).days] = round(sum(last) / len(last), 6)
     got = {(r.target, r.date_id): r.pred for r in queries.queries()["stream_latest"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(expected)
+
+
+# ---------------------------------------------------------------- days as a source
+
+
+@pytest.fixture
+def lagged(spark):
+    return spark.createDataFrame([(k, d, d - k - 1, a, float(100 * k + d)) for d in range(2, 5) for k in (1, 2, 3, 4) for a in "xy" if d > k], "lag int, date_id int, label_date_id int, target string, label double")
+
+
+def test_days_as_a_table(spark, prices, lagged, tmp_path):
+    source.write_panel(prices, lagged, f"{tmp_path}/days")
+    got = source.read_days(spark, f"{tmp_path}/days", 2)
+    assert got.rdd.getNumPartitions() == 6
+    p = got.where("part = 'prices'").select("date_id", "name", "value").collect()
+    assert sorted(map(tuple, p)) == sorted(map(tuple, prices.select("date_id", "asset", "price").collect()))
+    own = got.where("part = 'labels'").select("lag", "date_id", "label_date_id", "name", "value").collect()
+    assert sorted(map(tuple, own)) == sorted(map(tuple, lagged.collect()))
+    assert source.listed_dates(f"file://{tmp_path}/days") == [0, 1, 2, 3, 4]
+    assert source.listed_dates(f"{tmp_path}/none") == []
+
+
+class Learns(Mean):
+    def __init__(self):
+        self.seen = []
+
+    def learn(self, labels):
+        self.seen.append(sorted((r.lag, r.date_id, r.target) for r in labels.collect()))
+
+
+def test_a_date_brings_its_labels(spark, prices, lagged, tmp_path):
+    """Files are written out of order and at once; dates come in order, each with the labels of its own."""
+    source.write_panel(prices, lagged, f"{tmp_path}/days")
+    server, seen = Learns(), []
+    out = daily.serve(spark, f"{tmp_path}/days", str(tmp_path), server, tail=3, on_batch=seen.append, panel=True)
+    assert seen == [0, 1, 2, 3, 4]
+    assert server.seen == [sorted((r.lag, r.date_id, r.target) for r in lagged.where(F.col("date_id") == d).collect()) for d in range(5)]
+    batch = Mean().predict(Mean().features(prices))
+    assert sorted(out.collect()) == sorted(batch.collect())
+    # more days later: the stream goes on after the last one
+    more = prices.unionByName(prices.withColumn("date_id", F.col("date_id") + 5))
+    source.write_panel(more, lagged, f"{tmp_path}/days")
+    seen.clear()
+    out = daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Learns(), tail=3, on_batch=seen.append, panel=True)
+    assert seen == [5, 6, 7, 8, 9]
+    assert sorted(out.collect()) == sorted(Mean().predict(Mean().features(more)).collect())
+
+
+def test_a_day_that_runs_again_changes_nothing(spark, prices, lagged, tmp_path):
+    source.write_panel(prices, lagged, f"{tmp_path}/days")
+    first = sorted(daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean(), panel=True).collect())
+    for name in ("4", ".4.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    seen = []
+    again = daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Mean(), on_batch=seen.append, panel=True)
+    assert seen == [4]
+    assert sorted(again.collect()) == first
+
+
+# ---------------------------------------------------------------- deadlines and kinds
+
+
+def test_a_late_batch_is_cut_and_leaves_nothing(spark, prices, tmp_path):
+    import time
+
+    class Slow(Mean):
+        def predict(self, rows):
+            wait = F.udf(lambda x: time.sleep(60) or x, "double")
+            return super().predict(rows).withColumn("pred", wait("pred"))
+
+    source.write_panel(prices, None, f"{tmp_path}/days")
+    began = time.monotonic()
+    with pytest.raises(daily.ValidationError, match="more than 4"):
+        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Slow(), batch_timeout=4, panel=True)
+    assert time.monotonic() - began < 40
+    assert spark.read.json(f"{tmp_path}/result").first()["ErrorType"] == "GRPC_DEADLINE_EXCEEDED"
+    assert not (tmp_path / "predictions").exists()
+    # its jobs are gone
+    tracker = spark.sparkContext.statusTracker()
+    for _ in range(50):
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not tracker.getActiveJobsIds()
+
+
+def test_work_within_a_limit(spark):
+    assert daily.within(spark, 20, lambda: spark.range(5).count(), "UNSPECIFIED", "late") == 5
+    with pytest.raises(KeyError):
+        daily.within(spark, 20, lambda: {}["x"], "UNSPECIFIED", "late")
+
+
+@pytest.mark.parametrize(("kind", "make"), [("SERVER_NEVER_STARTED", "raises"), ("SERVER_NEVER_STARTED", "late"), ("SERVER_MISSING_ENDPOINT", "no predict"), ("SERVER_CONNECTION_FAILED", "lost"), ("INVALID_SUBMISSION", "type"), ("INVALID_SUBMISSION", "nothing"), ("INVALID_SUBMISSION", "dates")])
+def test_every_failure_has_its_kind(spark, prices, tmp_path, kind, make):
+    import time
+
+    class Bad(Mean):
+        def predict(self, rows):
+            if make == "lost":
+                raise ConnectionResetError("gone")
+            out = super().predict(rows)
+            return {"nothing": None, "dates": out.withColumn("pred", F.current_date()), "type": 0.5}[make]
+
+    def features(history):
+        return history
+
+    started = {"raises": lambda: 1 / 0, "late": lambda: time.sleep(30), "no predict": lambda: daily.FunctionServer(features)}
+    source.write_panel(prices.where("date_id = 0"), None, f"{tmp_path}/days")
+    with pytest.raises((daily.ValidationError, ConnectionError)):
+        daily.serve(spark, f"{tmp_path}/days", str(tmp_path), started.get(make) or Bad(), panel=True, startup_timeout=1)
+    assert spark.read.json(f"{tmp_path}/result").first()["ErrorType"] == kind
+    assert kind in daily.KINDS
+
+
+def test_a_whole_number_or_text_is_a_prediction(spark, prices, tmp_path):
+    class Text(Mean):
+        def predict(self, rows):
+            return super().predict(rows).withColumn("pred", F.lit("1.5") if rows.first().date_id else F.lit(2))
+
+    source.write_panel(prices.where("date_id < 2"), None, f"{tmp_path}/days")
+    out = daily.serve(spark, f"{tmp_path}/days", str(tmp_path), Text(), panel=True)
+    assert {(r.date_id, r.pred) for r in out.collect()} == {(0, 2.0), (1, 1.5)}
+
+
+def test_a_history_reads_its_tail_only(spark, prices, tmp_path):
+    h = daily.History(spark, f"{tmp_path}/h")
+    for d in range(5):
+        h.append(prices.where(F.col("date_id") == d), d, [d])
+    files = {f.rsplit("arrival=", 1)[1].split("/")[0] for f in h.tail(4, 2).inputFiles()}
+    assert files == {"3", "4"}
+    assert daily.History(spark, f"{tmp_path}/h").arrivals == h.arrivals
+    assert h.last_before(3) == 2
+
+
+# ---------------------------------------------------------------- keyed state
+
+
+def mean_3():
+    """A function of its own, so that it is sent to the workers as it is."""
+    return lambda rows: pd.DataFrame({"m": rows["price"].rolling(3, min_periods=1).mean(), "n": rows["price"].notna().cumsum().astype(float)})
+
+
+def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
+    rows = [(d, a, None if (d + k) % 4 == 0 else float(d * d + k)) for d in range(12) for k, a in enumerate("xyz") if not (a == "z" and d < 5)]
+    table = spark.createDataFrame(rows, "date_id int, asset string, price double")
+
+    def run(step):
+        days = source.stream_days(spark, f"{tmp_path}/days", f"{tmp_path}/cp", step).where("part = 'prices'")
+        own = days.select("date_id", F.col("name").alias("asset"), F.col("value").alias("price"))
+        state.run_to_end(spark, state.keyed_features(own, 3, mean_3(), ["m", "n"]), f"{tmp_path}/out", f"{tmp_path}/cp")
+
+    for last, step in ((5, 2), (12, 4)):
+        source.write_panel(table.where(F.col("date_id") < last), None, f"{tmp_path}/days")
+        run(step)
+    got = {(r.asset, r.date_id): r.m for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    frame = pd.DataFrame(rows, columns=["date_id", "asset", "price"]).sort_values("date_id")
+    frame["price"] = frame.groupby("asset")["price"].ffill()
+    frame["m"] = frame.groupby("asset")["price"].transform(lambda x: x.rolling(3, min_periods=1).mean())
+    expected = {(r.asset, r.date_id): r.m for r in frame.itertuples()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(v) or (pd.isna(v) and pd.isna(got[k])) for k, v in expected.items())
+
+
+def test_a_date_that_arrives_again(spark, tmp_path):
+    class Kept:
+        rows: list = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    tail = state.Tail(3, mean_3(), ["m", "n"])
+    tail.kept = Kept()
+    give = lambda *rows: [tuple(r) for x in tail.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["date_id", "price"])]), None) for r in x.itertuples(index=False)]
+    assert [r[2] for r in give((1, 1.0), (2, 2.0), (2, 5.0), (3, 3.0))] == [1.0, 3.0, 3.0]
+    assert tail.kept.rows == [(1, 1.0), (2, 5.0), (3, 3.0)]
+    assert [r[1:3] for r in give((2, 8.0))] == [(2, 4.5)]
+    assert [r[1:3] for r in give((5, None))] == [(5, 14 / 3)]
+    assert tail.kept.rows == [(2, 8.0), (3, 3.0), (5, 3.0)]
