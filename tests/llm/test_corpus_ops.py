@@ -122,6 +122,16 @@ def test_repeated_rows_of_a_leader_stay_once(spark):
     assert sorted(got, key=str) == sorted([(1, text, None), (1, f"{text} {text}", "x"), (4, None, "y"), (4, None, "z")], key=str)
 
 
+def test_repeated_rows_with_a_map_column_stay_once(spark):
+    """Maps have no order: rows that differ in them only are told apart by a hash."""
+    text = "one text of seven words in all"
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"a": 2}), (1, text, None), (2, text, {}), (3, "another text of other words here", {"b": 3})], f"{DOCS}, extra map<string, int>")
+    got = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, text), (3, "another text of other words here")]
+    assert got.schema["extra"].dataType == docs.schema["extra"].dataType
+    assert sorted(map(str, got.collect())) == sorted(map(str, corpus_pipeline.near_dedup(spark, docs.repartition(3), FOLDER).collect()))
+
+
 def test_long_families_make_few_pairs(spark, monkeypatch):
     """120 long texts at similarity 0.69 or so: odd sketches that grow with the sets tell them apart."""
     rng = np.random.default_rng(11)
