@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spreadloom.llm import bpe, langid, linededup, minhash, mixing
 from spreadloom.llm.common import cap_batches, checked_broadcast, materialised
@@ -29,12 +30,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared: not so maps, variants, nor what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): the one of least id.
 
     By row, not by id: a text stays where only other texts of its id have an earlier copy. Of leading rows that share
-    the id, that of the least hash of the text stays; of rows with the same text too, the least by all columns. Rows
-    without words, and those without an id whose text no row with an id has, are in no group and all stay.
+    the id, that of the least hash of the text stays; of rows with the same text too, the least by all columns that have
+    an order, then by a hash of the row as JSON. Rows without words, and those without an id whose text no row with an id has, are in no group and all stay.
     """
     found = minhash.near_duplicates(docs.select("doc_id", "text")).where("node IS NOT NULL")
     found = materialised(found.select("doc_id", "text_hash", "node", "kept"), "groups")
@@ -49,7 +59,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         lead = found.where("kept").join(led, "node")
         one = materialised(name(lead.where("text_hash = first").select("doc_id", "text_hash")), "gone")
         own = rows.join(checked_broadcast(one, one.count(), minhash.MAX_BROADCAST), same, "left_semi")
-        kept.append(own.groupBy(F.col("__row.doc_id").alias("__id"), "__h").agg(F.min("__row").alias("__row")).select("__row"))
+        order = [F.col("__row").getField(f.name) for f in docs.schema.fields if _ordered(f.dataType)]
+        first = F.min_by("__row", F.struct(*order, F.xxhash64(F.to_json("__row"))))
+        kept.append(own.groupBy(F.col("__row.doc_id").alias("__id"), "__h").agg(first.alias("__row")).select("__row"))
         gone = gone.union(lead.select("doc_id", "text_hash"))
     gone = materialised(name(gone), "gone")
     kept.insert(0, rows.join(checked_broadcast(gone, gone.count(), minhash.MAX_BROADCAST), same, "left_anti").select("__row"))

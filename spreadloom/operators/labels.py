@@ -104,23 +104,28 @@ def time_distance(df: DataFrame, key: str | list[str] = "target") -> DataFrame:
     return df.withColumn("distance", (F.col("date_id") - F.min("date_id").over(Window.partitionBy(*([key] if isinstance(key, str) else key)))).cast("double"))
 
 
-def sample_weights(df: DataFrame, scheme: str, decay: float, floor: float | None = None, cap: float | None = None, key: str | list[str] = "target") -> DataFrame:
-    """weight by recency, capped, floored, then divided by its mean of a key. Schemes: none, recency_exp, recency_linear."""
+#: What a weighting scheme may be called. Fixed values.
+SCHEMES = {"none": "none", "off": "none", "recency_exp": "exp", "exp": "exp", "recency_linear": "linear", "linear": "linear"}
+
+
+def sample_weights(df: DataFrame, scheme: str | None, decay: float, floor: float | None = None, cap: float | None = None, key: str | list[str] = "target") -> DataFrame:
+    """weight by recency, capped, floored, then divided by its mean of a key where that is positive.
+
+    Schemes: none, recency_exp, recency_linear, and their short names in any case; another one raises. An exponential
+    scheme without a positive decay weighs all rows alike; a linear one may fall.
+    """
+    if (kind := SCHEMES.get((scheme or "none").lower())) is None:
+        raise ValueError(f"unknown weighting scheme {scheme!r}")
     own = Window.partitionBy(*([key] if isinstance(key, str) else key))
     rows = time_distance(df, key)
+    if kind == "none" or kind == "exp" and decay <= 0:
+        return rows.withColumn("weight", F.lit(1.0))
     span = F.max("distance").over(own)
     rel = F.when(span > 0, F.try_divide("distance", span)).otherwise(F.col("distance"))
-    if scheme == "none" or decay <= 0:
-        return rows.withColumn("weight", F.lit(1.0))
-    if scheme == "recency_exp":
-        w = F.exp(rel * decay)
-    elif scheme == "recency_linear":
-        w = 1 + rel * decay
-    else:
-        raise ValueError(f"unknown weighting scheme {scheme!r}")
+    w = F.exp(rel * decay) if kind == "exp" else 1 + rel * decay
     if cap is not None:
         w = F.least(w, F.lit(float(cap)))
     if floor is not None:
         w = F.greatest(w, F.lit(float(floor)))
-    rows = rows.withColumn("weight", w)
-    return rows.withColumn("weight", F.try_divide("weight", F.avg("weight").over(own)))
+    rows, mean = rows.withColumn("weight", w), F.avg("weight").over(own)
+    return rows.withColumn("weight", F.when(mean > 0, F.try_divide("weight", mean)).otherwise(F.col("weight")))

@@ -357,6 +357,8 @@ def oracle_sql() -> dict[str, str]:
         "sequence_windows": sql(f"SELECT target, date_id, 192 AS n, {r(f'sum(ret_1::FLOAT::DOUBLE) {frame(192)}', 4)} AS sum_first, {r(f'first_value(ret_5::FLOAT::DOUBLE) {frame(192)}', 5)} AS oldest FROM fac QUALIFY count(*) {frame(192)} = 192", factor_cte(["ret_1", "ret_5"])),
         "recency_weights_exp": weights(f"date_id <= {TRAIN_END}", EXP),
         "recency_weights_linear": weights(f"date_id <= {TRAIN_END}", "1 + rel * 2.0"),
+        "recency_weights_falling": weights(f"date_id <= {TRAIN_END}", "greatest(0.5, 1 - rel * 0.6)"),
+        "recency_weights_off": weights(f"date_id <= {TRAIN_END}", "1.0"),
         "weight_summary": f"SELECT target, {r('avg(w)')} AS mean, {r('min(w)')} AS low, {r('max(w)')} AS high, count(*) AS n FROM (" + weights("true", EXP).replace(r("w / avg(w) OVER (PARTITION BY target)") + " AS weight", "w / avg(w) OVER (PARTITION BY target) AS w") + ") GROUP BY target",
         "variance_filter": sql(f"SELECT target, feature, {r('var_samp(value)')} AS variance FROM lg WHERE date_id <= {TRAIN_END} GROUP BY 1, 2 HAVING var_samp(value) > 1e-4", core, LONG),
         "screen_features": sql(f"SELECT feature, {r('avg(v)')} AS variance FROM (SELECT target, feature, var_pop(value) AS v FROM lg GROUP BY 1, 2) GROUP BY feature HAVING avg(v) > 1e-6", core, LONG),

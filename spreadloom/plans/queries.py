@@ -358,6 +358,8 @@ def queries() -> dict[str, Query]:
         "batch_numbers": lambda s, d: labels.batches(px(s, d).select(*KEYS), seed=2024),
         "recency_weights_exp": _weights("recency_exp", 3.0, 0.5, 10.0),
         "recency_weights_linear": _weights("recency_linear", 2.0, None, None),
+        "recency_weights_falling": _weights("linear", -0.6, 0.5, None),
+        "recency_weights_off": _weights("off", 3.0, 0.5, 10.0),
         "weight_summary": lambda s, d: labels.sample_weights(px(s, d), "recency_exp", 3.0, 0.5, 10.0).groupBy("target").agg(rounded(F.avg("weight")).alias("mean"), rounded(F.min("weight")).alias("low"), rounded(F.max("weight")).alias("high"), F.count("*").alias("n")),
         "variance_filter": lambda s, d: _round(screen.variance_filter(_long(s, d), dt.TRAIN_END, 1e-4), ["target", "feature"]),
         "screen_features": lambda s, d: _round(screen.screened(_long(s, d), 1e-6), ["feature"]),

@@ -120,6 +120,13 @@ def test_label_shift_and_weights(spark):
     assert max(w) == pytest.approx(1.878, abs=1e-3)
     with pytest.raises(ValueError, match="unknown"):
         labels.sample_weights(df, "other", 1.0)
+    with pytest.raises(ValueError, match="other"):
+        labels.sample_weights(df, "other", 0.0)
+    own = lambda *a: [r.weight for r in labels.sample_weights(df, *a).orderBy("date_id").collect()]
+    assert own("EXP", 3.0) == own("recency_exp", 3.0)
+    assert own("exp", -1.0) == own(None, 3.0) == own("off", 3.0) == [1.0] * len(w)
+    assert own("linear", -0.5) == sorted(own("linear", -0.5), reverse=True) != own("linear", 0.0)
+    assert own("linear", -4.0)[-1] == -3.0  # without a positive mean, weights stay as they are
 
 
 def test_sequences_are_full_windows(panel):
