@@ -60,9 +60,9 @@ def cap_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> di
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 2 << 20) -> Iterator[None]:
     """cap_batches while it lasts; for operators that run their Python stages themselves."""
-    before = cap_batches(spark, rows)
+    before = cap_batches(spark, rows, size)
     try:
         yield
     finally:
@@ -205,20 +205,37 @@ class WordHasher:
         ends = np.flatnonzero(after & ~space) + 1
         return self.bytes.ranges(low, starts, ends), np.searchsorted(starts, offsets)
 
-    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, word hashes, bounds) of runs of rows: row first+i has hashes[bounds[i]:bounds[i+1]]. Null is empty."""
+    def pieces(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(first row, word hashes, bounds, whether the last row ends) of runs of rows: row first+i has hashes[bounds[i]:bounds[i+1]].
+
+        A text of more than CHUNK_BYTES comes in pieces, each a run of its one row. Null is empty.
+        """
         data, offsets = utf8(column)
         row, n = 0, len(offsets) - 1
         while row < n:
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
             if offsets[end] - offsets[row] <= CHUNK_BYTES:
-                yield row, *self._piece(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
+                yield row, *self._piece(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]), True
             else:  # one long text
-                parts = [self._piece(x, np.array([0, len(x)]))[0] for x in cut_at_space(data[offsets[row] : offsets[end]])]
-                hashes = np.concatenate(parts)
-                yield row, hashes, np.array([0, len(hashes)])
+                at = 0
+                for x in cut_at_space(data[offsets[row] : offsets[end]]):
+                    at += len(x)
+                    hashes = self._piece(x, np.array([0, len(x)]))[0]
+                    yield row, hashes, np.array([0, len(hashes)]), at == offsets[end] - offsets[row]
             row = end
 
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The runs of pieces(), with each text in one."""
+        held: list[np.ndarray] = []
+        for row, hashes, bounds, ends in self.pieces(column):
+            if ends and not held:
+                yield row, hashes, bounds
+                continue
+            held.append(hashes)
+            if ends:
+                hashes, held = np.concatenate(held), []
+                yield row, hashes, np.array([0, len(hashes)])
+
 
 def cut_at_space(data: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
     at = 0

@@ -17,7 +17,7 @@ Files are written to the shared folder and memory-mapped by the tasks; from a st
 into anonymous memory, OPEN_BYTES of them at a time in a worker. They are written under another name and moved, so a task can run again.
 
 Cases: a null or empty text is the end token alone; no training texts: p is 1 for every token; more than 2**32 - 2
-distinct words raise; long texts are counted and scored in blocks of tokens; equal texts have equal scores; a null doc_id isn't held out and
+distinct words raise, as does a file of 2**32 bits; counts have 64 bits; long texts are hashed, counted and scored in blocks; equal texts have equal scores; a null doc_id isn't held out and
 isn't trained on; rows that repeat count as often as they stand. Extra columns are not read.
 """
 
@@ -34,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batch_of, crc32_of_id, new_folder, random64
+from .common import WordHasher, batch_of, bounded_batches, crc32_of_id, materialised, new_folder, random64
 
 DISCOUNT = 0.75
 #: Tokens that a task counts or scores at a time.
-TOKENS = 1 << 19
+TOKENS = 1 << 18
 #: Distinct words or pairs that a counting task holds before it hands them out.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Bytes of text for each range of words at most, as long as there are no more than 2**MAX_BITS ranges.
+RANGE_BYTES, MAX_BITS = 32 << 20, 20
+#: Rows and bytes of an Arrow batch to and from a worker.
+BATCH = {"rows": 1024, "size": 4 << 20}
 #: Bytes of level files that a worker holds in memory where they can't be mapped.
 OPEN_BYTES = 256 << 20
 #: Word ids are halves of 64-bit keys; the last two values are for the start symbol and the end of its range.
@@ -78,6 +82,8 @@ class Bits:
 
     @staticmethod
     def build(positions: np.ndarray, length: int, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        if length >= 1 << 32:
+            raise ValueError(f"{length} bits of a level file; its directory holds less than {1 << 32}")
         words = pack(np.ones(len(positions), np.uint64), positions.astype(np.int64), length)
         counts = np.bitwise_count(words if ones else ~words).astype(np.int64)
         return words, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.uint32)
@@ -225,33 +231,32 @@ def _mapped(path: str) -> np.ndarray:
 def token_blocks(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(tokens, rows, starts, seen): runs of tokens with the row of each run's texts and where they start, ends included.
 
-    A run has whole texts, but for one text of more than TOKENS, which comes in blocks: from the second on, a block's
-    first token is the last one before it, and `seen` is 1.
+    A run has whole texts, but for a text that is long: it comes in blocks, hashed one after the other; from the second
+    on, a block's first token is the last one before it, and `seen` is 1.
     """
-    for tokens, rows, starts in _runs(hasher, column):
-        if len(tokens) <= 2 * TOKENS or len(rows) > 1:
-            yield tokens, rows, starts, 0
-        else:
-            for at in range(0, len(tokens), TOKENS):
-                yield tokens[max(0, at - 1) : at + TOKENS], rows, starts, int(at > 0)
-
-
-def _runs(hasher: WordHasher, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    tokens, rows, sizes, n = [], [], [], 0
-    for first, words, bounds in hasher.texts(column):
+    tokens, rows, sizes, n, before = [], [], [], 0, None
+    for first, words, bounds, ends in hasher.pieces(column):
+        if not ends or before is not None or len(bounds) == 2 and len(words) > TOKENS:  # a long text, or a piece of it
+            if n:
+                yield *_run(tokens, rows, sizes), 0
+                tokens, rows, sizes, n = [], [], [], 0
+            own, before = np.append(words, END) if ends else words, words[:0] if before is None else before
+            for at in range(0, len(own), TOKENS):
+                block = np.concatenate([before, own[at : at + TOKENS]])
+                yield block, np.array([first]), np.array([0]), len(before)
+                before = block[-1:]
+            before = None if ends else before
+            continue
         count = np.diff(bounds)
-        if len(words) > TOKENS and n:  # a long text is a run of its own
-            yield _run(tokens, rows, sizes)
-            tokens, rows, sizes, n = [], [], [], 0
         tokens.append(np.insert(words, bounds[1:], END))
         rows.append(np.arange(first, first + len(count)))
         sizes.append(count + 1)
         n += len(words) + len(count)
         if n >= TOKENS:
-            yield _run(tokens, rows, sizes)
+            yield *_run(tokens, rows, sizes), 0
             tokens, rows, sizes, n = [], [], [], 0
     if n:
-        yield _run(tokens, rows, sizes)
+        yield *_run(tokens, rows, sizes), 0
 
 
 def _run(tokens, rows, sizes):
@@ -282,8 +287,8 @@ def blobs(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.Record
     for part in np.flatnonzero(np.diff(cut)):
         k = keys[cut[part] : cut[part + 1]]
         gaps = np.diff(k, prepend=U(0))
-        small = counts[cut[part] : cut[part + 1]].astype("<u4")
-        rows.append((part, len(k), press(gaps.view(np.uint8).reshape(-1, 8).T.tobytes()), press(small.view(np.uint8).reshape(-1, 4).T.tobytes())))
+        c = counts[cut[part] : cut[part + 1]].astype("<u8")
+        rows.append((part, len(k), *(press(x.view(np.uint8).reshape(-1, 8).T.tobytes()) for x in (gaps, c))))
     return batch_of(BLOB, *(zip(*rows, strict=True) if rows else [[]] * 4))
 
 
@@ -291,8 +296,8 @@ def unblob(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard as Z
 
     d = Z.ZstdDecompressor()
-    gaps = np.ascontiguousarray(np.frombuffer(d.decompress(keys), np.uint8).reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(d.decompress(counts), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    gaps, c = (np.ascontiguousarray(np.frombuffer(d.decompress(x), np.uint8).reshape(8, n).T).view("<u8").ravel() for x in (keys, counts))
+    return np.cumsum(gaps, dtype=np.uint64), c.astype(np.int64)
 
 
 def gathered(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -420,9 +425,11 @@ def train(docs: DataFrame) -> dict:
     """Writes the trie of docs(text) to the shared folder; the driver gets sizes and the commonest words of each range."""
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, min(20, (spread - 1).bit_length()))
-    folder = new_folder(spark, "ngrams")
     text = docs.select("text")
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # ranges follow the text, so that a range's level fits a task however large the corpus
+    bits = max(1, min(MAX_BITS, (max(spread, -(-size // RANGE_BYTES)) - 1).bit_length()))
+    folder = new_folder(spark, "ngrams")
 
     def count_words(batches):
         hasher, bounds = WordHasher(), np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)
@@ -575,6 +582,7 @@ def score_texts(docs: DataFrame, spec: dict) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fold = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(5))
-    spec = train(docs.where(fold != 1))
-    out = score_texts(docs, spec)
+    with bounded_batches(spark, **BATCH):
+        spec = train(docs.where(fold != 1))
+        out = materialised(score_texts(docs, spec), "scores")
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(spec["total"]).cast("long").alias("train_tokens"), "base_score", "score")
