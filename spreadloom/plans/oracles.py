@@ -352,6 +352,28 @@ def oracle_sql() -> dict[str, str]:
             "rw AS (SELECT lg.* FROM lg JOIN specs USING (target) WHERE lag = 1 AND date_id IN (SELECT date_id FROM sh WHERE label IS NOT NULL))",
             "kf AS (SELECT feature FROM (SELECT target, feature, var_pop(value) AS v FROM rw GROUP BY 1, 2) GROUP BY feature HAVING avg(v) > 1e-6)",
         ),
+        "dataset_windows": sql(
+            f"SELECT date_id, split, n_valid, n::INT AS n, {r('total', 3)} AS total, {r('labels')} AS labels FROM sm JOIN ww USING (date_id)",
+            core, LONG, f"sh AS (SELECT target, date_id, lead(label, 2) OVER ({O}) AS label FROM lab JOIN specs USING (target) WHERE lag = 1)",
+            "rw AS (SELECT lg.* FROM lg JOIN specs USING (target) WHERE lag = 1 AND date_id IN (SELECT date_id FROM sh WHERE label IS NOT NULL))",
+            "kf AS (SELECT feature FROM (SELECT target, feature, var_pop(value) AS v FROM rw GROUP BY 1, 2) GROUP BY feature HAVING avg(v) > 1e-6)",
+            "dv AS (SELECT target, date_id, feature, value::FLOAT::DOUBLE AS v FROM rw JOIN kf USING (feature))",
+            "ps AS (SELECT date_id, row_number() OVER (ORDER BY date_id) - 1 AS pos, count(label) AS n_valid, coalesce(sum(label), 0) AS labels FROM sh WHERE date_id IN (SELECT date_id FROM rw) GROUP BY date_id)",
+            f"sm AS (SELECT date_id, n_valid, labels, CASE WHEN date_id <= {TRAIN_END} THEN 'train' ELSE 'valid' END AS split FROM ps WHERE pos >= 191 AND n_valid >= 1)",
+            "nm AS (SELECT target, feature, avg(v) AS m, stddev_pop(v) AS s FROM dv WHERE date_id IN (SELECT date_id FROM sm WHERE split = 'train') GROUP BY 1, 2)",
+            "dd AS (SELECT date_id, sum(((v - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END)::FLOAT::DOUBLE) AS x, count(*) AS k FROM dv JOIN nm USING (target, feature) GROUP BY date_id)",
+            "ww AS (SELECT date_id, sum(x) OVER w AS total, sum(k) OVER w AS n FROM dd WINDOW w AS (ORDER BY date_id ROWS BETWEEN 191 PRECEDING AND CURRENT ROW))",
+        ),
+        "pca_first": sql(
+            f"SELECT target, {r('sign(list_max(v) + list_min(v)) * v[i] / sqrt(list_inner_product(v, v))', 4)} AS loading FROM pw, (SELECT target, row_number() OVER (ORDER BY target) AS i FROM (SELECT DISTINCT target FROM tgt))",
+            f"rt AS (SELECT target, date_id, ret FROM ret WHERE date_id <= {TRAIN_END} AND ret IS NOT NULL)",
+            "cd AS (SELECT date_id FROM rt GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT target) FROM tgt))",
+            "sx AS (SELECT target, date_id, (ret - avg(ret) OVER p) / stddev_samp(ret) OVER p AS x FROM rt JOIN cd USING (date_id) WINDOW p AS (PARTITION BY target))",
+            "cv AS (SELECT a.target AS i, b.target AS j, sum(a.x * b.x) AS c FROM sx a JOIN sx b USING (date_id) GROUP BY 1, 2)",
+            "cm AS (SELECT list(c ORDER BY i) AS c, list_sum(list(d)) AS trace FROM (SELECT i, list(c ORDER BY j) AS c, sum(c) FILTER (WHERE i = j) AS d FROM cv GROUP BY i))",
+            # the power method: the matrix times a vector, over and over
+            "pw AS (SELECT list_reduce(list_transform(range(401), lambda k: list_transform(range(1, len(c) + 1), lambda i: 1.0::DOUBLE / i)), lambda v, k: list_transform(c, lambda row: 2 * list_inner_product(row, v) / trace)) AS v FROM cm)",
+        ),
         "label_mask": sql(f"SELECT target, date_id, {r('coalesce(label, 0)')} AS label, label IS NOT NULL AS mask FROM lab"),
         "valid_counts": sql(f"SELECT date_id, n_valid, CASE WHEN date_id <= {TRAIN_END} THEN 'train' ELSE 'valid' END AS split FROM (SELECT date_id, count(label) AS n_valid, row_number() OVER (ORDER BY date_id) - 1 AS p FROM lab GROUP BY date_id) WHERE p >= 191 AND n_valid >= 10"),
         "sequence_windows": sql(f"SELECT target, date_id, 192 AS n, {r(f'sum(ret_1::FLOAT::DOUBLE) {frame(192)}', 4)} AS sum_first, {r(f'first_value(ret_5::FLOAT::DOUBLE) {frame(192)}', 5)} AS oldest FROM fac QUALIFY count(*) {frame(192)} = 192", factor_cte(["ret_1", "ret_5"])),

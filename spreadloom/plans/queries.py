@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_float, is_close_to_zero, rounded, to_number
 from ..functions.windows import filled, last_rows, ordered
-from ..operators import boosting, clean, decomp, eda, factors, forest, labels, metrics, models, screen, stats, symbolic, targets, technical
+from ..operators import boosting, clean, datasets, decomp, eda, factors, forest, labels, metrics, models, screen, stats, symbolic, targets, technical
 from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import tables
@@ -251,6 +251,18 @@ def _windows(features: DataFrame, columns: list[str], length: int) -> DataFrame:
     return out.select(*KEYS, F.size("sequence").alias("n"), rounded(F.aggregate("sequence", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double")), 4).alias("sum_first"), rounded(F.get(F.get("sequence", F.lit(0)), F.lit(1)).cast("double"), 5).alias("oldest"))
 
 
+def dataset_windows(s: SparkSession, d: str) -> DataFrame:
+    """Every sample of a stored dataset of lag 1, cut from its chunks: its split, labels and the sum of its window."""
+    own = dt.specs(s).where("lag = 1").select("target")
+    pick = lambda df: df.join(own, "target", "left_semi")
+    folder = f"{shared_folder(s)}/dataset-{uuid.uuid4().hex}"
+    made = datasets.create_datasets(pick(_core(s, d)), pick(dt.labels(s, d)), ["ret_1", "vol_20", "sharpe_20", "momentum_20"], 1, dt.TRAIN_END, folder)
+    batches = [made.batches(x, 2024, 0) for x in datasets.SPLITS]
+    rows = made.windows(batches[0].unionByName(batches[1])).join(made.table("samples").select("date_id", "split", "n_valid"), "date_id")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return rows.select("date_id", "split", "n_valid", F.size("features").alias("n"), rounded(total(F.col("features")), 3).alias("total"), rounded(total(F.col("labels"))).alias("labels"))
+
+
 def _label_batches(s: SparkSession, d: str) -> DataFrame:
     """How many prices and labels of each lag a date's batch has, and their sums."""
     out = labels.day_batches(dt.filled_prices(s, d), labels.lagged_labels(dt.labels(s, d), dt.specs(s)))
@@ -352,6 +364,7 @@ def queries() -> dict[str, Query]:
         "label_shift_by_lag": lambda s, d: labels.shifted(dt.labels(s, d).join(dt.specs(s).select("target", "lag"), "target"), F.col("lag")).select(*KEYS, rounded(F.col("label")).alias("label")),
         "label_batches": _label_batches,
         "sequence_data": _sequence_data,
+        "dataset_windows": dataset_windows,
         "label_mask": lambda s, d: labels.labels_and_mask(dt.labels(s, d)).select(*KEYS, rounded(F.col("label")).alias("label"), "mask"),
         "valid_counts": lambda s, d: labels.valid_positions(dt.labels(s, d), 192, dt.TRAIN_END, 10),
         "sequence_windows": lambda s, d: _windows(_factors(s, d)[0], list(factors.factor_columns()), labels.SEQUENCE),
@@ -384,6 +397,7 @@ def queries() -> dict[str, Query]:
         "gp_evolved": _gp,
         "grid_sample": lambda s, d: models.sampled_grid(s, 50, 2025),
         "pca_loadings": lambda s, d: _round(decomp.pca_loadings(px(s, d), dt.TRAIN_END), ["target", "component"]),
+        "pca_first": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).where("component = 0").select("target", rounded(F.col("loading"), 4).alias("loading")),
         "pca_norms": lambda s, d: decomp.pca_loadings(px(s, d), dt.TRAIN_END).groupBy("component").agg(rounded(F.sum(F.col("loading") ** 2)).alias("norm"), F.count("*").alias("n")),
         "pca_features": lambda s, d: decomp.with_loadings(_core(s, d), decomp.pca_loadings(px(s, d), dt.TRAIN_END)),
         "gbt_train_predict": _gbt,
