@@ -16,6 +16,7 @@ from __future__ import annotations
 import dataclasses
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .labels import sample_weights, shifted
 from .metrics import daily_ic
 
+#: Settings of a wave of a search, and of a group of one target.
+WAVE, PER = 64, 4
+
 
 @dataclasses.dataclass(frozen=True)
 class BoostConfig:
@@ -260,7 +265,11 @@ def report(predictions: DataFrame, train_end: int, by: list[str] | None = None)
     by: further columns that tell runs apart. Means are NULL and counts 0 where there are no dates.
     """
     by = by or []
-    ic = daily_ic(predictions, by)
+    return summary(daily_ic(predictions, by), train_end, by)
+
+
+def summary(ic: DataFrame, train_end: int, by: list[str]) -> DataFrame:
+    """The figures of report, of daily correlations (by, date_id, ic)."""
     sides = [("train", F.col("date_id") <= train_end), ("val", F.col("date_id") > train_end)]
     figures = []
     for name, side in sides:
@@ -275,48 +284,89 @@ def report(predictions: DataFrame, train_end: int, by: list[str] | None = None)
 # ---------------------------------------------------------------- many settings
 
 
-def search(rows: DataFrame, columns: list[str], base: BoostConfig, settings: list[dict], chunks: int = 8) -> DataFrame:
+def search(rows: DataFrame, columns: list[str], base: BoostConfig, settings: list[dict], chunks: int | None = None, wave: int = WAVE, folder: str | None = None, rungs: int = 1) -> DataFrame:
     """(index, status, train_end, param_*, train_ic, train_ir, val_ic, val_ir, n_train_dates, n_val_dates, error, train_val_gap).
 
-    A group is a target and a chunk of the settings: rows are sent `chunks` times, not once a setting. A setting that
-    fails for a target has status error and the target's message; its figures are NULL.
+    Settings run in waves. A group is a target and a chunk of a wave's settings (PER of them unless `chunks` says how
+    many chunks); of a wave, daily rank correlations are written and predictions are not, so what is held doesn't grow
+    with the settings. folder: where waves are written; one that is there already is read instead, so that a search that
+    was stopped goes on. rungs: with more than one, all settings first run with a share of their rounds, half of the
+    rounds of the next rung, and only the better half by val_ic goes on; the others keep the figures they have and have
+    status stopped. A setting that fails for a target has status error and a target's message; its figures are NULL.
     """
     spark = rows.sparkSession
-    spread = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    folder = folder or f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    alive, figures = list(range(len(settings))), None
+    for rung in range(rungs):
+        share = 2.0 ** (rung + 1 - rungs)
+        own = [(i, settings[i] | {"num_boost_round": max(1, round(float(settings[i].get("num_boost_round", base.num_boost_round)) * share))}) if share < 1 else (i, settings[i]) for i in alive]
+        found = _figures_of(rows, columns, base, own, chunks, wave, f"{folder}/rung={rung}")
+        figures = found if figures is None else figures.join(found.select("index"), "index", "left_anti").unionByName(found)
+        if rung < rungs - 1:  # a row a setting
+            order = found.where("error IS NULL").orderBy(F.desc_nulls_last("val_ic_mean"), "index").select("index").limit(max(1, len(own) // 2))
+            alive = sorted(r[0] for r in order.collect())
+    out = settings_table(spark, settings).join(figures, "index", "left")
+    ok = F.col("error").isNull()
+    status = F.when(~ok, "error").when(F.col("index").isin(alive), "ok").otherwise("stopped") if rungs > 1 else F.when(ok, "ok").otherwise("error")
+    params = [c for c in out.columns if c.startswith("param_")]
+    value = lambda c, n: F.when(ok, F.col(c)).alias(n)
+    out = out.select(
+        "index", status.alias("status"), F.lit(base.train_end).alias("train_end"), *params,
+        value("train_ic_mean", "train_ic"), value("train_ir", "train_ir"), value("val_ic_mean", "val_ic"), value("val_ir", "val_ir"), value("n_train_dates", "n_train_dates"), value("n_val_dates", "n_val_dates"), "error",
+    )
+    return out.withColumn("train_val_gap", F.col("train_ic") - F.col("val_ic"))
+
+
+def _figures_of(rows: DataFrame, columns: list[str], base: BoostConfig, settings: list[tuple[int, dict]], chunks: int | None, wave: int, folder: str) -> DataFrame:
+    """Report figures and error by index; a wave of settings is a table of daily correlations and errors in the folder."""
+    spark = rows.sparkSession
     names = ["index", "target", "date_id", "label", "pred", "error"]
+    kept = "index int, date_id int, ic double, error string"
 
-    def runs(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for i, values in enumerate(settings):
-            if i % chunks != group["chunk"].iloc[0]:
-                continue
+    def fit_chunk(group: pd.DataFrame, own: list[tuple[int, dict]]) -> Iterator[pd.DataFrame]:
+        for i, values in own:
             try:
                 config = base.with_values(values)
                 train, later, _, _, matrix = _prepared(group, columns, config)
                 x, later_x = matrix(train), matrix(later)
                 y, later_y, w = (part.to_numpy(float) for part in (train["label"], later["label"], train["weight"]))
                 model = boosted(x, y, w, later_x, later_y, config)
-                for part, own in ((train, x), (later, later_x)):
+                for part, side in ((train, x), (later, later_x)):
                     if len(part):
-                        yield pd.DataFrame({"index": i, "target": part["target"], "date_id": part["date_id"], "label": part["label"], "pred": predicted(model, own), "error": None})
+                        yield pd.DataFrame({"index": i, "target": part["target"], "date_id": part["date_id"], "label": part["label"], "pred": predicted(model, side), "error": None})
             except (ValueError, TypeError, FloatingPointError) as e:
                 yield pd.DataFrame([(i, group["target"].iloc[0], None, None, None, str(e) or type(e).__name__)], columns=names)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        out = list(runs(group))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+    def fit_of(own: list[tuple[int, dict]], n: int):
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            out = list(fit_chunk(group, own[int(group["chunk"].iloc[0]) :: n]))
+            return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    got = spread.groupBy("target", "chunk").applyInPandas(fit, "index int, target string, date_id int, label double, pred double, error string").persist()
-    figures = report(got.where("error IS NULL"), base.train_end, ["index"])
-    failed = got.where("error IS NOT NULL").groupBy("index").agg(F.min("error").alias("error"))
-    out = settings_table(spark, settings).join(figures, "index", "left").join(failed, "index", "left")
-    ok = F.col("error").isNull()
-    params = [c for c in out.columns if c.startswith("param_")]
-    value = lambda c, n: F.when(ok, F.col(c)).alias(n)
-    out = out.select(
-        "index", F.when(ok, "ok").otherwise("error").alias("status"), F.lit(base.train_end).alias("train_end"), *params,
-        value("train_ic_mean", "train_ic"), value("train_ir", "train_ir"), value("val_ic_mean", "val_ic"), value("val_ir", "val_ir"), value("n_train_dates", "n_train_dates"), value("n_val_dates", "n_val_dates"), "error",
-    )
-    return out.withColumn("train_val_gap", F.col("train_ic") - F.col("val_ic"))
+        return fit
+
+    for k in range(0, len(settings), wave):
+        path = f"{folder}/wave={k // wave}"
+        if _written(spark, path):
+            continue
+        own = settings[k : k + wave]
+        n = min(chunks or -(-len(own) // PER), len(own))
+
+        spread = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        got = spread.groupBy("target", "chunk").applyInPandas(fit_of(own, n), "index int, target string, date_id int, label double, pred double, error string").persist()
+        ic = daily_ic(got.where("error IS NULL"), ["index"]).select("index", "date_id", "ic", F.lit(None).cast("string").alias("error"))
+        failed = got.where("error IS NOT NULL").groupBy("index").agg(F.min("error").alias("error"))
+        ic.unionByName(failed.select("index", F.lit(None).cast("int").alias("date_id"), F.lit(None).cast("double").alias("ic"), "error")).write.mode("overwrite").parquet(path)
+        got.unpersist()
+    if not settings:
+        found = spark.createDataFrame([], kept)
+    else:
+        found = spark.read.schema(kept).parquet(*[f"{folder}/wave={k}" for k in range(-(-len(settings) // wave))])
+    return summary(found.where("error IS NULL"), base.train_end, ["index"]).join(found.where("error IS NOT NULL").select("index", "error"), "index", "full")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def settings_table(spark: SparkSession, settings: list[dict]) -> DataFrame:

@@ -137,6 +137,40 @@ def test_search(spark, panel):
     assert out[1].n_train_dates == 150
 
 
+def test_a_search_goes_on_where_it_was_stopped(spark, panel, tmp_path):
+    features, truth = panel
+    names = ["f0", "f1", "f2"]
+    settings = [{"num_boost_round": float(n), "learning_rate": 0.1} for n in (2, 4, 6, 8, 10)]
+    rows = boosting.training_rows(features, truth, names, CONFIG)
+    whole = sorted(map(tuple, boosting.search(rows, names, CONFIG, settings, wave=2).collect()))
+    again = lambda: sorted(map(tuple, boosting.search(rows, names, CONFIG, settings, wave=2, folder=str(tmp_path)).collect()))
+    assert again() == whole
+    waves = sorted(x.name for x in (tmp_path / "rung=0").iterdir())
+    assert waves == ["wave=0", "wave=1", "wave=2"]
+    # the second wave is lost half-way; the others aren't fitted again
+    (tmp_path / "rung=0" / "wave=1" / "_SUCCESS").unlink()
+    stamp = {w: (tmp_path / "rung=0" / w / "_SUCCESS").stat().st_mtime_ns for w in ("wave=0", "wave=2")}
+    assert again() == whole
+    assert stamp == {w: (tmp_path / "rung=0" / w / "_SUCCESS").stat().st_mtime_ns for w in stamp}
+    # correlations are kept, predictions aren't
+    assert spark.read.parquet(f"{tmp_path}/rung=0/wave=0").columns == ["index", "date_id", "ic", "error"]
+
+
+def test_halving_keeps_the_better_half(spark, panel):
+    features, truth = panel
+    names = ["f0", "f1", "f2"]
+    settings = [{"num_boost_round": float(n), "learning_rate": 0.05} for n in (2, 40, 4, 60)]
+    rows = boosting.training_rows(features, truth, names, CONFIG)
+    out = {r["index"]: r for r in boosting.search(rows, names, CONFIG, settings, rungs=2).collect()}
+    full = {r["index"]: r for r in boosting.search(rows, names, CONFIG, settings).collect()}
+    half = {r["index"]: r for r in boosting.search(rows, names, CONFIG, [s | {"num_boost_round": s["num_boost_round"] / 2} for s in settings]).collect()}
+    best = sorted(half, key=lambda i: (-half[i].val_ic, i))[:2]
+    for i in range(4):
+        assert out[i].status == ("ok" if i in best else "stopped")
+        assert out[i].val_ic == pytest.approx((full if i in best else half)[i].val_ic)
+        assert out[i].param_num_boost_round == settings[i]["num_boost_round"]
+
+
 def test_one_exchange_by_target(spark, panel):
     """Joining aside, weights and fits use the partitioning by target that the rows have."""
     features, truth = panel
