@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import hash_sample, sample_weights, shifted
-from .screen import fit_medians, impute, kept_features, to_long, to_wide
+from .screen import fit_wide, screened_wide
 
 #: Values of the default grid, by parameter. The published ones.
 GRID = {
@@ -50,12 +50,8 @@ class TrainConfig:
 
 def training_rows(features: DataFrame, labels: DataFrame, columns: list[str], config: TrainConfig) -> DataFrame:
     """Rows (target, date_id, label, is_train, weight, columns): shifted labels, screened and imputed features."""
-    rows = features.join(shifted(labels, config.lag, config.horizon), ["target", "date_id"]).where("label IS NOT NULL")
-    long = to_long(rows, columns)
-    long = kept_features(long, config.train_end, config.variance_threshold)
-    long = impute(long, fit_medians(long, config.train_end))
-    wide = to_wide(long, columns).na.fill(0.0, columns)
-    rows = rows.select("target", "date_id", "label").join(wide, ["target", "date_id"]).withColumn("is_train", F.col("date_id") <= config.train_end)
+    rows = features.select("target", "date_id", *columns).join(shifted(labels.select("target", "date_id", "label"), config.lag, config.horizon), ["target", "date_id"]).where("label IS NOT NULL")
+    rows = screened_wide(rows, fit_wide(rows, columns, config.train_end), columns, config.variance_threshold).withColumn("is_train", F.col("date_id") <= config.train_end)
     train = sample_weights(rows.where("is_train"), config.weight_scheme, config.weight_decay, config.weight_floor, config.weight_cap).drop("distance")
     return train.unionByName(rows.where("NOT is_train").withColumn("weight", F.lit(1.0)))
 

@@ -1,4 +1,8 @@
-"""Feature screening, normalisation and imputation over long features (target, date_id, feature, value)."""
+"""Feature screening, normalisation and imputation, over long features (target, date_id, feature, value) or wide ones.
+
+The wide forms make all figures of a target in one aggregate and bring them back with one join, so a row of features is
+moved by target at most, whatever the number of features; the long forms serve features that come long.
+"""
 
 from __future__ import annotations
 
@@ -53,6 +57,36 @@ def impute(long: DataFrame, medians: DataFrame) -> DataFrame:
     return long.join(medians, ["target", "feature"], "left").withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
+def fit_wide(features: DataFrame, columns: list[str], train_end: int) -> DataFrame:
+    """(target, a struct for each of columns) of train rows: mean, std (1 below 1e-6), median (exact, interpolated), variance."""
+    std = lambda c: F.stddev_pop(c)
+    figures = [F.struct(F.avg(c).alias("mean"), F.when(std(c) < 1e-6, 1.0).otherwise(std(c)).alias("std"), F.percentile(c, F.lit(0.5)).alias("median"), F.var_samp(c).alias("variance")).alias(c) for c in columns]
+    return features.where(F.col("date_id") <= train_end).groupBy("target").agg(*figures)
+
+
+def _with_figures(features: DataFrame, fitted: DataFrame, columns: list[str], value, how: str) -> DataFrame:
+    named = fitted.select("target", *[F.col(c).alias(f"__{c}") for c in columns])
+    rest = [c for c in features.columns if c not in columns]
+    return features.join(named, "target", how).select(*rest, *[value(F.col(c), F.col(f"__{c}")).alias(c) for c in columns])
+
+
+def normalized_wide(features: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """features less their mean, by their deviation; targets that weren't fitted go."""
+    return _with_figures(features, fitted, columns, lambda x, f: F.try_divide(x - f["mean"], f["std"]), "inner")
+
+
+def imputed_wide(features: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """features with the target's median where they are missing."""
+    return _with_figures(features, fitted, columns, lambda x, f: F.coalesce(x, f["median"]), "left")
+
+
+def screened_wide(features: DataFrame, fitted: DataFrame, columns: list[str], threshold: float) -> DataFrame:
+    """imputed_wide, and 0 where a target's feature has no variance over the threshold; raises where none has."""
+    if not fitted.where(F.greatest(*[F.col(c)["variance"] for c in columns], F.lit(float("-inf"))) > threshold).head(1):
+        raise ValueError(f"no feature has a variance over {threshold}")
+    return _with_figures(features, fitted, columns, lambda x, f: F.when(f["variance"] > threshold, F.coalesce(x, f["median"], F.lit(0.0))).otherwise(0.0), "left")
+
+
 def aligned(features: DataFrame, columns: list[str]) -> DataFrame:
     """features with just these columns, missing ones as NULL."""
     return features.select("target", "date_id", *[(F.col(c) if c in features.columns else F.lit(None).cast("double")).alias(c) for c in columns])

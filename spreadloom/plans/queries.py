@@ -38,10 +38,11 @@ def _round(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
 
 
 KEYS = ["target", "date_id"]
+CORE = ["ret_1", "vol_20", "sharpe_20", "momentum_20"]
 
 
 def _core(s: SparkSession, d: str) -> DataFrame:
-    return factors.factor_features(dt.targets(s, d), ["ret_1", "vol_20", "sharpe_20", "momentum_20"])
+    return factors.factor_features(dt.targets(s, d), CORE)
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
@@ -220,7 +221,7 @@ def _boosted(s: SparkSession, d: str) -> DataFrame:
     return boosting.predict_targets(_models(s, d), rows.select(*KEYS, *names), forest.DATES).join(rows.select(*KEYS, "label"), KEYS)
 
 
-def _root_splits(s: SparkSession, d: str, names: tuple[str, ...] = ("ret_1", "vol_20", "sharpe_20", "momentum_20")) -> DataFrame:
+def _root_splits(s: SparkSession, d: str, names: tuple[str, ...] = tuple(CORE)) -> DataFrame:
     """The first split of every target's first tree, over all rows: bins, gradients, histogram and the best gain."""
     config = dataclasses.replace(FOREST, max_bin=16)
     rows = _forest_rows(s, d, list(names), config).where("is_train")
@@ -256,7 +257,7 @@ def dataset_windows(s: SparkSession, d: str) -> DataFrame:
     own = dt.specs(s).where("lag = 1").select("target")
     pick = lambda df: df.join(own, "target", "left_semi")
     folder = f"{shared_folder(s)}/dataset-{uuid.uuid4().hex}"
-    made = datasets.create_datasets(pick(_core(s, d)), pick(dt.labels(s, d)), ["ret_1", "vol_20", "sharpe_20", "momentum_20"], 1, dt.TRAIN_END, folder)
+    made = datasets.create_datasets(pick(_core(s, d)), pick(dt.labels(s, d)), CORE, 1, dt.TRAIN_END, folder)
     batches = [made.batches(x, 2024, 0) for x in datasets.SPLITS]
     rows = made.windows(batches[0].unionByName(batches[1])).join(made.table("samples").select("date_id", "split", "n_valid"), "date_id")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double"))
@@ -273,7 +274,7 @@ def _label_batches(s: SparkSession, d: str) -> DataFrame:
 def _sequence_data(s: SparkSession, d: str) -> DataFrame:
     """Of the targets of lag 1: the number and sum of the kept features, label and mask."""
     own = dt.specs(s).where("lag = 1").select("target")
-    rows, _ = labels.sequence_data(_core(s, d).join(own, "target", "left_semi"), dt.labels(s, d).join(own, "target", "left_semi"), ["ret_1", "vol_20", "sharpe_20", "momentum_20"], 1)
+    rows, _ = labels.sequence_data(_core(s, d).join(own, "target", "left_semi"), dt.labels(s, d).join(own, "target", "left_semi"), CORE, 1)
     return rows.select(*KEYS, F.size("vec").alias("n"), rounded(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"), rounded(F.col("label")).alias("label"), "mask")
 
 
@@ -376,8 +377,8 @@ def queries() -> dict[str, Query]:
         "weight_summary": lambda s, d: labels.sample_weights(px(s, d), "recency_exp", 3.0, 0.5, 10.0).groupBy("target").agg(rounded(F.avg("weight")).alias("mean"), rounded(F.min("weight")).alias("low"), rounded(F.max("weight")).alias("high"), F.count("*").alias("n")),
         "variance_filter": lambda s, d: _round(screen.variance_filter(_long(s, d), dt.TRAIN_END, 1e-4), ["target", "feature"]),
         "screen_features": lambda s, d: _round(screen.screened(_long(s, d), 1e-6), ["feature"]),
-        "normalizer": lambda s, d: _round(screen.normalize(_long(s, d), screen.fit_normalizer(_long(s, d), dt.TRAIN_END)), ["target", "date_id", "feature"], 4),
-        "median_impute": lambda s, d: _round(screen.impute(_gappy(s, d), screen.fit_medians(_gappy(s, d), dt.TRAIN_END)), ["target", "date_id", "feature"]),
+        "normalizer": lambda s, d: _round(screen.to_long(screen.normalized_wide(_core(s, d), screen.fit_wide(_core(s, d), CORE, dt.TRAIN_END), CORE)), ["target", "date_id", "feature"], 4),
+        "median_impute": lambda s, d: _round(screen.to_long(screen.imputed_wide(_gappy(s, d), screen.fit_wide(_gappy(s, d), CORE, dt.TRAIN_END), CORE)), ["target", "date_id", "feature"]),
         # metrics, EDA, grid
         "daily_ic": lambda s, d: _round(metrics.daily_ic(_predictions(s, d)), ["date_id", "n"]),
         "ic_summary": lambda s, d: _round(metrics.ic_summary(metrics.daily_ic(_predictions(s, d))), ["n_dates"]),
@@ -418,5 +419,5 @@ def queries() -> dict[str, Query]:
 
 
 def _gappy(s: SparkSession, d: str) -> DataFrame:
-    """Long features with every seventh date missing."""
-    return _long(s, d).withColumn("value", F.when(F.col("date_id") % 7 != 0, F.col("value")))
+    """Features with every seventh date missing."""
+    return _core(s, d).withColumns({c: F.when(F.col("date_id") % 7 != 0, F.col(c)) for c in CORE})

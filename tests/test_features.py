@@ -175,3 +175,22 @@ def test_evolution_is_the_same_for_a_seed(panel):
 def test_one_exchange_by_target(panel):
     plan = factors.factor_features(panel.repartition("target"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_wide_figures_equal_the_long_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, d, None if rng.random() < 0.2 else float(rng.normal(k)), 3.0, None if t == "b" else float(d)) for k, t in enumerate("abc") for d in range(12)]
+    wide = spark.createDataFrame(rows, "target string, date_id int, x double, flat double, z double")
+    names = ["x", "flat", "z"]
+    fitted, long = screen.fit_wide(wide, names, 8), screen.to_long(wide, names)
+    table = lambda df: {(r.target, r.date_id, r.feature): r.value for r in df.collect()}
+    for ours, theirs in ((screen.imputed_wide, screen.impute(long, screen.fit_medians(long, 8))), (screen.normalized_wide, screen.normalize(long, screen.fit_normalizer(long, 8)))):
+        a, b = table(screen.to_long(ours(wide, fitted, names), names)), table(theirs)
+        assert a.keys() == b.keys()
+        assert all(a[k] == b[k] or a[k] == pytest.approx(b[k]) for k in a)
+    got = screen.screened_wide(wide, fitted, names, 0.0).collect()
+    assert all(r.flat == 0.0 and r.x is not None and (r.z == 0.0 if r.target == "b" else r.z == r.date_id) for r in got)
+    with pytest.raises(ValueError, match="no feature"):
+        screen.screened_wide(wide.select("target", "date_id", "flat"), screen.fit_wide(wide, ["flat"], 8), ["flat"], 0.0)
+    plan = screen.normalized_wide(wide, fitted, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(target") <= 3
