@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .operators import boosting, clean, eda, panel, screen, targets
 from .plans import runs
 from .sources import sinks, tables
-from .streaming import daily, online
+from .streaming import daily, online, source
+
+#: Folder of the lagged labels beside test.csv. A fixed value.
+LAGGED = "lagged_test_labels"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--weight-cap", type=float, default=0.0, help="0 or less: none")
     p.add_argument("--samples", type=int, default=0, help="settings of the grid to try; 0: all")
     p.add_argument("--seed", type=int, default=2024)
+    p.add_argument("--learner", choices=["groups", "spark"], default="groups", help="a small model a target in its own task, or trees that all tasks grow together")
+    p.add_argument("--days", help="folder of test.csv and the lagged labels to serve, where it isn't that of --data")
     p.add_argument("--run", default="run", help="name of the training run")
     return p
 
@@ -49,7 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "train":
         text = "\n".join(r[0] for r in spark.read.text(a.params).collect()) if a.params else '{"1": {}, "2": {}, "3": {}, "4": {}}'
         settings = {"weight_scheme": a.weight_scheme, "weight_decay_rate": a.weight_decay, "weight_floor": a.weight_floor, "weight_cap": a.weight_cap, "seed": a.seed}
-        runs.train_lags(stored(), labels(), specs, runs.lag_configs(text, a.lags, a.train_end, **settings), f"{a.out}/runs/{a.run}").show(truncate=False)
+        runs.train_lags(stored(), labels(), specs, runs.lag_configs(text, a.lags, a.train_end, **settings), f"{a.out}/runs/{a.run}", a.learner).show(truncate=False)
     elif a.command == "grid":
         lag = int(a.lags[0]) if a.lags else 1
         runs.search_grid(stored(), labels(), specs, boosting.BoostConfig(lag=lag, train_end=a.train_end, seed=a.seed), a.samples, a.seed, f"{a.out}/grid").orderBy(F.desc("val_ic")).show(10)
@@ -59,9 +64,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         fitted = tables.load_models(spark, tables.newest_run(spark, f"{a.out}/runs"), boosting.MODEL)
         names = [r[0] for r in fitted.select("target").distinct().orderBy("target").collect()]
         primed = clean.trend_fill(clean.to_long(tables.load_prices(spark, a.data, "train")))
-        daily.write_days(clean.to_long(tables.load_prices(spark, a.data, "test")), f"{a.out}/days")
-        server = online.ModelServer(online.load_context(spark, specs, store, a.version), fitted)
-        daily.serve(spark, f"{a.out}/days", f"{a.out}/served", server, tail=None, primed=primed, targets=names)
+        # a date brings its prices and, where there are files of them, the labels of all lags
+        days = a.days or a.data
+        lagged = tables.load_lagged_labels(spark, f"{days}/{LAGGED}") if tables.exists(spark, f"{days}/{LAGGED}") else None
+        source.write_panel(clean.to_long(tables.load_prices(spark, days, "test")), lagged, f"{a.out}/days")
+        server = lambda: online.ModelServer(online.load_context(spark, specs, store, a.version), fitted)
+        daily.serve(spark, f"{a.out}/days", f"{a.out}/served", server, tail=None, primed=primed, targets=names, panel=True)
 
 
 if __name__ == "__main__":

@@ -9,10 +9,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting, clean, labels, metrics, models, panel, targets
+from ..operators import boosting, clean, forest, labels, metrics, models, panel, targets
 from ..sources import sinks, tables
 
 SPLITS = ("train", "test", "all")
+LEARNERS = {"groups": boosting.fit_targets, "spark": forest.fit_targets}
 #: What a run of a lag takes where its parameters say nothing. Fixed values.
 RUN_DEFAULTS = {"num_boost_round": 200, "learning_rate": 0.03, "num_leaves": 31, "feature_fraction": 0.6, "bagging_fraction": 0.6, "min_data_in_leaf": 50, "lambda_l1": 0.0, "lambda_l2": 0.0}
 
@@ -88,21 +89,22 @@ def lag_configs(text: str, lags: list[str] | None = None, train_end: int = 1960,
     return out
 
 
-def train_lags(features: DataFrame, own_labels: DataFrame, specs: DataFrame, configs: dict[int, boosting.BoostConfig], folder: str) -> DataFrame:
+def train_lags(features: DataFrame, own_labels: DataFrame, specs: DataFrame, configs: dict[int, boosting.BoostConfig], folder: str, learner: str = "groups") -> DataFrame:
     """Fits every target of each lag and writes models, predictions, daily correlations, settings and report.
 
+    learner: groups, where a target's rows fit a task (see boosting), or spark, where they needn't (see forest).
     folder/lag_N has the parts of a lag; folder/summary one JSON row a lag, which is also what is returned. Lags are
     few; targets of a lag are fitted side by side.
     """
-    spark, names, out = features.sparkSession, panel.columns_of(features), None
+    spark, names, out, fit = features.sparkSession, panel.columns_of(features), None, LEARNERS[learner]
     for lag, config in sorted(configs.items()):
         at, own = f"{folder}/lag_{lag}", specs.where(F.col("lag") == lag).select("target")
         if not own.head(1):
             raise ValueError(f"no targets of lag {lag}")
         rows = boosting.training_rows(features.join(own, "target", "left_semi"), own_labels, names, config).persist()
-        boosting.fit_targets(rows, names, config).write.mode("overwrite").parquet(f"{at}/models")
+        fit(rows, names, config).write.mode("overwrite").parquet(f"{at}/models")
         fitted = spark.read.schema(boosting.MODEL).parquet(f"{at}/models")
-        predictions = boosting.predict_targets(fitted, rows.select(*panel.KEYS, *names)).join(rows.select(*panel.KEYS, "label"), panel.KEYS)
+        predictions = boosting.predict_targets(fitted, rows.select(*panel.KEYS, *names), forest.DATES).join(rows.select(*panel.KEYS, "label"), panel.KEYS)
         predictions.write.mode("overwrite").parquet(f"{at}/predictions")
         predictions = spark.read.parquet(f"{at}/predictions")
         rows.unpersist()

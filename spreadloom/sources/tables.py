@@ -18,6 +18,11 @@ def csv_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def load_prices(spark: SparkSession, folder: str, split: str, columns: list[str] | None = None) -> DataFrame:
     """The wide price table of split train, test or all; `all` is the union of rows over the columns that both have."""
     if split not in ("train", "test", "all"):
@@ -67,8 +72,7 @@ def load_features(spark: SparkSession, path: str, columns: list[str] | None = No
 def first_panel(spark: SparkSession, paths: list[str], from_date: int) -> DataFrame:
     """The first of paths that exists and has rows from a date on; the filter is pushed to the scan."""
     for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if exists(spark, path):
             df = load_features(spark, path).where(F.col("date_id") >= from_date)
             if df.head(1):
                 return df

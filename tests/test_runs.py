@@ -121,6 +121,22 @@ def test_trained_lags_are_served(spark, data, store, specs, tmp_path):
     assert {(r.date_id, r.n) for r in served.groupBy("date_id").agg(F.count("pred").alias("n")).collect()} == {(d, len(PAIRS)) for d in range(TRAIN - 1, TRAIN + TEST)}
 
 
+def test_lags_by_trees_that_spark_grows(spark, data, store, specs, tmp_path):
+    """The same tables as from the other learner."""
+    out, folder = store
+    params = tmp_path / "params.json"
+    params.write_text(json.dumps({"lag2": {"num_boost_round": 2, "num_leaves": 3, "min_data_in_leaf": 5}}))
+    own = tables.load_features(spark, f"{folder}/factors")
+    configs = runs.lag_configs(params.read_text(), None, 90)
+    report = runs.train_lags(own, tables.load_labels(spark, f"{data}/train_labels.csv"), specs, configs, f"{tmp_path}/run", "spark").collect()
+    assert [r.lag for r in report] == [2]
+    fitted = tables.load_models(spark, f"{tmp_path}/run", boosting.MODEL).collect()
+    assert [(r.target, r.lag, r.best_iteration) for r in fitted] == [("t2", 2, 2)]
+    assert spark.read.parquet(f"{tmp_path}/run/lag_2/predictions").where("pred IS NULL").count() == 0
+    with pytest.raises(KeyError):
+        runs.train_lags(own, own, specs, configs, f"{tmp_path}/x", "other")
+
+
 def test_a_stored_panel_is_read_until_a_date_is_missing(spark, data, store, specs):
     _, folder = store
     stored = tables.first_panel(spark, [f"{folder}/absent", f"{folder}/all"], TRAIN - 2)
