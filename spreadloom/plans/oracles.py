@@ -437,8 +437,8 @@ SELECT target, date_id, {r('price')} AS price, {r(f'avg(price) {frame(5)}')} AS
 SELECT target, date_id, {r(f'avg(price) {frame(5)}')} AS pred FROM e""",
         "stream_label_batches": f"""WITH e AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', ts)::INT AS date_id, event_type AS target, avg(value) AS price FROM events GROUP BY 1, 2),
 l AS (SELECT 1 + length(target) % 4 AS lag, CASE length(target) % 4 {' '.join(f'WHEN {k} THEN lead(date_id, {k + 2}) OVER ({O})' for k in range(4))} END AS date_id, price - lag(price) OVER ({O}) AS value FROM e)
-SELECT date_id, 'prices' AS part, NULL::INT AS lag, count(*) AS n, {r('sum(price)', 4)} AS total FROM e GROUP BY date_id
-UNION ALL SELECT date_id, 'labels', lag::INT, count(*), {r('sum(value)', 4)} FROM l WHERE date_id IS NOT NULL GROUP BY date_id, lag""",
+SELECT date_id, 'prices' AS part, NULL::INT AS lag, count(*) AS n, {r('sum(price)', 9)} AS total FROM e GROUP BY date_id
+UNION ALL SELECT date_id, 'labels', lag::INT, count(*), {r('sum(value)', 9)} FROM l WHERE date_id IS NOT NULL GROUP BY date_id, lag""",
     }
     o["stream_state_features"] = o["stream_history_features"]
     return o

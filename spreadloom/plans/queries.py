@@ -157,7 +157,7 @@ def stream_label_batches(s: SparkSession, d: str) -> DataFrame:
     work = _events_days(s, d)
     state.run_to_end(s, source.stream_days(s, f"{work}/days", f"{work}/checkpoint", 7), f"{work}/rows", f"{work}/checkpoint")
     rows = s.read.schema(source.SCHEMA).parquet(f"{work}/rows")
-    return rows.groupBy("date_id", "part", "lag").agg(F.count("*").alias("n"), rounded(F.sum("value"), 4).alias("total"))
+    return rows.groupBy("date_id", "part", "lag").agg(F.count("*").alias("n"), rounded(F.sum("value"), 9).alias("total"))
 
 
 def _tail_features(rows: pd.DataFrame) -> pd.DataFrame:
