@@ -1,18 +1,18 @@
 """Thirty technical indicators of a curve (target, date_id, x). Warm-up rows are NULL until the final fill.
 
 Window frames give what depends on a bounded number of rows; recursions (exponential averages and what builds on them)
-take one grouped map a target. Seeds and first rows are stated at each function.
+are composed by block in `scan`. The functions of arrays here define them row by row, with their seeds and first rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import div
 from ..functions.windows import filled, full, last_rows, ordered
+from .scan import BLOCK, recursive_features
 
 SMA, EMA, RSI, MOM, ROC = (5, 10, 20, 60), (5, 10, 20, 60), (14, 28), (5, 10, 20), (5, 10, 20)
 
@@ -122,19 +122,6 @@ def recursive(x: np.ndarray) -> dict[str, np.ndarray]:
 RECURSIVE = [*(f"ema_{n}" for n in EMA), *(f"rsi_{n}" for n in RSI), "macd", "macd_signal", "macd_hist", "trix_15", "tema_10", "kama_10", "dema_20"]
 
 
-def recursive_features(curves: DataFrame) -> DataFrame:
-    """(target, date_id, x) with the recursive indicators; a group is one curve."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date_id", kind="stable")
-        got = recursive(rows["x"].to_numpy(float))
-        # filled forward, then backward, where the series is in hand anyway
-        return rows.assign(**{k: pd.Series(got[k], index=rows.index).ffill().bfill() for k in RECURSIVE})
-
-    schema = "target string, date_id int, x double, " + ", ".join(f"{k} double" for k in RECURSIVE)
-    return curves.select("target", F.col("date_id").cast("int").alias("date_id"), "x").groupBy("target").applyInPandas(work, schema)
-
-
 def framed_features(curves: DataFrame, names: list[str] | None = None) -> DataFrame:
     columns = {k: v for k, v in framed_columns().items() if names is None or k in names}
     rows = curves.select("target", "date_id", "x").withColumn("pos", F.row_number().over(ordered()))
@@ -142,6 +129,6 @@ def framed_features(curves: DataFrame, names: list[str] | None = None) -> DataFr
     return rows.select("target", "date_id", *[filled(F.col(k)).alias(k) for k in columns])
 
 
-def technical_features(curves: DataFrame) -> DataFrame:
-    """All thirty; both halves are partitioned by target, so the join needs no further exchange of values."""
-    return recursive_features(curves).drop("x").join(framed_features(curves), ["target", "date_id"])
+def technical_features(curves: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All thirty: recursions by blocks of dates, frames by target, joined by target and date."""
+    return recursive_features(curves, block).drop("x").join(framed_features(curves), ["target", "date_id"])

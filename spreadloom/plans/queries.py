@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_float, is_close_to_zero, rounded, to_number
 from ..functions.windows import filled, last_rows, ordered
-from ..operators import boosting, clean, datasets, decomp, eda, factors, forest, labels, metrics, models, screen, stats, symbolic, targets, technical
+from ..operators import boosting, clean, datasets, decomp, eda, factors, forest, labels, metrics, models, scan, screen, stats, symbolic, targets, technical
 from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import tables
@@ -31,6 +31,8 @@ PARAMS = '{"lag1": {"learning_rate": 0.02, "num_leaves": 63}, "2": {"learning_ra
 BOOST = boosting.BoostConfig(train_end=dt.TRAIN_END, weight_scheme="recency_exp", weight_decay_rate=3.0, weight_floor=0.5, weight_cap=10.0)
 #: Settings that the search query samples from the grid.
 N_SETTINGS = 12
+#: Dates of a block of a series: a target of the driver's tables has about five.
+SERIES_BLOCK = 512
 
 
 def _round(df: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
@@ -68,7 +70,7 @@ def _framed(names: list[str], digits: int = 6) -> Query:
 
 
 def _recursive(names: list[str], digits: int = 4) -> Query:
-    return lambda s, d: _round(technical.recursive_features(_curve(s, d)).select(*KEYS, *names), KEYS, digits)
+    return lambda s, d: _round(scan.recursive_features(_curve(s, d), SERIES_BLOCK).select(*KEYS, *names), KEYS, digits)
 
 
 def _fourier(w: int) -> Query:
@@ -327,7 +329,7 @@ def queries() -> dict[str, Query]:
         "dema": _recursive(["dema_20"]),
         "kama": _recursive(["kama_10"]),
         "technical_nav": lambda s, d: _round(technical.framed_features(targets.nav(px(s, d), dt.specs(s)).select(*KEYS, F.col("nav").alias("x")), ["sma_20", "mom_10", "bb_upper_20"]), KEYS, 5),
-        "technical_nav_recursive": lambda s, d: _round(technical.recursive_features(targets.nav(px(s, d), dt.specs(s)).select(*KEYS, F.col("nav").alias("x"))).select(*KEYS, "ema_10", "rsi_14"), KEYS, 2),
+        "technical_nav_recursive": lambda s, d: _round(scan.recursive_features(targets.nav(px(s, d), dt.specs(s)).select(*KEYS, F.col("nav").alias("x")), SERIES_BLOCK).select(*KEYS, "ema_10", "rsi_14"), KEYS, 2),
         # statistics
         "market_return": lambda s, d: stats.with_returns(px(s, d)).groupBy("date_id").agg(rounded(F.max("mkt")).alias("mkt")),
         "corr_market": lambda s, d: _round(stats.market_features(px(s, d)).select(*KEYS, *[f"corr_market_{w}" for w in stats.CORR]), KEYS, 5),
