@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import filled
+from . import scan
 
 TREND_WINDOW = 5
 
@@ -38,20 +38,13 @@ def trend_filled(values: np.ndarray, window: int = TREND_WINDOW) -> np.ndarray:
     return out
 
 
-def trend_fill(prices: DataFrame, window: int = TREND_WINDOW, arrival: str | None = None) -> DataFrame:
-    """trend_filled of each asset's series in order of date. Recursive, so one grouped map; a group is one series.
+def trend_fill(prices: DataFrame, window: int = TREND_WINDOW, arrival: str | None = None, block: int = scan.BLOCK) -> DataFrame:
+    """trend_filled of each asset's series in order of date, composed by blocks of dates: no task holds a series.
 
     arrival: a column of whole numbers that goes before the date in this order and stays, for rows of several splits
     whose dates may repeat.
     """
-    order = [*([arrival] if arrival else []), "date_id"]
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(price=trend_filled(rows["price"].to_numpy(float), window))
-
-    rows = prices.select("date_id", "asset", "price", *[F.col(arrival).cast("long").alias(arrival)] if arrival else [])
-    return rows.groupBy("asset").applyInPandas(fill, "date_id int, asset string, price double" + (f", {arrival} long" if arrival else ""))
+    return scan.trend_fill(prices, window, arrival, block)
 
 
 def normalized(prices: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ depend on the row's position only; averages of averages carry one state each; an
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -264,3 +265,93 @@ def recursive_features(curves: DataFrame, block: int = BLOCK) -> DataFrame:
     begun = maps.groupBy("series").applyInPandas(starts, key + "offset long, frozen boolean, before array<double>, state array<double>, first array<double>")
     out = pairs(begun).applyInPandas(finish, "target string, date_id int, x double, " + ", ".join(f"{k} double" for k in NAMES))
     return out.select("target", "date_id", "x", *[F.nanvl(k, F.lit(None).cast("double")).alias(k) for k in NAMES])
+
+
+def trend_run(x: np.ndarray, last, steps: deque, unit=1.0) -> tuple[list, object]:
+    """The filled values from a last value (None: there is none yet) and the last steps on; both may be vectors.
+
+    A gap goes on by the mean of the steps from the value before it; a value adds the step to it from the value before.
+    `steps` is changed; the second part is the last value.
+    """
+    out = []
+    for v in x:
+        if v != v:
+            if last is not None and steps:
+                last = last + sum(steps) / len(steps)
+        else:
+            now = v * unit
+            if last is not None:
+                steps.append(now - last)
+            last = now
+        out.append(last)
+    return out, last
+
+
+def trend_map(x: np.ndarray, offset: int, window: int) -> np.ndarray:
+    """The map of a block's incoming (last value, steps in order), `offset` values being before it.
+
+    A block forgets what came in once window + 1 values follow each other without a gap (a step over a gap depends on
+    the steps before it); from there on it runs on plain numbers.
+    """
+    size = window + 1
+    every = np.eye(size + 1)
+    unit, held = every[size], min(window, max(offset - 1, 0))
+    last, steps = every[0] if offset else None, deque(every[size - held : size], maxlen=window)
+    run = np.convolve(~np.isnan(x), np.ones(window + 1), "valid") if len(x) > window else np.zeros(0)
+    whole = np.flatnonzero(run == window + 1)
+    cut = int(whole[0]) + window + 1 if len(whole) else len(x)
+    _, last = trend_run(x[:cut], last, steps, unit)
+    if cut < len(x):
+        plain = deque((float(v[size]) for v in steps), maxlen=window)
+        _, value = trend_run(x[cut:], float(last[size]), plain)
+        last, steps = value * unit, deque((v * unit for v in plain), maxlen=window)
+    out = np.zeros((size, size + 1))
+    if last is not None:
+        out[0] = last
+    for i, v in enumerate(reversed(steps)):
+        out[window - i] = v
+    return out
+
+
+def trend_fill(prices: DataFrame, window: int, arrival: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Gaps of each asset's series continue the mean of its last `window` steps, in blocks of dates.
+
+    Leading gaps take the first value; a series without values is 0. arrival: a column of whole numbers that goes
+    before the date in this order and stays.
+    """
+    split = F.col(arrival).cast("long") if arrival else F.lit(0).cast("long")
+    price = F.nanvl(F.col("price").cast("double"), F.lit(None).cast("double"))
+    rows = prices.select(F.col("date_id").cast("int").alias("date_id"), "asset", price.alias("price"), split.alias("arrival"))
+    rows = rows.withColumn("block", F.floor(F.col("date_id") / block).cast("int"))
+    parts = rows.groupBy("asset", "arrival", "block").agg(F.count("price").alias("m"), F.min_by("price", F.when(F.col("price").isNotNull(), F.col("date_id"))).alias("f"))
+    order = Window.partitionBy("asset").orderBy("arrival", "block")
+    offset = F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("f", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    segments = parts.select(F.col("asset").alias("series"), F.col("arrival").alias("split"), F.col("block").alias("part"), offset.alias("offset"), F.coalesce(first, F.lit(0.0)).alias("first"))
+
+    def summary(group: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        s = segment.iloc[0]
+        x = group.sort_values("date_id", kind="stable")["price"].to_numpy(float)
+        return segment.assign(maps=[trend_map(x, int(s["offset"]), window).ravel()])
+
+    def starts(group: pd.DataFrame) -> pd.DataFrame:
+        group, state, out = group.sort_values(["split", "part"], kind="stable"), np.zeros(window + 1), []
+        for maps in group["maps"]:
+            out.append(state)
+            m = np.asarray(maps).reshape(window + 1, window + 2)
+            state = m[:, :-1] @ state + m[:, -1]
+        return group.drop(columns="maps").assign(state=out)
+
+    def finish(group: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        s, group = segment.iloc[0], group.sort_values("date_id", kind="stable")
+        seen, state = int(s["offset"]), [float(v) for v in s["state"]]
+        held = min(window, max(seen - 1, 0))
+        out, _ = trend_run(group["price"].to_numpy(float), state[0] if seen else None, deque(state[window + 1 - held :], maxlen=window))
+        return group.assign(price=[float(s["first"]) if v is None else float(v) for v in out]).drop(columns="block")
+
+    key, own = "series string, split long, part int, offset long, first double, ", ("asset", "arrival", "block")
+    pairs = lambda other: rows.groupBy(*own).cogroup(other.groupBy("series", "split", "part"))
+    maps = pairs(segments).applyInPandas(summary, key + "maps array<double>")
+    begun = maps.groupBy("series").applyInPandas(starts, key + "state array<double>")
+    out = pairs(begun).applyInPandas(finish, "date_id int, asset string, price double, arrival long")
+    return out.withColumnRenamed("arrival", arrival) if arrival else out.drop("arrival")

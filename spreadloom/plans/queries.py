@@ -292,7 +292,7 @@ def queries() -> dict[str, Query]:
         "missing_assets": lambda s, d: targets.missing_assets(dt.specs(s), dt.observed(s, d).where("asset <> 'MACHINERY'")),
         "union_common": lambda s, d: _overlap(s, d).groupBy("asset", "src").agg(F.count("*").alias("n"), rounded(F.sum("price"), 2).alias("total")),
         "dedup_last": lambda s, d: clean.last_arrival(_overlap(s, d), ["date_id", "asset"], "src").select("date_id", "asset", rounded(F.col("price"), 5).alias("price"), "src"),
-        "trend_fill": lambda s, d: _round(dt.filled_prices(s, d), ["date_id", "asset"], 5),
+        "trend_fill": lambda s, d: _round(clean.trend_fill(dt.prices(s, d), block=SERIES_BLOCK), ["date_id", "asset"], 5),
         "ffill_bfill": lambda s, d: dt.prices(s, d).select("date_id", "asset", rounded(filled(F.col("price"), "asset"), 5).alias("price")),
         "zscore_normalize": lambda s, d: _round(clean.normalized(dt.filled_prices(s, d)), ["date_id", "asset"], 5),
         "numeric_columns": lambda s, d: s.createDataFrame([(c,) for c in clean.numeric_columns(s.read.parquet(f"{d}/orders.parquet"), ("o_orderkey",))], "name string"),

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spreadloom.operators import scan, technical
+from spreadloom.operators import clean, scan, technical
 
 
 def expected(x):
@@ -79,3 +79,41 @@ def test_no_task_holds_a_series(spark):
     got, want = got.toPandas().sort_values("date_id"), expected(x)
     for k in ("ema_60", "rsi_28", "macd_hist", "tema_10", "dema_20", "kama_10"):
         assert np.allclose(got[k].to_numpy(), want[k], rtol=1e-8, atol=1e-7), k
+
+
+def series_with_gaps(n, seed, share):
+    rng = np.random.default_rng(seed)
+    x = np.cumsum(rng.normal(size=n)) + 50
+    x[rng.random(n) < share] = np.nan
+    return x
+
+
+FILLS = {
+    "few": series_with_gaps(300, 1, 0.2),
+    "most": series_with_gaps(300, 2, 0.9),
+    "late": gap(series_with_gaps(200, 3, 0.3), slice(0, 90)),
+    "ends": gap(series_with_gaps(200, 4, 0.3), slice(100, 200)),
+    "one": np.where(np.arange(60) == 25, 7.0, np.nan),
+    "none": np.full(50, np.nan),
+}
+
+
+@pytest.mark.parametrize(("block", "window"), [(6, 5), (50, 5), (1000, 5), (9, 1)])
+def test_trend_fill_by_block_equals_that_row_by_row(spark, block, window):
+    rows = [(a, i - 20, None if np.isnan(v) else float(v)) for a, x in FILLS.items() for i, v in enumerate(x)]
+    np.random.default_rng(0).shuffle(rows)
+    df = spark.createDataFrame([(a, int(d), None if v is None else float(v)) for a, d, v in rows], "asset string, date_id int, price double")
+    got = clean.trend_fill(df, window, block=block).toPandas()
+    assert len(got) == len(rows)
+    for a, x in FILLS.items():
+        assert np.allclose(got[got.asset == a].sort_values("date_id")["price"].to_numpy(float), clean.trend_filled(x, window), rtol=1e-10), a
+
+
+def test_trend_fill_by_block_goes_by_arrival_first(spark):
+    x, y = FILLS["few"], FILLS["most"]
+    rows = [("a", i, None if np.isnan(v) else float(v), k) for k, z in enumerate((x, y)) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "asset string, date_id int, price double, k int")
+    got = clean.trend_fill(df, 5, "k", 40)
+    assert got.columns == ["date_id", "asset", "price", "k"]
+    got = got.toPandas().sort_values(["k", "date_id"])["price"].to_numpy(float)
+    assert np.allclose(got, clean.trend_filled(np.concatenate([x, y])), rtol=1e-10)
