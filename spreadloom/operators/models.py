@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import dataclasses
 import itertools
+import math
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .forest import Tables
 from .labels import hash_sample, sample_weights, shifted
 from .screen import fit_wide, screened_wide
 
+#: Train rows of a partition. The learner runs some two jobs a level over all partitions, empty ones too.
+PART = 32_768
+
 #: Values of the default grid, by parameter. The published ones.
 GRID = {
     "num_boost_round": [160, 200, 240, 280],
@@ -49,19 +54,28 @@ class TrainConfig:
 
 
 def training_rows(features: DataFrame, labels: DataFrame, columns: list[str], config: TrainConfig) -> DataFrame:
-    """Rows (target, date_id, label, is_train, weight, columns): shifted labels, screened and imputed features."""
+    """Rows (target, date_id, label, is_train, weight, columns): shifted labels, screened and imputed features.
+
+    They and what they are made of are written to the shared folder, so that features are computed once.
+    """
+    store = Tables(features.sparkSession)
     rows = features.select("target", "date_id", *columns).join(shifted(labels.select("target", "date_id", "label"), config.lag, config.horizon), ["target", "date_id"]).where("label IS NOT NULL")
-    rows = screened_wide(rows, fit_wide(rows, columns, config.train_end), columns, config.variance_threshold).withColumn("is_train", F.col("date_id") <= config.train_end)
+    rows = store.write("labelled", rows)
+    fitted = store.write("figures", fit_wide(rows, columns, config.train_end))
+    rows = screened_wide(rows, fitted, columns, config.variance_threshold).withColumn("is_train", F.col("date_id") <= config.train_end)
     train = sample_weights(rows.where("is_train"), config.weight_scheme, config.weight_decay, config.weight_floor, config.weight_cap).drop("distance")
-    return train.unionByName(rows.where("NOT is_train").withColumn("weight", F.lit(1.0)))
+    return store.write("rows", train.unionByName(rows.where("NOT is_train").withColumn("weight", F.lit(1.0))))
 
 
 def fit(rows: DataFrame, columns: list[str], config: TrainConfig) -> GBTRegressionModel:
+    """Train rows are dealt out by key, PART a partition and in order, so that bags don't depend on the cluster."""
+    train, keys = rows.where("is_train"), ["target", "date_id"]
+    train = train.repartition(max(1, math.ceil(train.count() / PART)), *keys).sortWithinPartitions(*keys)
     learner = GBTRegressor(
         featuresCol="vec", labelCol="label", weightCol="weight", maxIter=config.rounds, stepSize=config.learning_rate, maxDepth=config.max_depth,
         minInstancesPerNode=config.min_data_in_leaf, featureSubsetStrategy=str(config.feature_fraction), subsamplingRate=config.bagging_fraction, seed=config.seed,
     )
-    return learner.fit(VectorAssembler(inputCols=columns, outputCol="vec").transform(rows.where("is_train")))
+    return learner.fit(VectorAssembler(inputCols=columns, outputCol="vec").transform(train))
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame, columns: list[str]) -> DataFrame:
