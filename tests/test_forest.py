@@ -128,3 +128,30 @@ def test_other_sides_are_made_by_subtraction(spark):
     assert sorted(map(key, made)) == sorted(map(key, whole))
     for a, b in zip(sorted(made, key=key), sorted(whole, key=key), strict=True):
         assert (a.g, a.h, a.n) == pytest.approx((b.g, b.h, b.n))
+
+
+def test_levels_run_over_as_many_partitions_as_they_have_rows_for(spark, monkeypatch):
+    """A level's histograms are a written table: once persisted, each kept all partitions of its shuffles."""
+    found, real = [], forest.best_splits
+    monkeypatch.setattr(forest, "best_splits", lambda cells, config: found.append(cells.rdd.getNumPartitions()) or real(cells, config))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        forest.fit_targets(spark.createDataFrame(table(), SCHEMA), NAMES, dataclasses.replace(CONFIG, num_boost_round=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 2 and max(found) <= 16
+
+
+def test_predictions_take_the_rows_that_the_fit_had(spark, monkeypatch):
+    from spreadloom.plans import queries
+
+    made, given = [], []
+    rows = spark.createDataFrame([(1, "t0", 0, 0.5)], "lag int, target string, date_id int, label double").select("*", *[F.lit(1.0).alias(c) for c in queries.factors.factor_columns()])
+    monkeypatch.setattr(queries, "_fitted", {})
+    monkeypatch.setattr(queries, "_forest_rows", lambda *a: made.append(a) or rows)
+    monkeypatch.setattr(queries.forest, "fit_targets", lambda df, *a: given.append(df) or df)
+    monkeypatch.setattr(queries.boosting, "predict_targets", lambda models, df, *a: df.select("target", "date_id", F.lit(2.0).alias("pred")))
+    for _ in range(2):
+        assert [tuple(r) for r in queries._boosted(spark, "nowhere").collect()] == [("t0", 0, 2.0, 0.5)]
+    assert len(made) == len(given) == 1
